@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op2_langid
+from .linededup import OP8_SQL, op8_linededup
 from .packing import op1_pack
 from .toxicity import op4_toxicity
 
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_langid": op2_langid,
     "op4_toxicity": op4_toxicity,
+    "op8_linededup": op8_linededup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_linededup": OP8_SQL}
