@@ -1,9 +1,9 @@
 """Toxic spans and document scores from a linear-chain conditional random field (operator 4).
 
 Tokens are separated by white space. Labels exist per document, so token labels come first: over distinct labelled
-texts, a word is a toxic mark if the one-sided lower confidence bound on its share of toxic documents is high; the
-tokens of toxic documents that are such words are labelled 1, all others 0. The field has two states, hashed word
-features (whole word, ends, shape) and transitions, and is trained by its conditional likelihood. Forward-backward
+texts, a word or word beginning is a toxic mark if the one-sided lower confidence bound on its share of toxic documents
+is high; the tokens of toxic documents that bear a mark are labelled 1, all others 0. The field has two states, hashed
+word features (whole word, beginnings, ends, shape) and transitions, and is trained by its conditional likelihood. Forward-backward
 gives every token's marginal; expected toxic tokens and the largest marginal go into a logistic calibration that
 gives the document's score. Runs of tokens with a marginal of at least a half are the offending spans.
 
@@ -14,6 +14,7 @@ labelled document every score is 0. Repeated rows get equal scores; labels of re
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from .common import fold, read_table
 
 #: Expected bounds on the labelled texts learned from.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 #: Bound on the tokens that the field is trained on.
 TRAIN_TOKENS = 400_000
 #: Tokens of a training sequence; longer texts are several.
@@ -35,6 +36,8 @@ TRAIN_SPAN = 128
 #: A mark: a word with at least so many toxic texts, whose lower bound (z below) on the share of toxic texts is so high.
 MARK_TEXTS, MARK_SHARE, MARK_Z = 5, 0.5, 2.58
 HASH_BITS = 18
+#: Lengths of the word beginnings that can be marks, and of those and the ends that are features.
+STEMS, HEADS, TAILS = (4, 5, 6, 7), (3, 4, 5, 6, 7), (3, 4)
 CACHE_ENTRIES = 500_000
 _SPAN_TOKENS = 1_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -47,7 +50,13 @@ def normal(token: str) -> str:
 def features(token: str) -> list[int]:
     w = normal(token)
     shape = "".join(dict.fromkeys("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else "." for c in token))
-    return [xxhash.xxh3_64_intdigest(f) & ((1 << HASH_BITS) - 1) for f in ("w" + w, "p" + w[:3], "s" + w[-3:], "l%d" % min(len(w), 12), "h" + shape)]
+    names = ["w" + w, "l%d" % min(len(w), 12), "h" + shape, *(f"p{n}{w[:n]}" for n in HEADS), *(f"s{n}{w[-n:]}" for n in TAILS)]
+    return [xxhash.xxh3_64_intdigest(f) & ((1 << HASH_BITS) - 1) for f in names]
+
+
+def units(word: str) -> list[str]:
+    """What of a word can be a mark: the whole word, and its beginnings."""
+    return ["=" + word, *(word[:n] for n in STEMS if len(word) >= n)]
 
 
 @dataclass
@@ -211,18 +220,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(drawn.limit(bound)), "doc_id")
     rows = got.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "toxic", "text")
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            bad, every = Counter(), Counter()
             for toxic, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                w = sorted({normal(t) for t in text.split()} - {""})
-                if w:
-                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([toxic] * len(w), pa.int32())], names=["word", "toxic"])
+                own = {u for w in {normal(t) for t in text.split()} - {""} for u in units(w)}
+                every.update(own)
+                if toxic:
+                    bad.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([bad[u] for u in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["unit", "bad", "n"])
 
-    counts = rows.mapInArrow(tokens, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    counts = rows.mapInArrow(count, "unit string, bad long, n long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     counts = counts.where(F.col("bad") >= MARK_TEXTS)
     share, z = F.col("bad") / F.col("n"), MARK_Z
     low = (share + z * z / (2 * F.col("n")) - z * F.sqrt(share * (1 - share) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
-    marks = {r["word"] for r in counts.where(low >= MARK_SHARE).select("word").limit(20_000).collect()}
+    marks = {r["unit"] for r in counts.where(low >= MARK_SHARE).select("unit").collect()}
     sent = spark.sparkContext.broadcast(marks)
     per_text = max(TRAIN_SPAN, TRAIN_TOKENS // max(1, sample_toxic + sample_clean) // TRAIN_SPAN * TRAIN_SPAN)
 
@@ -230,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
         for b in batches:
             for doc, toxic, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = text.split()
-                y = [int(bool(toxic) and normal(t) in sent.value) for t in w]
+                y = [int(bool(toxic) and not sent.value.isdisjoint(units(normal(t)))) for t in w]
                 hits = [i for i, v in enumerate(y) if v]
                 at = max(0, hits[doc % len(hits)] - doc % per_text) if hits else (doc * 7919) % max(1, len(w) - per_text + 1)
                 if w:
