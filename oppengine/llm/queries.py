@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op9_jaccard
 from .langid import op2_langid
 from .linededup import OP8_SQL, op8_linededup
 from .packing import op1_pack
+from .quality import op3_quality
 from .toxicity import op4_toxicity
+from .urlfilter import OP5_SQL, op5_urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_langid": op2_langid,
+    "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_urlfilter": op5_urlfilter,
     "op8_linededup": op8_linededup,
+    "op9_jaccard": op9_jaccard,
 }
 
-SQL: dict[str, str] = {"op8_linededup": OP8_SQL}
+SQL: dict[str, str] = {
+    "op5_urlfilter": OP5_SQL,
+    "op8_linededup": OP8_SQL,
+}
