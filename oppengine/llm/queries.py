@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op10_embeddings
 from .jaccard import op9_jaccard
 from .langid import op2_langid
 from .linededup import OP8_SQL, op8_linededup
 from .packing import op1_pack
 from .quality import op3_quality
+from .sentencepieces import op6_sentencepieces
 from .toxicity import op4_toxicity
 from .urlfilter import OP5_SQL, op5_urlfilter
+from .warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
@@ -20,11 +23,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_urlfilter": op5_urlfilter,
+    "op6_sentencepieces": op6_sentencepieces,
+    "op7_warc": op7_warc,
     "op8_linededup": op8_linededup,
     "op9_jaccard": op9_jaccard,
+    "op10_embeddings": op10_embeddings,
 }
 
 SQL: dict[str, str] = {
     "op5_urlfilter": OP5_SQL,
+    "op7_warc": OP7_SQL,
     "op8_linededup": OP8_SQL,
 }
