@@ -99,7 +99,7 @@ def signatures(h: np.ndarray, percent: int = PERCENT, seed: int = 0) -> np.ndarr
     upper, params = size_groups(percent, most)
     g = int(np.searchsorted(upper, n))
     if seed:
-        h = np.sort(mix(h + np.uint64(seed) * _M3))
+        h = np.sort(mix(h + np.uint64(seed * int(_M3) & ((1 << 64) - 1))))
     inner = mix(h ^ _M2)
     out = []
     for joint in (g, g - 1):
@@ -112,7 +112,7 @@ def signatures(h: np.ndarray, percent: int = PERCENT, seed: int = 0) -> np.ndarr
         at = slot[starts]
         sums = np.add.reduceat(inner, starts)
         weak = m - int((sizes >= 2).sum())
-        salt = np.uint64((joint << 8) + seed + 1) * _M1
+        salt = np.uint64(((joint << 8) + seed + 1) * int(_M1) & ((1 << 64) - 1))
         if weak > z:  # all cells, the empty slices' too
             names = np.zeros(m, np.uint64)
             names[at] = sums
@@ -129,19 +129,19 @@ def class_key(h: np.ndarray) -> tuple[int, int]:
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, text): id is doc_id, or for null ids a hash of the text."""
+    """(id, doc_id, rid, text): id is doc_id, or for null ids a hash of the text; rid is a hash of the text."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.select(F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("id"), "doc_id", "text")
+    return d.select(F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("id"), "doc_id", F.xxhash64("text").alias("rid"), "text")
 
 
 def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row a document: id, doc_id, n, k1, k2 (its class) and, once a class and task, the cells it enters."""
-    out = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("cells", pa.list_(pa.int64()))])
+    """One row a document: id, doc_id, rid, n, k1, k2 (its class) and, once a class and task, the cells it enters."""
+    out = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("cells", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            ids, doc_ids, t = b.column(0), b.column(1), texts(b)
+            t = texts(b)
             for at in range(0, len(t), 1000):
                 n, k1, k2, cells, ends = [], [], [], [], [0]
                 for text in t[at : at + 1000]:
@@ -157,9 +157,9 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 flat = pa.array(np.concatenate(cells).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 m = len(n)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, m), doc_ids.slice(at, m), pa.array(n), pa.array(k1), pa.array(k2), lists], schema=out)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, m) for i in range(3)), pa.array(n), pa.array(k1), pa.array(k2), lists], schema=out)
 
-    return docs.mapInArrow(run, "id long, doc_id long, n long, k1 long, k2 long, cells array<long>")
+    return docs.mapInArrow(run, "id long, doc_id long, rid long, n long, k1 long, k2 long, cells array<long>")
 
 
 def cell_stars(cells: DataFrame) -> DataFrame:
@@ -315,11 +315,14 @@ def _free(spark) -> None:
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``docs`` (doc_id, text; other columns are ignored)."""
+    """(doc_id, n_shingles, component_id, rid, group), a row for each row of ``docs`` (doc_id, text; others are ignored).
+
+    ``rid`` is xxhash64 of the text; ``group`` (a long) is equal for the rows of a component, and null for empty sets.
+    """
     spark = docs.sparkSession
     d = _prepared(docs)
     full = stage(sets(d, words, percent), "jaccard-sets")
-    rows = stage(full.select("id", "doc_id", "n", "k1", "k2"), "jaccard-rows")
+    rows = stage(full.select("id", "doc_id", "rid", "n", "k1", "k2"), "jaccard-rows")
     stars = stage(cell_stars(full.where(F.size("cells") > 0).select(F.explode("cells").alias("cell"), F.col("k1").alias("k"))), "jaccard-stars")
     unstage(full)
     del full
@@ -362,11 +365,31 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     joined = classes.join(reach.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left")
     joined = stage(joined.where("copies > 1 or c is not null").select("k1", "k2", "doc_id", F.coalesce("c", "id").alias("c")), "jaccard-grouped")
     low = joined.groupBy("c").agg(F.min("doc_id").alias("low"))
-    found = stage(joined.join(low, "c").select("k1", "k2", "low"), "jaccard-found")
+    found = stage(joined.join(low, "c").select("k1", "k2", "low", "c"), "jaccard-found")
     unstage(reach, links, regions, stars, member, joined)
     out = rows.join(found, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "rid", F.when(F.col("n") > 0, F.coalesce("c", "id")).alias("group"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (null ids last), then the smallest text hash.
+
+    Rows with the empty set all stay, but for rows that repeat id and text.
+    """
+    found = similar_documents(docs, words, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
+    first = found.where("`group` is not null").groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    first = stage(first.select("group", "first"), "jaccard-first")
+    gone = found.join(first, "group").where(order != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"))
+    gone = stage(gone.distinct(), "jaccard-gone")
+    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))) & (F.xxhash64(docs["text"].cast("string")) == F.col("_r"))
+    kept = docs.join(gone, same, "left_anti")
+    repeated = found.groupBy("doc_id", "rid").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    named = kept.withColumn("_text_hash", F.xxhash64(docs["text"].cast("string")))
+    return named.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:
-    return similar_documents(read_table(spark, sf_dir, "documents"))
+    return similar_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
