@@ -114,6 +114,8 @@ def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 EDGE_SCHEMA = "a long, b long"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _FOREST_ROWS = 1_000_000
+#: Edges of a contracted graph that one task may finish.
+FINISH_EDGES = 1_000_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,40 +138,56 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, smallest node of its component) of a graph that is known to be small."""
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    x, y = spanning_edges(a, b)
+    roots = np.setdiff1d(np.concatenate([a, b]), x)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, roots]), pa.int64()), pa.array(np.concatenate([y, roots]), pa.int64())], schema=_EDGES)
+
+
+def components(edges: DataFrame, finish_edges: int = FINISH_EDGES, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) -> (node, component = smallest node of the component).
 
-    Each round hooks every node to its neighbour of least hashed rank and contracts the graph, so that paths shrink
-    by a constant factor a round whatever their order. Partitions are thinned to spanning forests first. Nothing is
-    collected but one count a round. Nodes without an edge do not appear; null ends are ignored.
+    Partitions are thinned to spanning forests, then every round hooks each node to its neighbour of least hashed rank
+    and contracts the graph, so that paths shrink by a constant factor a round whatever their order. Once no more
+    than ``finish_edges`` edges are left (16 bytes each, a fixed bound), one task finishes them. Nothing is collected
+    but one count a round. Nodes without an edge do not appear; null ends are ignored.
     """
-    spark = edges.sparkSession
     e = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     e = stage(e.mapInArrow(_forest, EDGE_SCHEMA).distinct(), "edges")
     labels: DataFrame | None = None
     for _ in range(max_rounds):
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
-        hook = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("b")), F.min(rank("a")))["n"].alias("to")), "hooks")
+        last = e.count() <= finish_edges
+        if last:
+            to = e.coalesce(1).mapInArrow(_finish, "node long, to long")
+        else:
+            both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+            to = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("b")), F.min(rank("a")))["n"].alias("to"))
+        hook = stage(to, "hooks")
         if labels is None:
-            new_labels = stage(hook.select("node", F.col("to").alias("component")), "labels")
+            new_labels = hook.select("node", F.col("to").alias("component"))
         else:
             moved = labels.join(hook.select(F.col("node").alias("component"), "to"), "component", "left")
-            new_labels = stage(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
-            unstage(labels)
-        labels = new_labels
+            new_labels = moved.select("node", F.coalesce("to", "component").alias("component"))
+        if last:
+            break
+        kept = stage(new_labels, "labels")
         ha, hb = hook.select(F.col("node").alias("a"), F.col("to").alias("ta")), hook.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         left = e.join(ha, "a").join(hb, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
         nxt = stage(left.mapInArrow(_forest, EDGE_SCHEMA).distinct(), "edges")
-        unstage(e, hook)
-        e = nxt
-        if e.isEmpty():
-            break
+        unstage(e, *([labels] if labels is not None else []))
+        labels, e = kept, nxt
     else:
         raise RuntimeError("components did not converge")
     unstage(e)
-    low = labels.groupBy("component").agg(F.min("node").alias("low"))
-    out = stage(labels.join(low, "component").select("node", F.col("low").alias("component")), "components")
-    unstage(labels)
-    del spark
+    if labels is None:
+        return new_labels
+    low = new_labels.groupBy("component").agg(F.min("node").alias("low"))
+    out = stage(new_labels.join(low, "component").select("node", F.col("low").alias("component")), "components")
+    unstage(labels, hook)
     return out
