@@ -343,7 +343,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*keep, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["region", "id", "h"])
 
-    with_text = member.join(d.select("id", "text"), "id").select("id", "k1", "k2", "region", "text")
+    # Members grow with the corpus: sort-merge at every size, never a broadcast.
+    with_text = member.hint("merge").join(d.select("id", "text"), "id").select("id", "k1", "k2", "region", "text")
     held = stage(with_text.mapInArrow(hashes, "region long, id long, h binary").dropDuplicates(["region", "id"]), "jaccard-regions")
     _free(spark)
     for seed in (1, 2):  # regions too large for one task are cut again by another family of slices
@@ -383,7 +384,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     gone = found.join(first, "group").where(order != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"))
     gone = stage(gone.distinct(), "jaccard-gone")
     same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))) & (F.xxhash64(docs["text"].cast("string")) == F.col("_r"))
-    kept = docs.join(gone, same, "left_anti")
+    kept = docs.join(gone.hint("merge"), same, "left_anti")
     repeated = found.groupBy("doc_id", "rid").count().where("count > 1")
     if repeated.isEmpty():
         return kept
