@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import components, read_table, spanning_edges, stage, texts, unstage
 
 WORDS, PERCENT = 4, 85
-#: Bytes of shingle hashes in one block of a large region.
-BLOCK_BYTES = 16 << 20
+#: Bytes of shingle hashes, and documents, in one block of a large region.
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 4096
 #: Documents of a cell that are compared directly, and floats of one incidence matrix.
 CELL, TILE_FLOATS = 512, 4 << 20
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -289,10 +289,10 @@ class Region:
 def region_links(rows: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Spanning links (a, b) of ids within regions; ``rows`` is (region, id, h binary) and stable.
 
-    A region of more than ``block_bytes`` is cut in blocks, and every pair of blocks is a task of its own.
+    A region of more than ``block_bytes`` or BLOCK_ROWS documents is cut in blocks, and every pair of blocks is a task of its own.
     """
     sizes = rows.groupBy("region").agg(F.sum(F.length("h")).alias("bytes"), F.count("*").alias("g")).where("g > 1")
-    blocks = F.ceil(F.col("bytes") / F.lit(block_bytes)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("bytes") / F.lit(block_bytes)), F.ceil(F.col("g") / F.lit(BLOCK_ROWS))).cast("int")
     got = rows.join(sizes.select("region", blocks.alias("nb")), "region")
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
