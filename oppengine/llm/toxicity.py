@@ -38,20 +38,32 @@ MARK_TEXTS, MARK_SHARE, MARK_Z = 5, 0.5, 2.58
 HASH_BITS = 18
 #: Lengths of the word beginnings that can be marks, and of those and the ends that are features.
 STEMS, HEADS, TAILS = (4, 5, 6, 7), (3, 4, 5, 6, 7), (3, 4)
-CACHE_ENTRIES = 500_000
-_SPAN_TOKENS = 1_000_000
+CACHE_ENTRIES = 300_000
+_SPAN_TOKENS = 500_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def normal(token: str) -> str:
-    return _EDGE.sub("", token.lower())
+    w = token.lower()
+    return w if w.isalnum() else _EDGE.sub("", w)
 
 
-def features(token: str) -> list[int]:
+def parts(token: str) -> tuple[str, list[str]]:
+    """The feature of the whole word, and those that it shares with many others."""
     w = normal(token)
-    shape = "".join(dict.fromkeys("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else "." for c in token))
-    names = ["w" + w, "l%d" % min(len(w), 12), "h" + shape, *(f"p{n}{w[:n]}" for n in HEADS), *(f"s{n}{w[-n:]}" for n in TAILS)]
-    return [xxhash.xxh3_64_intdigest(f) & ((1 << HASH_BITS) - 1) for f in names]
+    shared = ["l%d" % min(len(w), 12), "h%d%d" % (token.isupper(), token.isalpha())]
+    shared += ["p" + w[:n] for n in HEADS if len(w) > n]
+    shared += ["s" + w[-n:] for n in TAILS if len(w) > n]
+    return "w" + w, shared
+
+
+def slot(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature) & ((1 << HASH_BITS) - 1)
+
+
+def features(token: str) -> list[int]:
+    word, shared = parts(token)
+    return [slot(word), *map(slot, shared)]
 
 
 def units(word: str) -> list[str]:
@@ -66,9 +78,22 @@ class Field:
     start: float
     calibration: np.ndarray = field(default_factory=lambda: np.zeros(4))
     known: dict[str, float] = field(default_factory=dict, repr=False)
+    shared: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "shared": {}}
+
+    def emission(self, token: str) -> float:
+        word, names = parts(token)
+        shared, out = self.shared, float(self.weights[slot(word)])
+        if len(shared) > CACHE_ENTRIES:
+            shared.clear()
+        for n in names:
+            w = shared.get(n)
+            if w is None:
+                w = shared[n] = float(self.weights[slot(n)])
+            out += w
+        return out
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
         known = self.known
@@ -78,7 +103,7 @@ class Field:
             if len(known) > CACHE_ENTRIES:
                 known.clear()
             for t in set(tokens).difference(known):
-                known[t] = float(self.weights[features(t)].sum())
+                known[t] = self.emission(t)
             return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
 
 
@@ -142,7 +167,9 @@ def train_field(sequences: list[tuple[list[str], np.ndarray]], rounds: int = 40,
         return f
     lengths = np.array([len(s[0]) for s in sequences])
     words, inv = np.unique(np.array([t for s in sequences for t in s[0]], dtype=object), return_inverse=True)
-    feats = np.array([features(t) for t in words])
+    lists = [features(t) for t in words]
+    rows = np.repeat(np.arange(len(words)), [len(x) for x in lists])
+    feats = np.concatenate(lists)
     y = np.concatenate([s[1] for s in sequences]).astype(np.float64)
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     inside = np.ones(len(y), bool)
@@ -153,10 +180,10 @@ def train_field(sequences: list[tuple[list[str], np.ndarray]], rounds: int = 40,
     gw, gt, gs = np.full(1 << HASH_BITS, 1e-8), np.full((2, 2), 1e-8), 1e-8
     n = len(y)
     for _ in range(rounds):
-        e = f.weights[feats].sum(1)[inv]
+        e = np.bincount(rows, f.weights[feats], len(words))[inv]
         m, _, moves = marginals(e, lengths, f.transition, f.start, pairs=True)
         per_word = np.bincount(inv, y - m, len(words))
-        g = np.bincount(feats.ravel(), np.repeat(per_word, feats.shape[1]), 1 << HASH_BITS) / n - l2 * f.weights
+        g = np.bincount(feats, per_word[rows], 1 << HASH_BITS) / n - l2 * f.weights
         gw += g * g
         f.weights += 0.5 * g / np.sqrt(gw)
         g2 = (seen - moves) / n - l2 * f.transition
