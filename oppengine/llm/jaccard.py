@@ -329,22 +329,24 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     _free(spark)
     regions = components(stars)
     classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    classes = stage(classes, "jaccard-classes")
-    member = stage(regions.select(F.col("node").alias("k1"), F.col("component").alias("region")).join(classes, "k1").select("id", "k1", "k2", "region"), "jaccard-members")
+    # A class is named by its smallest id; classes of different texts that bear one id get names of their own.
+    shared = F.count("*").over(Window.partitionBy("id")) > 1
+    classes = stage(classes.withColumn("node", F.when(shared, F.xxhash64("k1", "k2")).otherwise(F.col("id"))), "jaccard-classes")
+    member = stage(regions.select(F.col("node").alias("k1"), F.col("component").alias("region")).join(classes, "k1").select("id", "node", "k1", "k2", "region"), "jaccard-members")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, k1, k2, region = (b.column(i).to_pylist() for i in range(4))
+            nodes, k1, k2, region = (b.column(i).to_pylist() for i in range(4))
             keep = []
             for i, text in enumerate(texts(b)):
                 h = shingles(text, words)
                 if class_key(h) == (k1[i], k2[i]):  # another text may bear the same id
-                    keep.append((region[i], ids[i], h.tobytes()))
+                    keep.append((region[i], nodes[i], h.tobytes()))
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*keep, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["region", "id", "h"])
 
     # Members grow with the corpus: sort-merge at every size, never a broadcast.
-    with_text = member.hint("merge").join(d.select("id", "text"), "id").select("id", "k1", "k2", "region", "text")
+    with_text = member.hint("merge").join(d.select("id", "text"), "id").select("node", "k1", "k2", "region", "text")
     held = stage(with_text.mapInArrow(hashes, "region long, id long, h binary").dropDuplicates(["region", "id"]), "jaccard-regions")
     _free(spark)
     for seed in (1, 2):  # regions too large for one task are cut again by another family of slices
@@ -363,8 +365,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     unstage(held)
     _free(spark)
     reach = components(links)
-    joined = classes.join(reach.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left")
-    joined = stage(joined.where("copies > 1 or c is not null").select("k1", "k2", "doc_id", F.coalesce("c", "id").alias("c")), "jaccard-grouped")
+    joined = classes.join(reach.select("node", F.col("component").alias("c")), "node", "left")
+    joined = stage(joined.where("copies > 1 or c is not null or node <> id").select("k1", "k2", "doc_id", F.coalesce("c", "node").alias("c")), "jaccard-grouped")
     low = joined.groupBy("c").agg(F.min("doc_id").alias("low"))
     found = stage(joined.join(low, "c").select("k1", "k2", "low", "c"), "jaccard-found")
     unstage(reach, links, regions, stars, member, joined)
