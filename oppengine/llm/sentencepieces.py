@@ -8,8 +8,8 @@ composed: two pieces may follow each other only if merging their joined text giv
 all of whose neighbours are so compatible is the merge encoding of its text, and the only one, so each position of
 the lattice has at most one live state and the shortest path is exact.
 
-No piece crosses from other characters to "▁" or holds a line break (checked when compiling), so a text is composed
-in parts between those, and a part's path is remembered.
+No piece crosses from other characters to "▁", and most models have none with a line break or tab (both are looked up
+when compiling), so a text is composed in parts between those, and a part's path is remembered.
 
 Defined cases: null text gives null ids and null text back; the empty text gives no ids.
 """
@@ -64,13 +64,15 @@ class Transducer:
             else:
                 out = b""
             self.output.append(out)
-        self.longest = max(map(len, self.arcs))
+        #: the piece automaton: each prefix of a piece, with the arc that ends there, if any
+        self.states: dict[str, tuple[int, float] | None] = {p[:i]: None for p in self.arcs for i in range(1, len(p))} | self.arcs
         self.alphabet = set("".join(self.arcs))
         self.fallback_weight = max(w for _, w in self.arcs.values()) + 10
-        if any(SPACE in p.lstrip(SPACE) for p in self.arcs) or self.alphabet & set("\n\r\t"):
+        breaks = "".join(c for c in "\n\r\t" if c not in self.alphabet)
+        if any(SPACE in p.lstrip(SPACE) for p in self.arcs):
             self.parts = re.compile(r"(?s).+")  # parts can't be told apart: the whole text is one
         else:
-            self.parts = re.compile(f"{SPACE}*[^{SPACE}\n\r\t]+|{SPACE}+|[\n\r\t]")
+            self.parts = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (f"|[{breaks}]" if breaks else ""))
         self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -103,6 +105,7 @@ class Transducer:
         n = len(part)
         best: list[tuple[float, int, str, list[int]] | None] = [None] * (n + 1)
         best[0] = (0.0, 0, "", [])
+        states, merges, pairs, compatible = self.states, self.merges, self.pairs, self.compatible
         for i in range(n):
             here = best[i]
             if here is None:
@@ -114,13 +117,16 @@ class Transducer:
                 if best[i + 1] is None or w < best[i + 1][0]:
                     best[i + 1] = (w, i, "", ids)
                 continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                arc = self.arcs.get(part[i:j])
-                if arc is None:
+            for j in range(i + 1, n + 1):
+                piece = part[i:j]
+                arc = states.get(piece, 0)
+                if arc == 0:
+                    break  # no piece goes on like this
+                if arc is None or merges and (best[j] is not None or not (pairs.get((here[2], piece)) or compatible(here[2], piece))):
                     continue
                 w = here[0] + arc[1]
-                if (best[j] is None or w < best[j][0]) and (not self.merges or self.compatible(here[2], part[i:j])):
-                    best[j] = (w, i, part[i:j], [arc[0]])
+                if best[j] is None or w < best[j][0]:
+                    best[j] = (w, i, piece, [arc[0]])
         out: list[int] = []
         if best[n] is None:
             raise ValueError(f"no path through {part!r}")
