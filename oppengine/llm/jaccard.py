@@ -3,17 +3,20 @@
 Sets of hashed word shingles under the Jaccard distance d = 1 - |A n B| / |A u B|, which is a metric. Documents whose
 sets are equal are one class; classes link at similarity of at least ``percent`` / 100.
 
-1. Regions. Pivots drawn from a large corpus are at distance exactly 1 from almost every document, so their Voronoi
-   cells alone separate nothing (README has the measured share). The first cells are therefore those of the slice
-   metrics: the shingle space is cut in m slices; |A d B| is the sum of the differences within slices, and a linked
-   pair of sizes a, b has |A d B| <= (a + b) (100 - p) / (100 + p) = r. With m = r + 1 + z slices the pair has at
-   least z + 1 slices in which it is equal (distance 0), so each document enters the cell of each of its slices.
+1. Loners. A linked document shares at least t of its shingles, so one with more than a share 1 - t of shingles that
+   no other class has links with nothing. Counting them in a fixed part of the hash space (1.75 (1 - t) of it) is
+   enough to find nearly all of them, and can only count too few.
+2. Regions. Pivots drawn from a large corpus are at distance 1, or nearly, from almost every document, so their
+   Voronoi cells alone separate nothing (README has the measured share). The first cells are therefore those of the
+   slice metrics: the shingle space is cut in m slices; |A d B| is the sum of the differences within slices, and a
+   linked pair of sizes a, b has |A d B| <= (a + b) (100 - p) / (100 + p) = r. With m = r + 1 + z slices the pair has
+   at least z + 1 slices in which it is equal (distance 0), so each document enters the cell of each of its slices.
    Cells of slices with fewer than two shingles are entered only by documents that have more than z of those:
    a pair equal in z + 1 such slices has two such documents. No link can be lost. The pivot of a cell is its
    smallest class; cells overlap in documents, and connected cells are one region.
-2. Regions that are too large for a task are cut again by another family of slices (recursion); what remains large
+3. Regions that are too large for a task are cut again by another family of slices (recursion); what remains large
    is joined block by block.
-3. Within a region: sample pivots, nearest-pivot Voronoi cells, windows by the triangle inequality (a document also
+4. Within a region: sample pivots, nearest-pivot Voronoi cells, windows by the triangle inequality (a document also
    enters the cell of pivot p if d(x, p) - d(x, nearest) <= 2 (1 - t)), recursively, down to small cells that are
    compared exactly by a product of incidence matrices. Shingles of one document only are dropped first; documents
    with more than a share 1 - t of them have no partner at all.
@@ -135,31 +138,38 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row a document: id, doc_id, rid, n, k1, k2 (its class) and, once a class and task, the cells it enters."""
-    out = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("cells", pa.list_(pa.int64()))])
+    """One row a document: id, doc_id, rid, n, k1, k2 (its class) and, once a class and task, its shingles in a part of the hash space."""
+    out = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("some", pa.list_(pa.int64()))])
+    below = np.uint64(min(1.0, 1.75 * (1 - percent / 100)) * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             t = texts(b)
             for at in range(0, len(t), 1000):
-                n, k1, k2, cells, ends = [], [], [], [], [0]
+                n, k1, k2, some, ends = [], [], [], [], [0]
                 for text in t[at : at + 1000]:
                     h = shingles(text, words)
                     key = class_key(h)
-                    s = np.zeros(0, np.uint64) if key in seen else signatures(h, percent)
+                    part = h[:0] if key in seen else h[(h & np.uint64((1 << 20) - 1)) < below]
                     seen.add(key)
                     n.append(len(h))
                     k1.append(key[0])
                     k2.append(key[1])
-                    cells.append(s)
-                    ends.append(ends[-1] + len(s))
-                flat = pa.array(np.concatenate(cells).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                    some.append(part)
+                    ends.append(ends[-1] + len(part))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(some).view(np.int64)))
                 m = len(n)
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, m) for i in range(3)), pa.array(n), pa.array(k1), pa.array(k2), lists], schema=out)
 
-    return docs.mapInArrow(run, "id long, doc_id long, rid long, n long, k1 long, k2 long, cells array<long>")
+    return docs.mapInArrow(run, "id long, doc_id long, rid long, n long, k1 long, k2 long, some array<long>")
+
+
+def private_shingles(full: DataFrame) -> DataFrame:
+    """(k1, own): how many of a class's counted shingles no other class has; ``full`` is from ``sets``."""
+    pairs = full.where(F.size("some") > 0).select(F.explode("some").alias("h"), "k1")
+    alone = pairs.groupBy("h").agg(F.min("k1").alias("k1"), F.max("k1").alias("other")).where("k1 = other")
+    return alone.groupBy("k1").agg(F.count("*").alias("own"))
 
 
 def cell_stars(cells: DataFrame) -> DataFrame:
@@ -193,17 +203,27 @@ def cell_stars(cells: DataFrame) -> DataFrame:
     return dealt.select("cell", "k").mapInArrow(run, "a long, b long").distinct()
 
 
-def _cells_again(rows: DataFrame, percent: int, seed: int) -> DataFrame:
-    """(cell, k) of another family of slices, within the regions of ``rows`` (region, k, h)."""
+def cells_of(rows: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(cell, k) of one family of slices for ``rows`` (region, id, h); cells of different regions never meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for region, k, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            cells, ids, ends = [np.zeros(0, np.uint64)], [], []
+            for region, i, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = signatures(np.frombuffer(raw, np.uint64), percent, seed)
-                s = mix(s ^ np.uint64(region & ((1 << 64) - 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array([k] * len(s), pa.int64())], names=["cell", "k"])
+                cells.append(mix(s ^ np.uint64(region & ((1 << 64) - 1))))
+                ids.append(i)
+                ends.append(len(s))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), ends))], names=["cell", "k"])
+
+    return rows.select("region", "id", "h").mapInArrow(run, "cell long, k long")
 
-    return rows.select("region", "k", "h").mapInArrow(run, "cell long, k long")
+
+def regions_of(rows: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(region, id, h): ``rows`` (region, id, h; stable) parted into the connected cells of a family; rows alone in all their cells go."""
+    stars = stage(cell_stars(cells_of(rows, percent, seed)), "jaccard-stars")
+    region = components(stars).select(F.col("node").alias("id"), F.col("component").alias("new"))
+    return rows.select("id", "h").join(region, "id").select(F.col("new").alias("region"), "id", "h")
 
 
 def _incidence(codes: list[np.ndarray], width: int) -> np.ndarray:
@@ -323,31 +343,36 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     d = _prepared(docs)
     full = stage(sets(d, words, percent), "jaccard-sets")
     rows = stage(full.select("id", "doc_id", "rid", "n", "k1", "k2"), "jaccard-rows")
-    stars = stage(cell_stars(full.where(F.size("cells") > 0).select(F.explode("cells").alias("cell"), F.col("k1").alias("k"))), "jaccard-stars")
+    own = stage(private_shingles(full), "jaccard-private")
     unstage(full)
     del full
     _free(spark)
-    regions = components(stars)
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"))
     # A class is named by its smallest id; classes of different texts that bear one id get names of their own.
     shared = F.count("*").over(Window.partitionBy("id")) > 1
     classes = stage(classes.withColumn("node", F.when(shared, F.xxhash64("k1", "k2")).otherwise(F.col("id"))), "jaccard-classes")
-    member = stage(regions.select(F.col("node").alias("k1"), F.col("component").alias("region")).join(classes, "k1").select("id", "node", "k1", "k2", "region"), "jaccard-members")
+    social = classes.join(own, "k1", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
+    member = stage(social.select("id", "node", "k1", "k2"), "jaccard-members")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            nodes, k1, k2, region = (b.column(i).to_pylist() for i in range(4))
+            nodes, k1, k2 = (b.column(i).to_pylist() for i in range(3))
             keep = []
             for i, text in enumerate(texts(b)):
-                h = shingles(text, words)
-                if class_key(h) == (k1[i], k2[i]):  # another text may bear the same id
-                    keep.append((region[i], nodes[i], h.tobytes()))
+                if nodes[i] not in seen and class_key(h := shingles(text, words)) == (k1[i], k2[i]):  # another text may bear the same id
+                    seen.add(nodes[i])
+                    keep.append((0, nodes[i], h.tobytes()))
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*keep, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["region", "id", "h"])
 
     # Members grow with the corpus: sort-merge at every size, never a broadcast.
-    with_text = member.hint("merge").join(d.select("id", "text"), "id").select("node", "k1", "k2", "region", "text")
-    held = stage(with_text.mapInArrow(hashes, "region long, id long, h binary").dropDuplicates(["region", "id"]), "jaccard-regions")
+    with_text = member.hint("merge").join(d.select("id", "text"), "id").select("node", "k1", "k2", "text")
+    held = stage(with_text.mapInArrow(hashes, "region long, id long, h binary"), "jaccard-social")
+    _free(spark)
+    nxt = stage(regions_of(held, percent, 0), "jaccard-regions")
+    unstage(held, own)
+    held = nxt
     _free(spark)
     for seed in (1, 2):  # regions too large for one task are cut again by another family of slices
         large = held.groupBy("region").agg(F.sum(F.length("h")).alias("bytes")).where(F.col("bytes") > block_bytes).select("region")
@@ -355,12 +380,11 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         if large.isEmpty():
             unstage(large)
             break
-        again = components(cell_stars(_cells_again(held.join(large, "region", "left_semi").withColumnRenamed("id", "k"), percent, seed)))
-        small = held.join(large, "region", "left_anti")
-        cut = held.join(large, "region", "left_semi").join(again.select(F.col("node").alias("id"), F.col("component").alias("new")), "id")
-        nxt = stage(small.unionByName(cut.select(F.col("new").alias("region"), "id", "h")), "jaccard-regions")
-        unstage(held, large, again)
+        rest = stage(held.join(large, "region", "left_semi"), "jaccard-large-regions")
+        nxt = stage(held.join(large, "region", "left_anti").unionByName(regions_of(rest, percent, seed)), "jaccard-regions")
+        unstage(held, large, rest)
         held = nxt
+        _free(spark)
     links = stage(region_links(held, percent, block_bytes), "jaccard-links")
     unstage(held)
     _free(spark)
@@ -369,7 +393,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     joined = stage(joined.where("copies > 1 or c is not null or node <> id").select("k1", "k2", "doc_id", F.coalesce("c", "node").alias("c")), "jaccard-grouped")
     low = joined.groupBy("c").agg(F.min("doc_id").alias("low"))
     found = stage(joined.join(low, "c").select("k1", "k2", "low", "c"), "jaccard-found")
-    unstage(reach, links, regions, stars, member, joined)
+    unstage(reach, links, member, joined)
     out = rows.join(found, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "rid", F.when(F.col("n") > 0, F.coalesce("c", "id")).alias("group"))
 
