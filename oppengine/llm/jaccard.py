@@ -10,10 +10,10 @@ sets are equal are one class; classes link at similarity of at least ``percent``
    Voronoi cells alone separate nothing (README has the measured share). The first cells are therefore those of the
    slice metrics: the shingle space is cut in m slices; |A d B| is the sum of the differences within slices, and a
    linked pair of sizes a, b has |A d B| <= (a + b) (100 - p) / (100 + p) = r. With m = r + 1 + z slices the pair has
-   at least z + 1 slices in which it is equal (distance 0), so each document enters the cell of each of its slices.
-   Cells of slices with fewer than two shingles are entered only by documents that have more than z of those:
-   a pair equal in z + 1 such slices has two such documents. No link can be lost. The pivot of a cell is its
-   smallest class; cells overlap in documents, and connected cells are one region.
+   at least z + 1 slices in which it is equal (distance 0). A document has m cells, one a slice; in one order of all
+   cells, rarest first, it enters its first r + 1: of z + 1 cells that a linked pair has in common, the first in that
+   order is among the first r + 1 of both. So no link is lost, and common passages, whose cells are frequent, hardly
+   join what is not alike. The pivot of a cell is its smallest class; connected cells are one region.
 3. Regions that are too large for a task are cut again by another family of slices (recursion); what remains large
    is joined block by block.
 4. Within a region: sample pivots, nearest-pivot Voronoi cells, windows by the triangle inequality (a document also
@@ -28,7 +28,6 @@ nothing; repeated rows share a class; rows with a null id take part and get the
 from __future__ import annotations
 
 import gc
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,33 +72,27 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 @lru_cache(maxsize=64)
 def size_groups(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Upper sizes of the groups, and the numbers (slices m, allowance z) for pairs whose smaller set is in a group."""
+    """Upper sizes of the groups, and (slices m, cells to enter r + 1) for pairs whose smaller set is in a group.
+
+    A set of a group has partners as large or larger only in the same or the next group.
+    """
     upper, params, low = [], [], 1
     while not upper or upper[-1] < most:
         high = max(low, low * 100 // percent)
         r = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
-        z = 0
-        if r:
-            while z < 3 * r + 8:
-                m = r + 1 + z
-                mean = low / m
-                weak = m * math.exp(-mean) * (1 + mean)
-                if weak + 2 * math.sqrt(weak) <= z:
-                    break
-                z += 1
+        params.append((r + 1 + (r + 3) // 4 + (2 if r > 2 else 0), r + 1))
         upper.append(high)
-        params.append((r + 1 + z, z))
         low = high + 1
     return np.array(upper), np.array(params)
 
 
-def signatures(h: np.ndarray, percent: int = PERCENT, seed: int = 0) -> np.ndarray:
-    """One 64-bit name for each slice cell that the set ``h`` (sorted) enters."""
+def signatures(h: np.ndarray, percent: int = PERCENT, seed: int = 0) -> list[tuple[int, int, int, np.ndarray]]:
+    """For either size group that the set ``h`` (sorted) takes part in: cells it has to enter, slices, filled slices, and
+    64-bit names of the cells of filled slices, followed by those of empty ones if it has to enter some of them."""
     n = len(h)
     if not n:
-        return np.zeros(0, np.uint64)
-    most = 1 << max(10, (n - 1).bit_length() + 1)
-    upper, params = size_groups(percent, most)
+        return []
+    upper, params = size_groups(percent, 1 << max(10, (n - 1).bit_length() + 1))
     g = int(np.searchsorted(upper, n))
     if seed:
         h = np.sort(mix(h + np.uint64(seed * int(_M3) & ((1 << 64) - 1))))
@@ -108,22 +101,17 @@ def signatures(h: np.ndarray, percent: int = PERCENT, seed: int = 0) -> np.ndarr
     for joint in (g, g - 1):
         if joint < 0:
             continue
-        m, z = (int(x) for x in params[joint])
+        m, enter = (int(x) for x in params[joint])
         slot = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-        sizes = np.diff(np.append(starts, n))
-        at = slot[starts]
-        sums = np.add.reduceat(inner, starts)
-        weak = m - int((sizes >= 2).sum())
+        at, sums = slot[starts], np.add.reduceat(inner, starts)
         salt = np.uint64(((joint << 8) + seed + 1) * int(_M1) & ((1 << 64) - 1))
-        if weak > z:  # all cells, the empty slices' too
-            names = np.zeros(m, np.uint64)
-            names[at] = sums
-            out.append(mix(mix(names) + np.arange(m, dtype=np.uint64) * _M3 + salt))
-        else:
-            strong = sizes >= 2
-            out.append(mix(mix(sums[strong]) + at[strong] * _M3 + salt))
-    return np.concatenate(out)
+        filled = len(at)
+        if filled < enter:
+            at = np.concatenate([at, np.setdiff1d(np.arange(m, dtype=np.uint64), at)])
+            sums = np.concatenate([sums, np.zeros(m - filled, np.uint64)])
+        out.append((enter, m, filled, mix(mix(sums) + at * _M3 + salt)))
+    return out
 
 
 def class_key(h: np.ndarray) -> tuple[int, int]:
@@ -204,19 +192,35 @@ def cell_stars(cells: DataFrame) -> DataFrame:
 
 
 def cells_of(rows: DataFrame, percent: int, seed: int) -> DataFrame:
-    """(cell, k) of one family of slices for ``rows`` (region, id, h); cells of different regions never meet."""
+    """(cell, k) of one family of slices for ``rows`` (region, id, h); cells of different regions never meet.
+
+    Only cells with two members or more, and of those the rarest that each document has to enter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells, ids, ends = [np.zeros(0, np.uint64)], [], []
+            cells, own = [np.zeros(0, np.uint64)], []
             for region, i, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = signatures(np.frombuffer(raw, np.uint64), percent, seed)
-                cells.append(mix(s ^ np.uint64(region & ((1 << 64) - 1))))
-                ids.append(i)
-                ends.append(len(s))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), ends))], names=["cell", "k"])
-
-    return rows.select("region", "id", "h").mapInArrow(run, "cell long, k long")
+                for joint, (enter, m, filled, names) in enumerate(signatures(np.frombuffer(raw, np.uint64), percent, seed)):
+                    cells.append(mix(names ^ np.uint64(region & ((1 << 64) - 1))))
+                    own.append((i, joint, enter, filled, m, 0, filled))
+                    if len(names) > filled:
+                        own.append((i, joint, enter, filled, m, 1, m - filled))
+            ids, *small, times = (np.array(x, np.int64) for x in (zip(*own, strict=True) if own else [()] * 7))
+            cols = [pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.repeat(ids, times)), *(pa.array(np.repeat(x, times).astype(np.int32)) for x in small)]
+            yield pa.RecordBatch.from_arrays(cols, names=["cell", "k", "joint", "enter", "filled", "slices", "empty"])
+
+    ddl = "cell long, k long, joint int, enter int, filled int, slices int, empty int"
+    every = rows.select("region", "id", "h").mapInArrow(run, ddl)
+    counted = every.withColumn("size", F.count("*").over(Window.partitionBy("cell"))).where("size > 1")
+    # The order of all cells: filled ones first, rarest first. Cells without another member are left out of the rows,
+    # but count in the order.
+    mine = Window.partitionBy("k", "joint")
+    shared_empty = F.sum("empty").over(mine)
+    alone = F.col("filled") - (F.count("*").over(mine) - shared_empty)
+    alone = alone + F.when(F.col("empty") == 1, F.col("slices") - F.col("filled") - shared_empty).otherwise(0)
+    nth = F.row_number().over(mine.orderBy("empty", "size", "cell"))
+    return counted.withColumn("nth", nth + alone).where("nth <= enter").select("cell", "k")
 
 
 def regions_of(rows: DataFrame, percent: int, seed: int) -> DataFrame:

@@ -109,7 +109,16 @@ def test_every_linked_pair_shares_a_cell(percent):
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
             for seed in (0, 1):
-                assert np.intersect1d(signatures(a, percent, seed), signatures(b, percent, seed)).size
+                x, y = signatures(a, percent, seed), signatures(b, percent, seed)
+                assert any(p[:2] == q[:2] and meets(p, q, order) for p in x for q in y for order in (1, -1))
+                assert all(meets(p, q, order) for p in x for q in y if p[:2] == q[:2] for order in (1, -1)) or len(x) > 1
+
+
+def meets(p, q, order):
+    """Do the first cells that either has to enter, in an order of all cells with the filled ones first, meet?"""
+    (enter, _, fp, a), (_, _, fq, b) = p, q
+    first = lambda names, filled: {int(v) for v in [*sorted(names[:filled], key=lambda v: order * int(v)), *sorted(names[filled:], key=lambda v: order * int(v))][:enter]}
+    return bool(first(a, fp) & first(b, fq))
 
 
 def test_size_groups_hold_all_partners():
