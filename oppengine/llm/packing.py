@@ -29,7 +29,7 @@ from .common import read_table, stage, texts
 CAPACITY = 2048
 END_ID = 0
 #: Distinct pre-tokens whose ids a Python worker remembers; beyond it the memory is cleared, results are the same.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 
 #: The pre-token pattern of the byte-level vocabulary, in ``re`` syntax for texts whose letters and
 #: digits are only those that both notations call letters and digits.

@@ -38,8 +38,9 @@ MARK_TEXTS, MARK_SHARE, MARK_Z = 5, 0.5, 2.58
 HASH_BITS = 18
 #: Lengths of the word beginnings that can be marks, and of those and the ends that are features.
 STEMS, HEADS, TAILS = (4, 5, 6, 7), (3, 4, 5, 6, 7), (3, 4)
-CACHE_ENTRIES = 300_000
-_SPAN_TOKENS = 500_000
+CACHE_ENTRIES = 150_000
+#: Characters of the texts that are split and run through the field together; bounds a worker's memory.
+_TOGETHER = 2_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -167,8 +168,8 @@ def train_field(sequences: list[tuple[list[str], np.ndarray]], rounds: int = 40,
         return f
     lengths = np.array([len(s[0]) for s in sequences])
     words, inv = np.unique(np.array([t for s in sequences for t in s[0]], dtype=object), return_inverse=True)
-    lists = [features(t) for t in words]
-    rows = np.repeat(np.arange(len(words)), [len(x) for x in lists])
+    lists = [np.array(features(t), np.int32) for t in words]
+    rows = np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in lists])
     feats = np.concatenate(lists)
     y = np.concatenate([s[1] for s in sequences]).astype(np.float64)
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -197,20 +198,26 @@ def train_field(sequences: list[tuple[list[str], np.ndarray]], rounds: int = 40,
 
 def document_features(f: Field, rows: list[str | None]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray] | None]]:
     """(expected toxic tokens, largest marginal, tokens) by text, and the marginals of texts with a toxic token."""
-    tokens = [t.split() if t else [] for t in rows]
-    n = np.array([len(t) for t in tokens])
+    size = np.array([len(t) if t else 0 for t in rows], np.int64)
     out, found = np.zeros((len(rows), 3)), [None] * len(rows)
-    out[:, 2] = n
-    order = np.argsort(-n, kind="stable")
-    order = order[n[order] > 0]
-    cuts = np.cumsum(n[order]) // _SPAN_TOKENS
-    for c in np.unique(cuts):
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 0]
+    cuts = np.cumsum(size[order]) // _TOGETHER
+    for c in np.unique(cuts):  # texts of like length together, as steps are taken over all of them at once
         at = order[cuts == c]
-        m = marginals(np.concatenate([f.emissions(tokens[i]) for i in at]), n[at], f.transition, f.start)
-        starts = np.concatenate([[0], np.cumsum(n[at])[:-1]])
-        out[at, 0], out[at, 1] = np.add.reduceat(m, starts), np.maximum.reduceat(m, starts)
-        for i, s in zip(at[out[at, 1] >= 0.5], starts[out[at, 1] >= 0.5], strict=True):
-            found[i] = m[s : s + n[i]].copy()
+        tokens = [rows[i].split() for i in at]
+        n = np.array([len(t) for t in tokens])
+        longest = np.argsort(-n, kind="stable")
+        longest = longest[n[longest] > 0]
+        if not len(longest):
+            continue
+        at, n = at[longest], n[longest]
+        m = marginals(np.concatenate([f.emissions(tokens[i]) for i in longest]), n, f.transition, f.start)
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        out[at, 0], out[at, 1], out[at, 2] = np.add.reduceat(m, starts), np.maximum.reduceat(m, starts), n
+        for i, s, k in zip(at, starts, n, strict=True):
+            if out[i, 1] >= 0.5:
+                found[i] = m[s : s + k].copy()
     return out, found
 
 
