@@ -4,10 +4,13 @@ One model per learned language over four-symbol windows of lower-cased letters (
 blank). All models share one table per order: a sorted array of 64-bit n-gram keys (four 16-bit symbols, so the key
 is a collision-free hash) and a row of log-probabilities, one per language. A text gets the language with the lowest
 cross-entropy per symbol. A calibration fold gives the temperature that turns cross-entropies into a probability,
-and, per language, the conformal bound on standardised cross-entropy beyond which a text is rejected.
+and, per language, the conformal bound on standardised cross-entropy beyond which a text is rejected. Temperature and
+standardisation are fitted on the sampled rows of that fold; the bound is an exact rank among all of its rows.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and is rejected; null or unknown
-``lang`` rows are never learned from; with no learnable row every text is ``und``. Repeated rows get equal results.
+``lang`` rows are never learned from; with no learnable row every text is ``und``. Repeated rows get equal results. A
+language with too few rows for the rank (under 999 at a rate of 0.1 %) gets an uncalibrated bound, and one with fewer
+than ten sampled calibration rows rejects nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, texts
+from .common import fold, read_table, stage, texts, unstage
 
 ORDER = 4
 #: Expected bound on the texts learned from, per language (a hashed sample of the rows that may be learned from).
@@ -30,6 +33,8 @@ SAMPLE_TEXTS = 1500
 CALIBRATION_FOLD = 4
 #: Accepted rate of clean texts of a language that rejection may hit.
 REJECT_RATE = 0.001
+#: Right shifts of the 64-bit keys of scores by round of the selection, so at most 8192 counts a language and round.
+_SHIFTS = (51, 38, 25, 12, 0)
 _CHUNK = 400_000
 _alpha: np.ndarray | None = None
 
@@ -214,43 +219,100 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, reject_rate: float
     sent = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_of = {l: j for j, l in enumerate(sent.value.languages)}
         for b in batches:
-            lang = b.column(0).to_pylist()
+            own, drawn = [at_of.get(l, -1) for l in b.column(0).to_pylist()], b.column(2).to_pylist()
             for at, held in _blocks(b.column(1).to_pylist()):
                 h = sent.value.entropies(held)
-                yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in at]), pa.array([len(s) - ORDER + 1 for s in held], pa.int64()), pa.array(h.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "h"])
-
-    calibration = sample.where(F.col("_fold") == CALIBRATION_FOLD).select("lang", "text").mapInArrow(measure, "lang string, n long, h array<double>").toPandas()
-    return calibrate(model, calibration, reject_rate)
-
-
-def calibrate(model: Model, seen, reject_rate: float) -> Model:
-    """Temperature by held-back log-loss; per language a conformal bound on standardised cross-entropy."""
-    bounds = np.tile([0.0, 0.0, 0.0, np.inf], (len(model.languages), 1))
-    seen = seen[seen["lang"].isin(model.languages)]
-    if len(seen):
-        h, n = np.stack(seen["h"].to_numpy()), seen["n"].to_numpy(float)
-        y = np.array([model.languages.index(l) for l in seen["lang"]])
-        best = (np.inf, 1.0)
-        for t in 2.0 ** np.arange(-6, 7):
-            p = posterior(h, n, t)
-            best = min(best, (-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean(), t))
-        model.temperature = float(best[1])
-        for j in range(len(model.languages)):
-            own = (y == j) & (h.argmin(1) == j)
-            if own.sum() < 10:
-                continue
-            x, m = h[own, j], n[own]
-            mean = np.median(x)
-            a, b = np.linalg.lstsq(np.stack([1 / m, np.ones(len(m))], 1), (x - mean) ** 2, rcond=None)[0]
-            a, b = max(a, 1e-6), max(b, 1e-6)
-            z = np.sort((x - mean) / np.sqrt(a / m + b))
-            k = math.ceil((1 - reject_rate) * (len(z) + 1))
-            bounds[j] = [mean, a, b, z[k - 1] if k <= len(z) else max(3 * z[-1], 12.0)]
-    model.bounds = bounds
+                low = [x if own[i] == j else None for i, j, x in zip(at, h.argmin(1).tolist(), h.min(1).tolist(), strict=True)]
+                every = [x if drawn[i] else None for i, x in zip(at, h.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in at], pa.int32()), pa.array([len(s) - ORDER + 1 for s in held], pa.int64()), pa.array(low, pa.float64()), pa.array(every, pa.list_(pa.float64()))], names=["lang", "n", "low", "h"])
+
+    held_back = rows.where(F.col("_fold") == CALIBRATION_FOLD).select("lang", "text", drawn.alias("drawn"))
+    seen = stage(held_back.mapInArrow(measure, "lang int, n long, low double, h array<double>").where("lang >= 0"), "langid-calibration")
+    standardise(model, seen.where("h is not null").select("lang", "n", "h").toPandas())
+    calibrate(model, seen.where("low is not null").select("lang", "n", "low"), reject_rate)
+    unstage(seen)
     return model
 
 
+def standardise(model: Model, seen) -> None:
+    """Temperature by held-back log-loss; per language the mean and variance that standardise cross-entropies."""
+    model.bounds = np.tile([0.0, 0.0, 0.0, np.inf], (len(model.languages), 1))
+    if not len(seen):
+        return
+    h, n, y = np.stack(seen["h"].to_numpy()), seen["n"].to_numpy(float), seen["lang"].to_numpy()
+    best = (np.inf, 1.0)
+    for t in 2.0 ** np.arange(-6, 7):
+        p = posterior(h, n, t)
+        best = min(best, (-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean(), t))
+    model.temperature = float(best[1])
+    for j in range(len(model.languages)):
+        own = (y == j) & (h.argmin(1) == j)
+        if own.sum() < 10:
+            continue
+        x, m = h[own, j], n[own]
+        mean = np.median(x)
+        a, b = np.linalg.lstsq(np.stack([1 / m, np.ones(len(m))], 1), (x - mean) ** 2, rcond=None)[0]
+        model.bounds[j, :3] = mean, max(a, 1e-6), max(b, 1e-6)
+
+
+def standard(low: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Standardised cross-entropies; ``bounds`` has a row for each."""
+    mean, a, c = bounds.T[:3]
+    return (low - mean) / np.sqrt(np.maximum(a / n + c, 1e-12))
+
+
+def _ordered(bits: np.ndarray) -> np.ndarray:
+    """Bits of doubles as integers in the order of the doubles; its own inverse."""
+    return bits ^ ((bits >> 63) & np.int64(0x7FFF_FFFF_FFFF_FFFF))
+
+
+def calibrate(model: Model, own: DataFrame, reject_rate: float) -> None:
+    """Per language the conformal bound: an exact rank of the standardised scores of all rows of ``own`` (lang, n, low).
+
+    Scores are selected by their 64-bit keys, 13 bits a round: tasks count the keys that share the bits found so far,
+    and only those counts are collected.
+    """
+    fitted = {j for j, b in enumerate(model.bounds) if b[2] > 0}
+    rank: dict[int, int] = {}
+    found: dict[int, int] = {}
+    few: set[int] = set()
+    before, bounds = 63, model.bounds
+
+    for shift in _SHIFTS:
+
+        def count(batches: Iterator[pa.RecordBatch], shift=shift, before=before, found=dict(found)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                j = b.column(0).to_numpy()
+                k = _ordered((standard(b.column(2).to_numpy(), b.column(1).to_numpy().astype(float), bounds[j]) + 0.0).view(np.int64))
+                for l in np.unique(j).tolist():
+                    mine = k[j == l]
+                    if found:
+                        mine = mine[mine >> before == found[l]] if l in found else mine[:0]
+                    u, n = np.unique(mine >> shift, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([l] * len(u), pa.int32()), pa.array(u), pa.array(n.astype(np.int64))], names=["lang", "k", "n"])
+
+        counts = own.mapInArrow(count, "lang int, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+        for l, g in counts[counts["lang"].isin(fitted)].groupby("lang"):
+            g = g.sort_values("k")
+            upto = g["n"].to_numpy().cumsum()
+            if l not in rank:
+                rank[l] = math.ceil((1 - reject_rate) * (upto[-1] + 1))
+                if rank[l] > upto[-1]:  # too few rows: the largest score gives a bound that no rate is claimed for
+                    few.add(l)
+                    rank[l] = int(upto[-1])
+            i = int(np.searchsorted(upto, rank[l]))
+            rank[l] -= int(upto[i - 1]) if i else 0
+            found[l] = int(g["k"].iloc[i])
+        before = shift
+        if not found:
+            return
+    for l, k in found.items():
+        z = float(_ordered(np.array([k], np.int64)).view(np.float64)[0])
+        bounds[l, 3] = max(3 * z, 12.0) if l in few else z
+
+
 def posterior(h: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarray:
     """Softmax of -cross-entropy, weighted by the square root of the length, as neighbouring symbols depend on each other."""
     x = -h * np.sqrt(n)[:, None] * temperature
@@ -275,8 +337,7 @@ def detect(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 j, p = h.argmin(1), posterior(h, n, m.temperature)
                 low = h.min(1)
                 score[at], ent[at] = np.clip(p[np.arange(len(j)), j], 0, 1), low
-                mean, a, c, most = m.bounds[j].T
-                ok[at] = (low - mean) / np.sqrt(np.maximum(a / n + c, 1e-12)) <= most
+                ok[at] = standard(low, n, m.bounds[j]) <= m.bounds[j, 3]
                 for i, x in zip(at, j, strict=True):
                     lang[i] = m.languages[x]
             new = [pa.array(lang), pa.array(score), pa.array(ent, from_pandas=True), pa.array(ok)]

@@ -2,7 +2,10 @@ import math
 
 import numpy as np
 
-from oppengine.llm.langid import ORDER, identify, keys, kneser_ney, op2_langid, symbols
+from pyspark.sql import functions as F
+
+from oppengine.llm.common import fold
+from oppengine.llm.langid import CALIBRATION_FOLD, ORDER, detect, identify, keys, kneser_ney, learn, op2_langid, standard, symbols
 
 EN = "the quick brown fox jumps over the lazy dog while the children are playing with another red ball in the garden "
 DE = "der schnelle braune fuchs springt über den faulen hund während die kinder mit einem roten ball im garten spielen "
@@ -90,3 +93,32 @@ def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
     held = [r for r in op2_langid(spark, d).collect() if r.held_out]
     assert len(held) > 100 and np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98 and np.mean([r.accepted for r in held]) > 0.98
+
+
+def test_bound_is_a_rank_among_all_rows_of_the_fold(spark):
+    rng = np.random.default_rng(3)
+    n = {"de": 6000, "en": 6000, "fr": 900}
+    texts = {"de": DE.split(), "en": EN.split(), "fr": FR.split()}
+    rows = [(l, " ".join(rng.choice(texts[l], rng.integers(4, 30)))) for l in n for _ in range(n[l])]
+    df = spark.createDataFrame([(i, t, l) for i, (l, t) in enumerate(rows)], "doc_id long, text string, lang string").withColumn("_fold", fold())
+    m = learn(df, sample_texts=400)
+    largest = {}
+    for j, lang in enumerate(m.languages):
+        held = [symbols(r.text) for r in df.where((F.col("lang") == lang) & (F.col("_fold") == CALIBRATION_FOLD)).collect()]
+        h, size = m.entropies(held), np.array([len(s) - ORDER + 1 for s in held], float)
+        own = h.argmin(1) == j
+        z = np.sort(standard(h[own, j], size[own], m.bounds[[j] * own.sum()]))
+        k = math.ceil(0.999 * (len(z) + 1))
+        assert (k <= len(z)) == (lang != "fr")
+        assert m.bounds[j, 3] == (z[k - 1] if lang != "fr" else max(3 * z[-1], 12.0))
+        largest[lang] = z[-1]
+    # texts beyond the bound, but well within the uncalibrated one, are rejected
+    mixed = [" ".join(rng.choice(texts["en"], 25)) for _ in range(60)]
+    mixed = ["".join("z" if rng.random() < i / 300 else c for c in t) for i, t in enumerate(mixed)]
+    h, size = m.entropies([symbols(t) for t in mixed]), np.array([len(symbols(t)) - ORDER + 1 for t in mixed], float)
+    j = m.languages.index("en")
+    z = standard(h.min(1), size, m.bounds[[j] * len(mixed)])
+    between = (h.argmin(1) == j) & (z > m.bounds[j, 3]) & (z <= max(3 * largest["en"], 12.0))
+    got = {r.doc_id: r.accepted for r in detect(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string"), m, ["doc_id"]).collect()}
+    assert between.any(), z
+    assert not any(got[i] for i in np.flatnonzero(between))
