@@ -4,7 +4,8 @@ Equal vectors are one class, so copies cost nothing. Classes are dealt to shards
 shard (batched insertion, diversified neighbours, sampled upper layers), and every block of vectors queries every
 shard. A query whose whole beam lies above the threshold searches again with a beam twice as wide; and in every
 (shard, block) an audit compares a sample of queries with brute force and doubles the beam of all until its recall
-passes (a beam as wide as the shard is brute force, so it ends). Found pairs are verified by cosine in double
+passes, both over all pairs and averaged over queries with a neighbour, without hits of vectors on themselves (a beam
+as wide as the shard is brute force, so it ends). Found pairs are verified by cosine in double
 precision. Links leave a task as counts and spanning forests, never as all pairs.
 
 Defined cases: vectors that are null, empty or zero, or hold null, NaN or infinite components, link with nothing;
@@ -200,20 +201,36 @@ class Graph:
         return np.concatenate(got_q or [np.zeros(0, int)]), np.concatenate(got_i or [np.zeros(0, int)])
 
 
-def audited_pairs(g: Graph, q: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
-    """``pairs_above`` with the narrowest beam whose recall passes the audit against brute force."""
+def audited_pairs(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """``pairs_above`` with the narrowest beam whose recall passes the audit against brute force.
+
+    ``own`` has each query's own node in the graph (-1: none), which counts neither as there nor as found.
+    """
     sample = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT_QUERIES)).astype(int))
-    truth = [(q[sample[a : a + 512]] @ g.x.T >= least).sum(1) for a in range(0, len(sample), 512)]
-    there = int(np.concatenate(truth).sum())
+    mine = np.full(len(sample), -1) if own is None else own[sample]
+    truth = np.zeros(len(sample), int)
+    for a in range(0, len(sample), 512):
+        r, i = np.nonzero(q[sample[a : a + 512]] @ g.x.T >= least)
+        truth[a : a + 512] = np.bincount(r[i != mine[a : a + 512][r]], minlength=len(sample[a : a + 512]))
+    has = truth > 0
     while True:
-        if there:
-            r, _ = g.pairs_above(q[sample], least, beam)
-            if len(r) < AUDIT_RECALL * there and beam * 2 < len(g.x):
+        if has.any():
+            r, i = g.pairs_above(q[sample], least, beam)
+            found = np.minimum(np.bincount(r[i != mine[r]], minlength=len(sample)), truth)
+            recall = min(found.sum() / truth.sum(), (found[has] / truth[has]).mean())
+            if recall < AUDIT_RECALL and beam * 2 < len(g.x):
                 beam *= 2
                 continue
         return (*g.pairs_above(q, least, beam), beam)
 
 
+def _places(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each of ``own`` is in ``keys`` (distinct), or -1."""
+    order = np.argsort(keys)
+    at = order[np.minimum(np.searchsorted(keys, own, sorter=order), len(keys) - 1)]
+    return np.where(keys[at] == own, at, -1)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -260,12 +277,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
         graph.x, graph.layers, graph.top = (x / norm[:, None]).astype(np.float32), layers, top
         y = _matrix(q.column("e"))
         unit, ynorm = _unit(y)
-        r, i, beam = audited_pairs(graph, unit, cosine - _SLACK)
+        own = q.column("k").to_numpy()
+        r, i, beam = audited_pairs(graph, unit, cosine - _SLACK, own=_places(own, keys))
         sure = np.zeros(len(r), bool)
         for a in range(0, len(r), 100_000):
             s = slice(a, a + 100_000)
             sure[s] = np.einsum("ij,ij->i", y[r[s]], x[i[s]]) / (ynorm[r[s]] * norm[i[s]]) >= cosine
-        own = q.column("k").to_numpy()
         sure &= own[r] != keys[i]
         r, i = r[sure], i[sure]
         links = np.bincount(r, copies[i], len(y)).astype(np.int64)

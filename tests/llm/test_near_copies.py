@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from oppengine.llm.common import components
-from oppengine.llm.embeddings import Graph, near_duplicates, op10_embeddings
+from oppengine.llm.embeddings import Graph, _places, audited_pairs, near_duplicates, op10_embeddings
 from oppengine.llm.jaccard import Region, one_of_each, op9_jaccard, shingles, signatures, similar_documents, size_groups
 
 
@@ -184,3 +184,30 @@ def test_vector_query_recall(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in op10_embeddings(spark, d).collect()), key=repr) == vectors_by_hand(rows)
+
+
+class Misses:
+    """A graph whose beams find a large group, but only wide ones find the pairs, and every vector finds itself."""
+
+    def __init__(self, x):
+        self.x = x
+
+    def pairs_above(self, q, least, beam):
+        s = q @ self.x.T
+        r, i = np.nonzero(s >= least)
+        keep = (i < 2000) | (s[r, i] > 0.99998) | (beam >= 96)
+        return r[keep], i[keep]
+
+
+def test_audit_counts_small_groups_and_no_self_hits():
+    rng = np.random.default_rng(0)
+    hot = rng.normal(size=32) + 0.01 * rng.normal(size=(2000, 32))
+    single = rng.normal(size=(180, 32))
+    x = np.concatenate([hot, single, single + 0.02 * rng.normal(size=(180, 32))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    q, own = x[1980:2180], np.arange(1980, 2180)
+    r, i, beam = audited_pairs(Misses(x), q, 0.9, own=own)
+    assert beam == 96 and {(a, a + 2160) for a in range(20, 200)} <= set(zip(r.tolist(), i.tolist(), strict=True))
+    # self hits alone are no recall: 180 vectors with one neighbour each, which is missed
+    assert audited_pairs(Misses(x), q[20:], 0.9, own=own[20:])[2] == 96
+    assert _places(np.array([5, 7, 9]), np.array([9, 1, 5])).tolist() == [2, -1, 0]
