@@ -237,6 +237,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row by the power of two that brings its largest component to 0.5 or more and under 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norm = np.sqrt((x * x).sum(1))
     return (x / norm[:, None]).astype(np.float32), norm
@@ -248,7 +253,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     v = v.withColumn("k", F.when(F.coalesce(F.col("e").isNotNull() & fine, F.lit(False)), F.xxhash64("e")))
     slim = v.select("vec_id", "k")
-    # a length of the square below the smallest double would make the cosine undefined; such vectors scale exactly by a power of two
     classes = v.where("k is not null").groupBy("k").agg(F.first("e").alias("e"), F.count("*").alias("copies"), F.min("vec_id").alias("low"))
     classes = stage(classes.select("k", "e", "copies", "low", F.size("e").alias("dim")), "vector-classes")
     n = classes.count()
@@ -257,7 +261,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
     dealt = classes.select("k", "e", "copies", "dim", F.pmod(F.xxhash64(F.lit("shard"), "k"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("block"), "k"), F.lit(blocks)).cast("int").alias("block"))
 
     def build(table):
-        x = _matrix(table.column("e"))
+        x = _scaled(_matrix(table.column("e")))  # squares of the components would underflow or overflow
         unit, norm = _unit(x)
         g = Graph(unit, seed=int(table.column("shard")[0].as_py()))
         blob = pickle.dumps((g.layers, g.top, x, norm, table.column("k").to_numpy(), table.column("copies").to_numpy()))
@@ -275,7 +279,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
         layers, top, x, norm, keys, copies = pickle.loads(g.column("graph")[0].as_py())
         graph = Graph.__new__(Graph)
         graph.x, graph.layers, graph.top = (x / norm[:, None]).astype(np.float32), layers, top
-        y = _matrix(q.column("e"))
+        y = _scaled(_matrix(q.column("e")))
         unit, ynorm = _unit(y)
         own = q.column("k").to_numpy()
         r, i, beam = audited_pairs(graph, unit, cosine - _SLACK, own=_places(own, keys))

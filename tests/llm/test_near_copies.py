@@ -211,3 +211,14 @@ def test_audit_counts_small_groups_and_no_self_hits():
     # self hits alone are no recall: 180 vectors with one neighbour each, which is missed
     assert audited_pairs(Misses(x), q[20:], 0.9, own=own[20:])[2] == 96
     assert _places(np.array([5, 7, 9]), np.array([9, 1, 5])).tolist() == [2, -1, 0]
+
+
+def test_vectors_of_any_scale(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(10, 8))
+    rows = [(i, (centres[i % 10] + 0.1 * rng.normal(size=8)).tolist()) for i in range(80)]
+    want = vectors_by_hand(rows)
+    assert any(n for _, n, _ in want)
+    scale = [2.0**-1000, 2.0**-560, 1.0, 2.0**560, 2.0**1020]
+    df = spark.createDataFrame([(i, [c * scale[i % 5] for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in near_duplicates(df, least_shards=2).collect()), key=repr) == want
