@@ -29,9 +29,9 @@ from .common import fold, read_table
 
 #: Expected bounds on the labelled texts learned from.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
-#: Bound on the tokens that the field is trained on.
+#: Expected bound on the tokens that the field is trained on; half of it for spans that bear a mark, if there are so many.
 TRAIN_TOKENS = 400_000
-#: Tokens of a training sequence; longer texts are several.
+#: Tokens of a training sequence; longer texts are several, of which a hashed share is drawn.
 TRAIN_SPAN = 128
 #: A mark: a word with at least so many toxic texts, whose lower bound (z below) on the share of toxic texts is so high.
 MARK_TEXTS, MARK_SHARE, MARK_Z = 5, 0.5, 2.58
@@ -239,6 +239,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50
     return b
 
 
+def cut(text: str, marks: set[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """The whole text in spans of ``TRAIN_SPAN`` tokens, with a 1 for each token that bears one of ``marks``."""
+    w = text.split()
+    for a in range(0, len(w), TRAIN_SPAN):
+        own = w[a : a + TRAIN_SPAN]
+        yield own, [int(bool(marks) and not marks.isdisjoint(units(normal(t)))) for t in own]
+
+
+def span_shares(plain: int, marked: int, most: int | None = None) -> tuple[float, float]:
+    """Shares of the tokens without and with a mark that meet the bound; what one kind leaves of its half, the other gets."""
+    most = TRAIN_TOKENS if most is None else most
+    p, m = min(plain, max(most // 2, most - marked)), min(marked, max(most // 2, most - plain))
+    return p / max(1, plain), m / max(1, marked)
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Field | None:
     """A field from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), without ids of fold 0 on either side."""
     spark = docs.sparkSession
@@ -270,20 +285,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     low = (share + z * z / (2 * F.col("n")) - z * F.sqrt(share * (1 - share) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
     marks = {r["unit"] for r in counts.where(low >= MARK_SHARE).select("unit").collect()}
     sent = spark.sparkContext.broadcast(marks)
-    per_text = max(TRAIN_SPAN, TRAIN_TOKENS // max(1, sample_toxic + sample_clean) // TRAIN_SPAN * TRAIN_SPAN)
+
+    def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [0, 0]
+            for _, toxic, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for w, y in cut(text, sent.value if toxic else set()):
+                    n[max(y)] += len(w)
+            yield pa.RecordBatch.from_arrays([pa.array([n[0]]), pa.array([n[1]])], names=["plain", "marked"])
+
+    fold5 = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(3))
+    learned = rows.where(fold5 != 0)
+    there = learned.mapInArrow(sizes_of, "plain long, marked long").agg(F.coalesce(F.sum("plain"), F.lit(0)), F.coalesce(F.sum("marked"), F.lit(0))).first()
+    shares = span_shares(*there)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            kept = []
             for doc, toxic, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w = text.split()
-                y = [int(bool(toxic) and not sent.value.isdisjoint(units(normal(t)))) for t in w]
-                hits = [i for i, v in enumerate(y) if v]
-                at = max(0, hits[doc % len(hits)] - doc % per_text) if hits else (doc * 7919) % max(1, len(w) - per_text + 1)
-                if w:
-                    yield pa.RecordBatch.from_arrays([pa.array([w[at : at + per_text]]), pa.array([y[at : at + per_text]], pa.list_(pa.int32()))], names=["w", "y"])
+                for k, (w, y) in enumerate(cut(text, sent.value if toxic else set())):
+                    if xxhash.xxh3_64_intdigest(f"span {doc} {k}") < shares[max(y)] * 2**64:
+                        kept.append((w, y))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.list_(pa.string())), pa.array([y for _, y in kept], pa.list_(pa.int32()))], names=["w", "y"])
 
-    fold5 = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(3))
-    train = rows.where(fold5 != 0).mapInArrow(spans, "w array<string>, y array<int>").toArrow().to_pylist()
+    train = learned.mapInArrow(spans, "w array<string>, y array<int>").toArrow().to_pylist()
     f = train_field([(r["w"], np.array(r["y"])) for r in train])
     with_field = spark.sparkContext.broadcast(f)
 

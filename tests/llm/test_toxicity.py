@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 
+from oppengine.llm import toxicity
 from oppengine.llm.toxicity import Field, detect_toxicity, features, marginals, offsets, op4_toxicity, train_field
 
 
@@ -87,3 +88,24 @@ def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     held = [(truth[r.doc_id], r.predicted) for r in op4_toxicity(spark, d).collect() if r.held_out and r.doc_id in truth]
     assert np.mean([p for y, p in held if y]) > 0.8 and np.mean([p for y, p in held if not y]) < 0.02
+
+
+def test_field_trains_on_whole_texts_within_its_bound(spark, monkeypatch):
+    docs = [(i, " ".join([f"w{i}x{k}" for k in range(600)] + ["idiot"] * (i % 3 == 0) + ["end"] * 50)) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    got = []
+    monkeypatch.setattr(toxicity, "train_field", lambda sequences: got.append(sequences) or train_field(sequences, rounds=2))
+    toxicity.learn(df, labels)
+    sequences = got[-1]
+    tokens = {t for w, _ in sequences for t in w}
+    texts = {t.split("x")[0] for t in tokens if "x" in t}
+    assert len(texts) > 50 and all(f"{t}x{k}" in tokens for t in texts for k in range(600))
+    assert max(len(w) for w, _ in sequences) == toxicity.TRAIN_SPAN
+    assert sum(int(y.sum()) for _, y in sequences) == sum("idiot" in w for w, _ in sequences) > 10
+    every, marked = sum(len(w) for w, _ in sequences), sum(len(w) for w, y in sequences if y.any())
+    most = every // 4
+    monkeypatch.setattr(toxicity, "TRAIN_TOKENS", most)
+    toxicity.learn(df, labels)
+    assert 0.7 * most < sum(len(w) for w, _ in got[-1]) < 1.3 * most
+    assert sum(len(w) for w, y in got[-1] if y.any()) == marked <= most // 2
