@@ -36,6 +36,59 @@ def test_the_path_is_the_cheapest_compatible_one():
     assert weight == sum(w for p, (i, w) in t.arcs.items() if i in ids)
 
 
+def test_the_acceptor_is_the_merge_encoding_of_pairs():
+    rng, t = random.Random(6), transducer(PATH)
+    pieces = list(t.arcs)
+    for k in range(4000):
+        x, y = rng.choice(pieces), rng.choice(pieces)
+        if k % 2 and len(x) > 1:
+            at = rng.randrange(1, len(x))
+            x, y = x[:at], x[at:]
+        if x in t.arcs and y in t.arcs and t.halves(x) is not None:
+            assert (t.halves(y) is not None and t.separate(x, y)) == (t.merged(x + y) == [x, y])
+
+
+def test_long_parts_without_blanks(sp):
+    """A megabyte without blanks takes time in proportion to it, and is not remembered."""
+    rng, t = random.Random(7), transducer(PATH)
+    text = "".join(rng.choice("abcdeinrst") for _ in range(1_000_000))
+    assert t.encode(text).tolist() == sp.encode(text)
+    assert max(map(len, t.known)) <= 64
+    assert t.decode(t.encode(text)) == text
+
+
+def test_small_memory_gives_the_same(sp, monkeypatch):
+    from oppengine.llm import sentencepieces
+
+    monkeypatch.setattr(sentencepieces, "CACHE_ENTRIES", 3)
+    t = sentencepieces.Transducer(PATH)
+    for text in ("one two three four five six one two", "seven one², x.²y", "two three") * 3:
+        assert t.encode(text).tolist() == sp.encode(text)
+
+
+def test_least_path_of_a_unigram_model(tmp_path):
+    """Against every segmentation of short texts; ties aside, weights are compared."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type, proto.normalizer_spec.remove_extra_whitespaces = 1, False
+    for piece, score, kind in [("<unk>", 0, 2), ("▁", -3, 1), ("a", -2, 1), ("b", -2.5, 1), ("ab", -3.5, 1), ("ba", -4, 1), ("▁a", -3.2, 1), ("aba", -5.1, 1)]:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    (tmp_path / "m.model").write_bytes(proto.SerializeToString())
+    t = transducer(str(tmp_path / "m.model"))
+
+    def least(text):
+        if not text:
+            return 0.0
+        return min((w + least(text[len(p) :]) for p, (_, w) in t.arcs.items() if text.startswith(p)), default=float("inf"))
+
+    for text in ("▁abab", "▁", "abba", "▁a▁ba", "bbbb", "▁abaaba"):
+        ids, weight = t.shortest(text)
+        assert abs(weight - least(text)) < 1e-9
+        assert "".join(proto.pieces[i].piece for i in ids) == text
+    assert t.shortest("z")[0] == [0]
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(TEXTS)] + [(100, None, ""), (None, "a b", ""), (None, "a b", ""), (101, "word " * 30_000, "")], "doc_id long, text string, ids string")
     enc = encode(df, PATH)
