@@ -42,7 +42,7 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a" and self.anchor is not None:
-            self.links.append((self.anchor[0], " ".join("".join(self.anchor[1]).split())))
+            self.links.append((self.anchor[0], " ".join(t for x in self.anchor[1] if (t := x.strip()))))
             self.anchor = None
         if tag == "p" and self.paragraph is not None and self.snippet is None:
             self.snippet = " ".join(" ".join(self.paragraph).split())[:300]
@@ -74,7 +74,11 @@ def parse_page(html: str | None) -> _Page:
 
 
 def page_visible_text(html: str | None) -> str:
-    parts = (" ".join(" ".join(x.strip() for x in t if x.strip()).split()) for t in parse_page(html).texts)
+    return shown_text(parse_page(html))
+
+
+def shown_text(page: _Page) -> str:
+    parts = (" ".join(" ".join(x.strip() for x in t if x.strip()).split()) for t in page.texts)
     return re.sub(r"\s+", " ", " ".join(x for x in parts if x)).strip()
 
 
@@ -89,6 +93,17 @@ def _page_meta(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"title": [p.title or "" for p in pages], "snippet": [p.snippet or "" for p in pages]})
 
 
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("title", T.StringType()).add("snippet", T.StringType()))
+def _page_view(html: pd.Series) -> pd.DataFrame:
+    pages = [parse_page(h) for h in html]
+    return pd.DataFrame({"text": [shown_text(p) for p in pages], "title": [p.title or "" for p in pages], "snippet": [p.snippet or "" for p in pages]})
+
+
+def page_view(html: Column) -> Column:
+    """struct(text, title, snippet): ``visible_text`` and ``page_meta`` of one parse."""
+    return _page_view(html)
+
+
 def visible_text(html: Column) -> Column:
     """Text of headings, paragraphs, list items and cells in order, outside dropped subtrees; nested ones repeat."""
     return _visible_text(html)

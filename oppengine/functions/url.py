@@ -87,11 +87,11 @@ def safe_domain(url: Column) -> Column:
     return F.coalesce(F.nullif(host, F.lit("")), F.lit("unknown"))
 
 
-def useful_url(url: Column, excluded: list[str] = EXCLUDED_HOSTS) -> Column:
+def useful_url(url: Column, excluded: list[str] = EXCLUDED_HOSTS, signal: str = SIGNAL) -> Column:
     """Host neither excluded nor under an excluded one, and a .gov or .edu host or a relevant word anywhere in the URL."""
     host = F.regexp_replace(F.lower(netloc(url)), r"^www\.", "")
     out = host.isin(*excluded) | F.exists(F.array(*[F.lit("." + h) for h in excluded]), lambda h: host.endswith(h))
-    return F.coalesce((host != "") & ~out & (host.endswith(".gov") | host.endswith(".edu") | url.rlike(f"(?i){SIGNAL}")), F.lit(False))
+    return F.coalesce((host != "") & ~out & (host.endswith(".gov") | host.endswith(".edu") | url.rlike(f"(?i){signal}")), F.lit(False))
 
 
 def crawlable(href: Column, base_domain: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.url import crawlable, netloc, normalize_url, path
+from ..sources.tables import staged
 
 #: The words that make a page relevant, and the limits of a crawl.
 KEYWORDS = [
@@ -44,36 +45,47 @@ def top_candidates_per(scored: DataFrame, seed: str, k: int = BEST) -> DataFrame
 
 
 def link_edges(links: DataFrame) -> DataFrame:
-    """(from_url, to_url, position, anchor, title, snippet) of crawlable links within their page's domain."""
-    base = F.replace(netloc(F.col("from_url")), F.lit("www."), F.lit(""))
-    return links.where(crawlable(F.col("href"), base)).select("from_url", normalize_url(F.col("href")).alias("to_url"), "position", "anchor", "title", "snippet")
+    """(from_url, to_url, to_host, position, anchor, title, snippet) of crawlable links; a crawl follows those in its seed's domain."""
+    return links.where(crawlable(F.col("href"), "")).select("from_url", normalize_url(F.col("href")).alias("to_url"), netloc(F.col("href")).alias("to_host"), "position", "anchor", "title", "snippet")
+
+
+def seed_domain(url: Column) -> Column:
+    return F.replace(netloc(url), F.lit("www."), F.lit(""))
+
+
+def _inside(rows: DataFrame) -> DataFrame:
+    return rows.where(F.contains("to_host", F.col("domain"))) if "domain" in rows.columns else rows
 
 
 def bounded_bfs(seeds: DataFrame, edges: DataFrame, depth: int = DEPTH, pages: int | None = PAGES) -> DataFrame:
     """(seed, url, depth, parent_order, position): pages in the order in which a first-in first-out crawl visits them.
 
     ``seeds`` is (seed, url), ``edges`` is (from_url, to_url, position). ``depth`` joins, each over the frontier
-    only. With ``pages``, each seed visits so many pages at most, in that order.
+    only; what is visited is staged after each, so that no join is computed twice. With ``pages``, each seed visits so
+    many pages at most, in that order. If seeds have a ``domain``, only links are followed whose ``to_host`` contains it.
     """
-    visited = seeds.select("seed", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("parent_order"), F.lit(0).alias("position"))
+    domain = [c for c in ("domain",) if c in seeds.columns]
+    links = edges.select("from_url", F.col("to_url").alias("url"), "position", *["to_host" for _ in domain])
+    visited = seeds.select("seed", "url", *domain, F.lit(0).alias("depth"), F.lit(0).cast("long").alias("parent_order"), F.lit(0).alias("position"))
     frontier = visited.withColumn("_nth", F.lit(1).cast("long"))
     for d in range(1, depth + 1):
-        out = frontier.select("seed", F.col("url").alias("from_url"), F.col("_nth").alias("parent_order")).join(edges.select("from_url", F.col("to_url").alias("url"), "position"), "from_url")
+        out = _inside(frontier.select("seed", *domain, F.col("url").alias("from_url"), F.col("_nth").alias("parent_order")).join(links, "from_url"))
         out = out.join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
-        first = out.groupBy("seed", "url").agg(F.min(F.struct("parent_order", "position")).alias("m")).select("seed", "url", F.lit(d).alias("depth"), F.col("m.parent_order").alias("parent_order"), F.col("m.position").alias("position"))
+        first = out.groupBy("seed", "url", *domain).agg(F.min(F.struct("parent_order", "position")).alias("m")).select("seed", "url", *domain, F.lit(d).alias("depth"), F.col("m.parent_order").alias("parent_order"), F.col("m.position").alias("position"))
         visited = visited.unionByName(first)
         w = Window.partitionBy("seed").orderBy("depth", "parent_order", "position", "url")
         ordered = visited.withColumn("_nth", F.row_number().over(w).cast("long"))
         if pages is not None:
             ordered = ordered.where(F.col("_nth") <= pages)
-            visited = ordered.drop("_nth")
-        frontier = ordered.where(F.col("depth") == d)
+        ordered = staged(ordered, f"crawled-{d}")
+        visited, frontier = ordered.drop("_nth"), ordered.where(F.col("depth") == d)
     return visited
 
 
 def candidates(edges: DataFrame, visited: DataFrame) -> DataFrame:
     """(seed, url, anchors, titles, snippets): links seen from visited pages, and the seeds themselves, with their texts as sets."""
-    seen = visited.select("seed", F.col("url").alias("from_url")).join(edges, "from_url")
+    domain = [c for c in ("domain",) if c in visited.columns]
+    seen = _inside(visited.select("seed", *domain, F.col("url").alias("from_url")).join(edges, "from_url"))
     sets = lambda c: F.sort_array(F.collect_set(F.nullif(F.col(c), F.lit("")))).alias(c + "s")
     got = seen.groupBy("seed", F.col("to_url").alias("url")).agg(sets("anchor"), sets("title"), sets("snippet"))
     none = F.array().cast("array<string>")
@@ -87,13 +99,13 @@ def concatenated(pages: DataFrame, key: str, rank: str, text: str) -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"))
 
 
-def prioritized_crawl(seeds: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
+def prioritized_crawl(seeds: DataFrame, edges: DataFrame, texts: DataFrame, pages: int = PAGES) -> DataFrame:
     """(seed, text, pages_scraped, visited_urls): crawl, score, best pages, their texts in rank order.
 
     ``texts`` is (url, text) of pages that can be fetched; the visited list has all best links, fetched or not.
     """
-    start = seeds.select("seed", normalize_url(F.col("seed")).alias("url"))
-    visited = bounded_bfs(start, edges)
+    start = seeds.select("seed", normalize_url(F.col("seed")).alias("url")).withColumn("domain", seed_domain(F.col("url")))
+    visited = bounded_bfs(start, edges, pages=pages)
     c = candidates(edges, visited)
     best = top_candidates_per(c.withColumn("score", score_candidate(F.col("url"), F.col("anchors"), F.col("titles"), F.col("snippets"))), "seed").select("seed", "url", "place")
     got = best.join(texts, "url", "left")

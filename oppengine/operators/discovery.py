@@ -58,6 +58,14 @@ def opportunities(raw: DataFrame) -> DataFrame:
     )
 
 
+def notices(raw: DataFrame, since_date: str | None = None, k: int | None = None) -> DataFrame:
+    """(url) of register notices (html_url, pdf_url, publication_date): the page, else its PDF; newest first where cut to ``k``."""
+    out = raw.where(F.col("publication_date") >= F.lit(since_date).cast("date")) if since_date else raw
+    if k is not None:
+        out = out.orderBy(F.desc("publication_date"), F.asc("html_url")).limit(k)
+    return urls_of(out, "html_url", "pdf_url")
+
+
 def urls_of(records: DataFrame, *columns: str) -> DataFrame:
     """(url): the first nonempty of the columns; rows without any are dropped."""
     return records.select(first_nonempty(*[F.col(c) for c in columns]).alias("url")).where("url is not null")

@@ -30,6 +30,17 @@ def rule_extractor(text: str) -> str:
     return json.dumps({"funding_range": amount.group() if amount else "", "deadline": deadline.group() if deadline else "", "application_status": status, "grant_type": kind, "applicant_types": ["nonprofits"] if re.search("nonprofit", t, re.I) else [], "eligibility": "Possibly Eligible" if amount else "Low Match", "evidence": t[:120]})
 
 
+def json_fields(raw: Column, ddl: str, defaults: dict[str, object]) -> list[Column]:
+    """The fields of a JSON object, each with its default where it is missing or null."""
+    parsed = F.from_json(raw, ddl)
+    return [F.coalesce(parsed[c], F.lit(v)).alias(c) for c, v in defaults.items()]
+
+
+def flag_short(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``error`` set where the text is too short to extract from."""
+    return df.withColumn("error", F.when(F.coalesce(F.length(text), F.lit(0)) < X.MIN_TEXT, X.SHORT_TEXT_ERROR).otherwise(""))
+
+
 def record_from_json(raw: Column) -> Column:
     """The twelve fields of a JSON record: defaults, lists joined with "; ", labels checked; unreadable: the error record."""
     parsed = F.from_json(raw, _RAW, {"mode": "PERMISSIVE"})

@@ -56,7 +56,12 @@ def cut_error(c: str = "error_message", limit: int = 2000):
 
 
 def rewrite(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` by ``df``, which may read it: written beside, then swapped by rename."""
+    """Replace the table at ``path`` by ``df``, which may read it: written beside, then swapped by rename.
+
+    Stores have no rename that replaces, so there is a moment without a table; a run that ends just then leaves
+    ``path.old-…`` and ``path.new-…`` beside it, and either may be renamed to ``path``. Where readers must never meet
+    that, use ``streaming.ingest.overlay_sink``, whose versions are only added.
+    """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(new)

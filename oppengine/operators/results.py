@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.time import BUCKETS, date_bucket, parse_timestamp
+from ..functions.url import safe_domain
 from ..schema import ELIGIBILITY, EXPORT_COLUMNS
+from ..sources.tables import staged
 
 
 def matches_search(query: str, *columns: Column) -> Column:
@@ -21,6 +23,11 @@ def matches_search(query: str, *columns: Column) -> Column:
     return reduce(lambda a, b: a | b, map(hit, columns))
 
 
+def contains_any(query: str, *columns: Column) -> Column:
+    """The query as it stands is in any one of the columns, whatever the case."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(query.lower())) for c in columns])
+
+
 def eligible(label: Column, wanted: list[str]) -> Column:
     return F.coalesce(label, F.lit("")).isin(*wanted) if wanted else F.lit(True)
 
@@ -48,8 +55,8 @@ def filter_results(df: DataFrame, *, as_of: Column, search: str = "", labels: li
     """The conjunction of all result filters. ``variant="simple"`` has the alternate semantics: search in name, URL and
     notes without trimming, the last number as funding (rows without one pass), and deadlines strictly later."""
     if variant == "simple":
-        cols = [c for c in ("fund_name", "fund_url", "notes") if c in df.columns]
-        out = df.where(reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(df[c], F.lit(""))), F.lit(search.lower())) for c in cols])) if search else df
+        cols = [df[c] for c in ("fund_name", "fund_url", "notes") if c in df.columns]
+        out = df.where(contains_any(search, *cols)) if search and cols else df
     else:
         out = df.where(matches_search(search, *[df[c] for c in df.columns]))
     out = out.where(eligible(F.col("eligibility"), list(labels)))
@@ -67,30 +74,48 @@ def active_filters(search: str = "", labels: list[str] = tuple(ELIGIBILITY), onl
     return sum([bool(search.strip()), set(labels) != set(ELIGIBILITY), only_open, least_funding is not None, source != "all"])
 
 
-def sort_recent(ts: Column, deadline: Column, order: Column) -> list[Column]:
-    when = F.coalesce(parse_timestamp(ts), parse_timestamp(deadline), F.timestamp_seconds(F.lit(0)))
+def sort_recent(ts: Column, deadline: Column | None, order: Column) -> list[Column]:
+    """Newest first; without a timestamp the deadline counts, unless it is None (the alternate sort)."""
+    others = [] if deadline is None else [parse_timestamp(deadline)]
+    when = F.coalesce(parse_timestamp(ts), *others, F.timestamp_seconds(F.lit(0)))
     return [when.desc(), order.asc()]
 
 
-def sort_alphabetical(name: Column, url: Column, order: Column) -> list[Column]:
-    return [F.collate(F.coalesce(X.first_nonempty(name, url), F.lit("")), "UNICODE_CI_AI").asc(), order.asc()]
+def sort_alphabetical(name: Column, url: Column | None, order: Column, collation: str = "UNICODE_CI_AI") -> list[Column]:
+    """By name, else URL; the alternate sort has no URL and the collation ``UNICODE``."""
+    text = F.coalesce(X.first_nonempty(name, url) if url is not None else name, F.lit(""))
+    return [F.collate(text, collation).asc(), order.asc()]
+
+
+def sort_eligibility(label: Column, order: Column, ranks: list[str] = ELIGIBILITY) -> list[Column]:
+    """Best first; unknown labels last (their number makes no difference to the order)."""
+    return [X.eligibility_rank(label, ranks).asc(), order.asc()]
 
 
-def sort_eligibility(label: Column, order: Column) -> list[Column]:
-    return [X.eligibility_rank(label).asc(), order.asc()]
+def newest(df: DataFrame, order: list[Column], n: int = 20) -> DataFrame:
+    """The first ``n`` rows in the order."""
+    return df.orderBy(*order).limit(n)
+
+
+def last_reversed(df: DataFrame, ord: str, n: int = 5) -> DataFrame:
+    """The ``n`` rows that came last, the last one first."""
+    return newest(df, [F.desc(ord)], n)
 
 
 def numbered(df: DataFrame, by: list[Column], name: str = "place") -> DataFrame:
     """A global place in the order: a range-partitioned sort, counts per partition, and a prefix sum over those.
 
-    No task holds all rows, as a window without partitions would.
+    No task holds all rows, as a window without partitions would. The sorted rows are written with their partition
+    and place in it, as two sorts of one table may cut it at different bounds. ``before`` has a row a partition.
     """
-    placed = df.orderBy(*by).select("*", F.monotonically_increasing_id().alias("_id"))
+    whole = F.struct(*[df[c] for c in df.columns]).alias("_row")
+    sorted_rows = df.orderBy(*by).select(whole, F.monotonically_increasing_id().alias("_id"))
     part = F.shiftright("_id", 33)
-    placed = placed.select("*", part.alias("_part"), (F.col("_id") - F.shiftleft(part, 33)).alias("_at"))
+    placed = staged(sorted_rows.select("_row", part.alias("_part"), (F.col("_id") - F.shiftleft(part, 33)).alias("_at")), "sorted")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_id", "_at", "_before")
+    out = placed.join(F.broadcast(before), "_part")
+    return out.select("_row.*", (F.col("_before") + F.col("_at") + 1).alias(name))
 
 
 def group_by_eligibility(df: DataFrame, label: str = "eligibility", known: list[str] = ELIGIBILITY) -> DataFrame:
@@ -111,6 +136,29 @@ def left_with_default(left: DataFrame, right: DataFrame, on: str, defaults: dict
     return out.withColumns({c: F.coalesce(out[c], F.lit(v)) for c, v in defaults.items()})
 
 
+def labelled(left: DataFrame, right: DataFrame, on: str, order: str, label: str, default: str, name: str = "label") -> DataFrame:
+    """``left`` with the ``label`` of the first row (by ``order``) that ``right`` has for its key, else its own ``default``."""
+    first = right.groupBy(on).agg(F.min_by(label, order).alias("_first"))
+    out = left.join(first, on, "left")
+    return out.select(*left.columns, F.coalesce("_first", default).alias(name))
+
+
+def every_and_some(df: DataFrame, key: str, every: dict[str, Column], some: dict[str, Column]) -> DataFrame:
+    """By key: does each of the conditions hold for every row, or for some row?"""
+    return df.groupBy(key).agg(*[F.every(c).alias(n) for n, c in every.items()], *[F.some(c).alias(n) for n, c in some.items()])
+
+
+def domain_counts(urls: DataFrame, url: str) -> DataFrame:
+    """(domains, urls): distinct hosts, and all rows; what has no host counts as a row only."""
+    return urls.agg(F.countDistinct(F.nullif(safe_domain(F.col(url)), F.lit("unknown"))).alias("domains"), F.count("*").alias("urls"))
+
+
+def run_counts(candidates: DataFrame, known: DataFrame, on: str) -> DataFrame:
+    """(discovered, fresh): candidates of a run, and those whose key is not known yet."""
+    f = flagged(candidates.select(on), known, on, "_known")
+    return f.agg(F.count("*").alias("discovered"), F.count_if(~F.col("_known")).alias("fresh"))
+
+
 def flagged(df: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame:
     """A boolean column: does the row's key appear in ``keys``?"""
     have = keys.select(on).distinct().withColumn(flag, F.lit(True))

@@ -16,7 +16,7 @@ from ..functions import text as X
 from ..functions import time as M
 from ..functions import url as U
 from ..operators import crawl, discovery, extract, latest, mutate, prepare, results
-from ..sources.tables import lookup, single_row, table
+from ..sources.tables import lookup, shared_path, single_row, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,8 +123,7 @@ WHERE host <> '' AND NOT (host = 'example.net' OR ends_with(host, '.example.net'
   AND (ends_with(host, '.gov') OR ends_with(host, '.edu') OR regexp_matches(url, '(?i){U.SIGNAL}|tion'))""")
 def _(spark, d):
     p = table(spark, d, "pages")
-    kept = p.where(U.useful_url(p["url"], ["example.net"]) | (~F.regexp_replace(F.lower(U.netloc(p["url"])), r"^www\.", "").endswith("example.net") & p["url"].rlike("(?i)tion")))
-    return kept.select("page_id")
+    return p.where(U.useful_url(p["url"], ["example.net"], U.SIGNAL + "|tion")).select("page_id")
 
 
 _PROCESSED = f"SELECT DISTINCT {sql_norm('url')} AS url_key FROM pages WHERE regexp_matches({sql_part('url', 2)}, '^blog\\.')"
@@ -175,9 +174,9 @@ def _(spark, d):
 SELECT c.c_custkey, coalesce(e.event_type, c.c_name) AS label FROM customer c LEFT JOIN (
   SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1) e ON c.c_custkey = e.user_id""")
 def _(spark, d):
-    first = prepare.keep_first(table(spark, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id")
-    c = table(spark, d, "customer")
-    return c.join(first, c["c_custkey"] == first["user_id"], "left").select("c_custkey", F.coalesce("event_type", "c_name").alias("label"))
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("c_custkey"), "event_type")
+    out = results.labelled(table(spark, d, "customer").select("c_custkey", "c_name"), e, "c_custkey", "event_id", "event_type", "c_name")
+    return out.select("c_custkey", "label")
 
 
 @query("export_selected", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -210,11 +209,20 @@ def _(spark, d):
     return results.toggle(table(spark, d, "labels").where("quality = 1").select("doc_id"), chosen, "doc_id")
 
 
-@query("new_rows", "SELECT DISTINCT user_id FROM events e WHERE ts >= TIMESTAMP '2024-01-20' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.ts < TIMESTAMP '2024-01-20' AND p.user_id = e.user_id)")
+@query("toggle_set_all", """
+WITH cur AS (SELECT doc_id FROM labels), cho AS (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT doc_id FROM cur EXCEPT SELECT doc_id FROM cho""")
+def _(spark, d):
+    """The other branch: all chosen are in the set, so they leave it."""
+    l = table(spark, d, "labels")
+    return results.toggle(l.select("doc_id"), l.where("toxic = 1").select("doc_id"), "doc_id")
+
+
+@query("new_rows", "SELECT DISTINCT o_custkey FROM orders e WHERE o_orderdate >= TIMESTAMP '1995-06-01' AND NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderdate < TIMESTAMP '1995-06-01' AND p.o_custkey = e.o_custkey)")
 def _(spark, d):
-    e = table(spark, d, "events").select("user_id", "ts")
-    mark = F.lit("2024-01-20").cast("timestamp")
-    return results.without(e.where(e["ts"] >= mark).select("user_id").distinct(), e.where(e["ts"] < mark), "user_id")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderdate")
+    mark = F.lit("1995-06-01").cast("timestamp")
+    return results.without(o.where(o["o_orderdate"] >= mark).select("o_custkey").distinct(), o.where(o["o_orderdate"] < mark), "o_custkey")
 
 
 # --- groups and counts --------------------------------------------------------------------------------------------
@@ -235,14 +243,12 @@ def _(spark, d):
 
 @query("queue_stats", f"SELECT count(DISTINCT nullif(lower({sql_part('url', 2)}), '')) AS domains, count(*) AS urls FROM pages")
 def _(spark, d):
-    host = F.nullif(U.safe_domain(F.col("url")), F.lit("unknown"))
-    return table(spark, d, "pages").agg(F.countDistinct(host).alias("domains"), F.count("*").alias("urls"))
+    return results.domain_counts(table(spark, d, "pages"), "url")
 
 
 @query("counts_discovered_new", "SELECT count(*) AS discovered, count(*) FILTER (WHERE l.doc_id IS NULL) AS fresh FROM documents d LEFT JOIN labels l USING (doc_id)")
 def _(spark, d):
-    f = results.flagged(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", "known")
-    return f.agg(F.count("*").alias("discovered"), F.count_if(~F.col("known")).alias("fresh"))
+    return results.run_counts(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
 @query("job_progress", """
@@ -257,12 +263,22 @@ def _(spark, d):
 
 @query("error_rollup", "SELECT user_id, count(*) AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY user_id")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("completed"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    from ..streaming.ingest import progress
+
+    e = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "error", "error").otherwise("").alias("err"))
+    return progress(e, "user_id", "err")
 
 
-@query("collect_sets", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events GROUP BY user_id")
+@query("collect_sets", """
+WITH e AS (SELECT 'u' || user_id AS a, 'k' || (event_id % 50) AS b, event_type AS anchor FROM events WHERE user_id % 3 < 2)
+SELECT b AS url, array_to_string(list_sort(list(DISTINCT anchor)), ',') AS anchors FROM e GROUP BY b
+UNION ALL SELECT DISTINCT a, '' FROM e""")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds"))
+    """Texts of the links to each page, as the crawl collects them; seeds without a link have none."""
+    e = table(spark, d, "events").where("user_id % 3 < 2")
+    edges = e.select(F.concat(F.lit("u"), "user_id").alias("from_url"), F.concat(F.lit("k"), F.col("event_id") % 50).alias("to_url"), F.col("event_type").alias("anchor"), F.lit("").alias("title"), F.lit("").alias("snippet"))
+    visited = edges.select(F.lit("s").alias("seed"), F.col("from_url").alias("url"), F.lit(0).alias("depth")).distinct()
+    return crawl.candidates(edges, visited).select("url", F.array_join("anchors", ",").alias("anchors"))
 
 
 @query("concat_by_rank", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -272,7 +288,7 @@ def _(spark, d):
 
 @query("every_some", "SELECT user_id, bool_and(value > 1) AS all_big, bool_or(event_type = 'error') AS any_error FROM events GROUP BY user_id")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.every(F.col("value") > 1).alias("all_big"), F.some(F.col("event_type") == "error").alias("any_error"))
+    return results.every_and_some(table(spark, d, "events"), "user_id", {"all_big": F.col("value") > 1}, {"any_error": F.col("event_type") == "error"})
 
 
 # --- filters ------------------------------------------------------------------------------------------------------
@@ -283,10 +299,10 @@ def _(spark, d):
     return p.where(results.matches_search(" A1 ", *cols) | results.matches_search("#1", p["p_brand"])).select("p_partkey")
 
 
-@query("two_col_search", "SELECT doc_id FROM documents WHERE contains(lower(source), 'the') OR contains(lower(text), 'the ')")
+@query("two_col_search", "SELECT doc_id FROM documents WHERE contains(lower(source), 'the ') OR contains(lower(text), 'the ')")
 def _(spark, d):
     t = table(spark, d, "documents")
-    return t.where(F.contains(F.lower("source"), F.lit("the")) | F.contains(F.lower("text"), F.lit("the "))).select("doc_id")
+    return t.where(results.contains_any("The ", t["source"], t["text"])).select("doc_id")
 
 
 @query("eligibility_filter", f"SELECT o_orderkey FROM orders WHERE coalesce(o_orderpriority, '') IN ({sql_in(RANKED)})")
@@ -321,28 +337,64 @@ def _(spark, d):
 
 
 # --- sorts and limits ---------------------------------------------------------------------------------------------
-@query("sort_recent", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
+@query("sort_recent", "SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
 def _(spark, d):
     o = table(spark, d, "orders")
     text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
-    return results.numbered(o, results.sort_recent(text, F.lit(None).cast("string"), F.col("o_orderkey"))).select("o_orderkey", "place")
+    o = o.select("o_orderkey", "o_orderstatus", text.alias("ts"))
+    return results.numbered(o, results.sort_recent(o["ts"], None, o["o_orderkey"])).select("o_orderkey", "o_orderstatus", "place")
 
 
-@query("sort_alpha", "SELECT n_nationkey, row_number() OVER (ORDER BY lower(n_name), n_nationkey) AS place FROM nation")
+@query("sort_alpha", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment), c_custkey) AS place FROM customer")
 def _(spark, d):
-    n = table(spark, d, "nation")
-    return results.numbered(n, results.sort_alphabetical(n["n_name"], F.lit(""), n["n_nationkey"])).select("n_nationkey", "place")
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return results.numbered(c, results.sort_alphabetical(c["c_mktsegment"], F.lit(""), c["c_custkey"])).select("c_custkey", "place")
 
 
-@query("sort_rank", f"SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(list_position([{sql_in(RANKED)}], o_orderpriority), 4), o_orderkey) AS place FROM orders")
+@query("sort_rank", f"SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY coalesce(list_position([{sql_in(RANKED)}], o_orderpriority), 4), o_orderkey) AS place FROM orders")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    return results.numbered(o, [X.eligibility_rank(o["o_orderpriority"], RANKED).asc(), o["o_orderkey"].asc()]).select("o_orderkey", "place")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    return results.numbered(o, results.sort_eligibility(o["o_orderpriority"], o["o_orderkey"], RANKED)).select("o_orderkey", "o_custkey", "place")
 
 
 @query("recent_runs", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC LIMIT 20")
 def _(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc_nulls_first("o_orderdate"), F.desc("o_orderkey")).limit(20)
+    return results.newest(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc_nulls_first("o_orderdate"), F.desc("o_orderkey")])
+
+
+@query("last_completed", "SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 5")
+def _(spark, d):
+    return results.last_reversed(table(spark, d, "events").select("event_id", "user_id"), "event_id")
+
+
+_VIEW = f"""
+SELECT o_orderkey, row_number() OVER (ORDER BY list_position([{sql_in(RANKED)}], o_orderpriority), o_orderkey) AS place, o_orderpriority AS label FROM orders
+WHERE contains('https://o' || o_orderkey || '.example.org', 'o1') AND o_orderpriority IN ({sql_in(RANKED)})
+  AND (o_orderstatus = 'O' OR o_orderdate >= TIMESTAMP '{AS_OF}' - INTERVAL 24 MONTH) AND round(o_totalprice, 2) >= 100000
+  AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""
+
+
+def _view(spark, d):
+    """The whole result page: all filters, then the sort by rank."""
+    o = table(spark, d, "orders")
+    gone = table(spark, d, "customer").where("c_acctbal < 0").join(o.select("o_custkey", "o_orderkey"), F.col("c_custkey") == F.col("o_custkey"))
+    url = F.concat(F.lit("https://o"), "o_orderkey", F.lit(".example.org")).alias("fund_url")
+    rows = o.select(
+        "o_orderkey", url, F.col("o_orderpriority").alias("eligibility"), F.format_string("up to $%.2f", F.round("o_totalprice", 2)).alias("funding_range"), F.lit("web").alias("discovery_source"),
+        F.when(F.col("o_orderstatus") == "O", "Rolling basis").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("deadline"),
+    )
+    kept = results.filter_results(rows, as_of=M.subtract_months(as_of(), 24), search=" O1 ", labels=RANKED, only_open=True, least_funding=100_000, source="all", archived=gone.select(url))
+    return results.numbered(kept, results.sort_eligibility(kept["eligibility"], kept["o_orderkey"], RANKED))
+
+
+@query("result_view", _VIEW)
+def _(spark, d):
+    return _view(spark, d).select("o_orderkey", "place", F.col("eligibility").alias("label"))
+
+
+@query("result_view_groups", f"SELECT label, CAST(list_position([{sql_in(RANKED)}, 'Unknown'], label) AS INTEGER) AS position, count(*) AS n FROM ({_VIEW}) GROUP BY label")
+def _(spark, d):
+    return results.group_by_eligibility(_view(spark, d), known=RANKED)
 
 
 def _sql_score(url: str) -> str:
@@ -480,19 +532,18 @@ def _(spark, d):
 
 @query("json_defaults", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, coalesce(json_extract_string(props, '$.missing'), 'other') AS kind FROM events")
 def _(spark, d):
-    j = F.from_json("props", "k long, missing string")
-    return table(spark, d, "events").select("event_id", F.coalesce(j["k"], F.lit(-1)).alias("k"), F.coalesce(j["missing"], F.lit("other")).alias("kind"))
+    fields = extract.json_fields(F.col("props"), "k long, missing string", {"k": -1, "missing": "other"})
+    return table(spark, d, "events").select("event_id", *fields).withColumnRenamed("missing", "kind")
 
 
-@query("short_text_flag", "SELECT doc_id, CASE WHEN length(text) < 100 THEN 'Insufficient text extracted' ELSE '' END AS error FROM documents")
+@query("short_text_flag", "SELECT doc_id, CASE WHEN coalesce(length(text), 0) < 100 THEN 'Insufficient text extracted' ELSE '' END AS error FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.when(F.length("text") < X.MIN_TEXT, X.SHORT_TEXT_ERROR).otherwise("").alias("error"))
+    return extract.flag_short(table(spark, d, "documents")).select("doc_id", "error")
 
 
-@query("failed_only", "SELECT doc_id FROM documents WHERE length(text) < 100")
+@query("failed_only", "SELECT doc_id FROM documents WHERE coalesce(length(text), 0) < 100")
 def _(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.when(F.length("text") < X.MIN_TEXT, X.SHORT_TEXT_ERROR).otherwise("").alias("error"))
-    return extract.failed(t).select("doc_id")
+    return extract.failed(extract.flag_short(table(spark, d, "documents"))).select("doc_id")
 
 
 @query("truncate_text", f"SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 1000) || chr(10) || '...[content truncated]...' || chr(10) || right(text, 1000) ELSE text END AS cut FROM documents")
@@ -546,9 +597,46 @@ def _(spark, d):
     return crawl.bounded_bfs(seeds, e, depth=2, pages=None).select("url", "depth")
 
 
+_CRAWL_PAGES = 6
+
+
+@query("crawl_prioritized", f"""
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders),
+seen AS (
+  SELECT o_custkey AS c, 'https://c' || o_custkey || '.example.org/orders/' || o_orderkey AS url, 'See orders' AS anchor, '' AS snippet FROM o
+  UNION ALL
+  SELECT o_custkey, 'https://c' || o_custkey || '.example.org/grants/p' || l_partkey, CASE WHEN l_linestatus = 'O' THEN 'Apply now' ELSE 'Contact' END, CASE WHEN o_orderstatus = 'F' THEN 'Funding of F' ELSE 'x' END
+  FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE nth < {_CRAWL_PAGES} AND l_returnflag <> 'R'),
+cand AS (
+  SELECT c, url, count(DISTINCT anchor) FILTER (WHERE anchor = 'Apply now') * 25.0 + count(DISTINCT snippet) FILTER (WHERE snippet = 'Funding of F') * 7.0 AS words FROM seen GROUP BY c, url
+  UNION ALL SELECT c_custkey, 'https://www.c' || c_custkey || '.example.org', 0.0 FROM customer),
+scored AS (SELECT c, url, words + {_sql_score('url')} AS score FROM cand),
+best AS (SELECT c, url, row_number() OVER (PARTITION BY c ORDER BY score DESC, url DESC) AS place FROM scored QUALIFY place <= 10),
+texts AS (SELECT 'p' || p_partkey AS k, p_name FROM part WHERE p_size > 10)
+SELECT 'https://www.c' || c || '.example.org' AS seed, coalesce(string_agg(p_name, ' ' ORDER BY place), '') AS text, CAST(count(p_name) AS INTEGER) AS pages_scraped, string_agg(url, ' ' ORDER BY place) AS visited
+FROM best LEFT JOIN texts ON regexp_extract(url, '/grants/(p[0-9]+)$', 1) = k GROUP BY c""")
+def _(spark, d):
+    """Customers are seeds, which link to their orders, and those to parts, some in another domain."""
+    site = lambda c: F.concat(F.lit("https://c"), c, F.lit(".example.org"))
+    seed = lambda c: F.concat(F.lit("https://www.c"), c, F.lit(".example.org"))
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    order = F.concat(site(F.col("o_custkey")), F.lit("/orders/"), "o_orderkey")
+    first = o.select(seed(F.col("o_custkey")).alias("from_url"), F.col("o_orderkey").cast("int").alias("position"), order.alias("href"), F.lit("See orders").alias("anchor"), F.lit("").alias("title"), F.lit("").alias("snippet"))
+    part = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("https://parts.example.net/grants/p"), "l_partkey")).otherwise(F.concat(site(F.col("o_custkey")), F.lit("/grants/p"), "l_partkey"))
+    second = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        order.alias("from_url"), F.col("l_linenumber").cast("int").alias("position"), part.alias("href"), F.when(F.col("l_linestatus") == "O", "Apply now").otherwise("Contact").alias("anchor"),
+        F.lit("").alias("title"), F.when(F.col("o_orderstatus") == "F", "Funding of F").otherwise("x").alias("snippet"),
+    )
+    seeds = table(spark, d, "customer").select(seed(F.col("c_custkey")).alias("seed"))
+    fetched = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(site(F.col("o_custkey")).alias("site"), "l_partkey").distinct()
+    fetched = fetched.join(table(spark, d, "part").where("p_size > 10"), F.col("l_partkey") == F.col("p_partkey")).select(F.concat("site", F.lit("/grants/p"), "p_partkey").alias("url"), F.col("p_name").alias("text"))
+    out = crawl.prioritized_crawl(seeds, crawl.link_edges(first.unionByName(second)), fetched, pages=_CRAWL_PAGES)
+    return out.select("seed", "text", "pages_scraped", F.array_join("visited_urls", " ").alias("visited"))
+
+
 @query("page_text")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"), H.page_meta(F.col("html"))["title"].alias("title"))
+    return table(spark, d, "pages").select("page_id", H.page_view(F.col("html")).alias("v")).select("page_id", "v.text", "v.title")
 
 
 @query("extract_records")
@@ -558,6 +646,73 @@ def _(spark, d):
     return out.select("page_id", "error", "record.*")
 
 
+# --- sources ------------------------------------------------------------------------------------------------------
+@query("source_foundations", """
+SELECT c_name AS name, CAST(c_custkey AS VARCHAR) AS ein, '' AS city, c_mktsegment AS state, CASE WHEN c_nationkey < 10 THEN 'https://u' || c_custkey ELSE 'https://w' || c_custkey END AS website, '' AS ntee_code,
+  CASE WHEN c_nationkey <> 3 THEN CAST(c_acctbal > 0 AS BIGINT) * 200000 END AS gross_receipts, CASE WHEN c_nationkey > 5 THEN c_custkey ELSE 0 END AS asset_amount,
+  'https://projects.propublica.org/nonprofits/organizations/' || c_custkey AS propublica_url
+FROM customer WHERE c_nationkey = 3 OR c_acctbal > 0""")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    raw = c.select(
+        F.col("c_name").alias("name"), F.col("c_custkey").alias("ein"), F.lit(None).cast("string").alias("city"), F.col("c_mktsegment").alias("state"), F.when(F.col("c_nationkey") >= 10, F.concat(F.lit("https://w"), "c_custkey")).otherwise("").alias("website"),
+        F.concat(F.lit("https://u"), "c_custkey").alias("url"), F.lit(None).cast("string").alias("ntee_code"), F.when(F.col("c_nationkey") != 3, (F.col("c_acctbal") > 0).cast("long") * 200_000).alias("gross_receipts"), F.when(F.col("c_nationkey") > 5, F.col("c_custkey")).alias("asset_amount"),
+    )
+    return discovery.foundations(raw)
+
+
+@query("source_federal_grants", """
+SELECT CAST(p_partkey AS VARCHAR) AS opportunity_id, p_brand AS opportunity_number, p_name AS opportunity_title, CASE WHEN p_size > 25 THEN p_type ELSE '' END AS agency_name, '2024-01-01' AS post_date, '' AS close_date,
+  CAST(p_size AS VARCHAR) AS estimated_funding, 'https://grants.gov/search-results-detail/' || p_partkey AS opportunity_url, '' AS synopsis FROM part""")
+def _(spark, d):
+    none = F.lit(None).cast("string")
+    raw = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("number"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("agencyName"), F.lit("2024-01-01").alias("openDate"), none.alias("closeDate"), F.col("p_size").alias("estimatedFunding"), none.alias("synopsis"))
+    return discovery.federal_grants(raw)
+
+
+@query("source_opportunities", """
+SELECT n AS opportunity_id, o_orderpriority AS title, CASE WHEN o_orderstatus = 'F' THEN 'Dept ' || o_custkey ELSE 'Office' END AS agency_name, strftime(o_orderdate, '%Y-%m-%d') AS posted_date, '' AS close_date, o_orderstatus AS opportunity_type,
+  CASE WHEN n <> '' THEN 'https://sam.gov/opp/' || n || '/view' ELSE '' END AS opportunity_url, n AS notice_id
+FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'n' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'i' || o_orderkey ELSE '' END AS n FROM orders)""")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    names = F.array(F.struct(F.concat(F.lit("Dept "), "o_custkey").alias("name")))
+    raw = o.select(
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("n"), "o_orderkey")).alias("noticeId"), F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("i"), "o_orderkey")).otherwise("").alias("id"), F.col("o_orderpriority").alias("title"),
+        F.when(F.col("o_orderstatus") == "F", names).alias("organizationHierarchy"), F.lit("Office").alias("organizationName"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("postedDate"), F.lit(None).cast("string").alias("responseDeadLine"), F.col("o_orderstatus").alias("type"),
+    )
+    return discovery.opportunities(raw)
+
+
+@query("source_notices", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'h' || o_orderkey ELSE 'p' || o_orderkey END AS url FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' AND o_orderkey % 5 <> 1")
+def _(spark, d):
+    key = lambda c: F.concat(F.lit(c), "o_orderkey")
+    raw = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.when(F.col("o_orderkey") % 5 != 1, key("h"))).otherwise("").alias("html_url"), F.when((F.col("o_orderkey") % 2 == 1) & (F.col("o_orderkey") % 5 != 1), key("p")).alias("pdf_url"), F.col("o_orderdate").cast("date").alias("publication_date"))
+    return discovery.notices(raw, "2001-01-01")
+
+
+@query("source_feed", "SELECT 'https://f/' || o_orderkey AS url FROM orders WHERE o_orderstatus = 'F' OR o_orderdate >= TIMESTAMP '2000-06-01'")
+def _(spark, d):
+    when = F.when(F.col("o_orderstatus") == "F", "unreadable").otherwise(F.date_format("o_orderdate", "dd MMM yyyy HH:mm:ss '+0000'"))
+    items = table(spark, d, "orders").select(F.concat(F.lit(" https://f/"), "o_orderkey").alias("link"), when.alias("pubDate"))
+    return discovery.rss_urls(items.unionByName(items.select(F.lit(" ").alias("link"), "pubDate")), "2000-06-01")
+
+
+@query("stored_runs", "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'F' THEN 'unknown' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS INTEGER) ELSE 0 END AS urls_new, o_orderdate AS finished_at FROM orders")
+def _(spark, d):
+    from ..sources.tables import stored_runs
+
+    o = table(spark, d, "orders")
+    return stored_runs(o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("urls_new"), F.col("o_orderdate").alias("finished_at"), F.lit(1).alias("unknown")))
+
+
+@query("config_snapshots", """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","note":null}' AS config_snapshot FROM nation""")
+def _(spark, d):
+    from ..sources.tables import snapshot
+
+    return snapshot(table(spark, d, "nation").select(F.col("n_regionkey").alias("id"), "n_nationkey", "n_name", F.lit(None).cast("string").alias("note"), F.lit("x").alias("updated_at")))
+
+
 # --- incremental --------------------------------------------------------------------------------------------------
 @query("incremental_since", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
 def _(spark, d):
@@ -574,10 +729,7 @@ def _(spark, d):
 
 def _stream(spark: SparkSession, d: str, name: str, build, mode: str) -> DataFrame:
     """Run ``build`` over the events as a stream of what is there, and return the rows it wrote."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = shared_path(spark, name)
     like = table(spark, d, "events")
     source = spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(d)
 
@@ -604,3 +756,14 @@ def _(spark, d):
 
     tagged = lambda s: s.withColumn("err", F.when(F.col("event_type") == "error", "error").otherwise(""))
     return _stream(spark, d, "stream-progress", lambda s: progress(tagged(s), "user_id", "err"), "complete")
+
+
+@query("stream_state", "SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def _(spark, d):
+    """The state of each key after a stream: every micro-batch overlays what it has seen last."""
+    from ..streaming.ingest import current_state, overlay_sink, run_available
+
+    base, like = shared_path(spark, "stream-state"), table(spark, d, "events").select("user_id", "event_id", "ts")
+    source = spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(d)
+    run_available(source, f"{base}/checkpoint", overlay_sink(spark, f"{base}/state", "user_id", "event_id"))
+    return current_state(spark, f"{base}/state")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, or beside the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, where several reads have to see the same rows."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_results(spark: SparkSession, path: str) -> DataFrame:
     """All result rows in the 23-column contract, newest text timestamp first (nulls first)."""
     return conform(spark.read.schema(RESULTS).parquet(path)).orderBy(F.desc_nulls_first("extraction_timestamp"))
@@ -31,6 +46,19 @@ def single_row(df: DataFrame, defaults: dict[str, object] | None = None) -> Data
     return df.limit(1).select(*cols, *[F.lit(v).alias(c) for c, v in defaults.items() if c not in have])
 
 
+def snapshot(config: DataFrame) -> DataFrame:
+    """(config_snapshot): each configuration as JSON, as a run stores it, without its identity."""
+    return config.drop("id", "updated_at").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("config_snapshot"))
+
+
+def stored_runs(runs: DataFrame) -> DataFrame:
+    """Runs as they are read: texts and counts have defaults, the rest stays."""
+    text, count = {"id": "", "started_at": "", "status": "unknown", "trigger": "scheduled"}, ("urls_discovered", "urls_new")
+    cols = {c: F.coalesce(F.col(c).cast("string"), F.lit(v)) for c, v in text.items() if c in runs.columns}
+    cols |= {c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in count if c in runs.columns}
+    return runs.select(*[cols.get(c, F.col(c)).alias(c) for c in (*text, "finished_at", *count, "scrape_job_id", "error_message") if c in runs.columns])
+
+
 def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.where(F.col(key) == value).limit(1)
 
@@ -65,7 +93,7 @@ def combined_text(files: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("name", "text")))
     named = F.filter("p", lambda x: x["name"].contains("_"))
     return files.groupBy().agg(parts.alias("p")).select(
-        F.array_join(F.transform("p", lambda x: F.concat(F.lit("=== "), x["name"], F.lit(" ===\n"), x["text"])), "\n\n").alias("text"), F.size("p").alias("files"),
+        F.array_join(F.transform("p", lambda x: F.concat(F.lit("\n=== "), x["name"], F.lit(" ===\n"), x["text"])), "\n").alias("text"), F.size("p").alias("files"),
         F.when(F.size(named) > 0, F.concat(F.lit("https://"), F.substring_index(named[0]["name"], "_", 1))).otherwise("").alias("url"),
     )
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.url import normalize_url
+from ..operators.latest import latest_by
+from ..operators.mutate import overlay
 
 
 def read_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 1000) -> DataFrame:
@@ -59,6 +61,41 @@ def ingest_new_urls(spark: SparkSession, source_path: str, like: DataFrame, proc
     run_available(read_stream(spark, source_path, like), checkpoint, sink)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of a state table (a handful of folder names)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    done = [x.getPath() for x in store.listStatus(folder)]
+    names = [p.getName() for p in done if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def current_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest finished version of a state table, or of those before a batch."""
+    found = [v for v in _versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
+
+
+def overlay_sink(spark: SparkSession, path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
+    """A sink that overlays the last row of each key on the state table; keys that a batch doesn't have keep theirs.
+
+    A batch writes its own version from the one before it, so a repeated batch gives the same state, and readers
+    always find a whole one. Two versions are kept.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        new = latest_by(batch, F.col(key), F.lit(None).cast("timestamp"), F.col(order))
+        old = current_state(spark, path, batch_id)
+        (new if old is None else overlay(old, new, key)).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for v in [v for v in _versions(spark, path) if v < batch_id][:-1]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    return sink
+
+
 def recent_marks(rows: DataFrame, seen_at: str, as_of, seconds: int = 35) -> DataFrame:
     """Rows whose "new" mark has not expired."""
     return rows.where(F.col(seen_at) > as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds)))

@@ -114,8 +114,9 @@ def test_html(spark):
     page = "<html><head><title> T </title><script>var t='</p>';</script></head><body><nav><p>no</p></nav><h1>Head</h1><p>One <b>two</b></p><ul><li>x<p>y</p></li></ul><a href='/z#f'>Go  there</a><footer><p>no</p></footer></body></html>"
     assert H.page_visible_text(page) == "Head One two x y y"
     assert H.page_visible_text(None) == "" == H.page_visible_text("")
+    assert H.parse_page("<a href='/x'><b>Foo</b><i> Bar </i></a>").links == [("/x", "Foo Bar")]
     p = H.parse_page(page)
-    assert (p.title, p.links) == ("T", [("/z#f", "Go there")])
+    assert (p.title, p.links) == ("T", [("/z#f", "Go  there")])
     links = H.page_links(spark.createDataFrame([("https://a.org/b/c", page), (None, None)], "url string, html string")).collect()
-    assert [(r.href, r.anchor, r.title) for r in links] == [("https://a.org/z", "Go there", "T")]
+    assert [(r.href, r.anchor, r.title) for r in links] == [("https://a.org/z", "Go  there", "T")]
     assert spark.createDataFrame([(page,), (None,)], "h string").select(H.visible_text(F.col("h")).alias("t")).collect()[1].t == ""

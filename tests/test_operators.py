@@ -148,7 +148,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a_x.txt").write_text("one")
     (tmp_path / "b.txt").write_text("two https://u.org/p")
     folder = tables.combined_text(tables.read_text_folder(spark, str(tmp_path))).first()
-    assert (folder.text, folder.files, folder.url) == ("=== a_x.txt ===\none\n\n=== b.txt ===\ntwo https://u.org/p", 2, "https://a")
+    assert (folder.text, folder.files, folder.url) == ("\n=== a_x.txt ===\none\n\n=== b.txt ===\ntwo https://u.org/p", 2, "https://a")
     assert [r.url for r in tables.uploaded_urls(spark, str(tmp_path / "b.txt")).collect()] == ["https://u.org/p"]
     (tmp_path / "feed.xml").write_text("<rss><channel><item><title>t</title><link>http://l</link><pubDate>x</pubDate></item></channel></rss>")
     assert tables.read_rss(spark, str(tmp_path / "feed.xml")).first().link == "http://l"
@@ -170,6 +170,93 @@ def test_prioritized_crawl(spark):
     assert (r.text, r.pages_scraped, r.visited_urls) == ("grants text home", 2, ["https://a.org/grants", "https://a.org"])
 
 
+def test_crawl_follows_the_seeds_domain(spark):
+    """From blog.a.org back to a.org, and from a.org to what contains it; not to others."""
+    seeds = spark.createDataFrame([("https://www.a.org",)], "seed string")
+    rows = [("https://www.a.org", 0, "https://blog.a.org/x"), ("https://blog.a.org/x", 0, "https://a.org/grants"), ("https://blog.a.org/x", 1, "https://c.org/grants")]
+    links = spark.createDataFrame([(*r, "Go", "", "") for r in rows], "from_url string, position int, href string, anchor string, title string, snippet string")
+    r = crawl.prioritized_crawl(seeds, crawl.link_edges(links), spark.createDataFrame([], "url string, text string")).first()
+    assert sorted(r.visited_urls) == ["https://a.org/grants", "https://blog.a.org/x", "https://www.a.org"] and r.pages_scraped == 0
+
+
+def test_numbered_with_other_columns_on_many_partitions(spark):
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"), F.col("id").alias("_id"), F.lit("x").alias("_part"))
+    saved = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 50)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        got = results.numbered(rows.repartition(13), [F.col("k").asc()]).orderBy("place").collect()
+    finally:
+        for c, v in saved.items():
+            spark.conf.set(c, v)
+    assert [r.place for r in got] == list(range(1, 20_001)) and [r.k for r in got] == list(range(20_000))
+    assert got[0].asDict().keys() == {"k", "_id", "_part", "place"}
+    assert results.numbered(rows.limit(0), [F.col("k")]).count() == 0
+
+
+def test_alternate_sorts_and_tails(spark):
+    df = spark.createDataFrame([(1, None, "2025-01-02", "b"), (2, "2025-01-01", None, "A"), (3, None, None, None)], "ord int, ts string, deadline string, name string")
+    order = lambda by: [r.ord for r in df.orderBy(*by).collect()]
+    assert order(results.sort_recent(df["ts"], df["deadline"], df["ord"])) == [1, 2, 3]
+    assert order(results.sort_recent(df["ts"], None, df["ord"])) == [2, 1, 3]
+    assert order(results.sort_alphabetical(df["name"], None, df["ord"], "UNICODE")) == [3, 2, 1]
+    assert [r.ord for r in results.last_reversed(df, "ord", 2).collect()] == [3, 2]
+
+
+def test_small_helpers(spark):
+    from oppengine.functions import text as X
+    from oppengine.functions import time as M
+
+    df = spark.createDataFrame([("https://A.org/x/", " ", "f", "2025", 3, "Grant (a) grant")], "url string, name string, folder string, ts string, position int, text string")
+    c = F.col
+    got = df.select(
+        latest.row_key(F.lit(""), F.lit(None).cast("string"), F.lit(""), F.lit(""), c("position")).alias("row"), latest.option_key(c("url"), c("name")).alias("option"), latest.option_key(F.lit(""), F.lit("n")).alias("by_name"),
+        extract.fund_name(c("name"), c("url")).alias("fund"), X.highlight(c("text"), "grant").alias("marked"), X.highlight(c("text"), "(A)").alias("escaped"), discovery.next_rotation(F.lit(48)).alias("next"),
+    ).first()
+    assert (got.row, got.option, got.by_name, got.fund) == ("row-3", "https://a.org/x", "n", "A.org")
+    assert (got.marked, got.escaped, got.next) == ("<mark>Grant</mark> (a) <mark>grant</mark>", "Grant <mark>(a)</mark> grant", 3)
+    long = spark.createDataFrame([("e" * 3000,)], "error_message string")
+    assert len(long.select(mutate.cut_error().alias("e")).first().e) == 2000
+    meta = spark.createDataFrame([("https://A.org/x/", "feed")], "url string, discovery_source string")
+    assert prepare.with_metadata(df, meta, "url").first().discovery_source == "feed"
+    e = lambda *v: df.select(M.elapsed_seconds(*map(F.lit, v)).alias('e')).first().e
+    assert (e(10, 15, 99), e(10, None, 99), e(20, 15, 99)) == (5, 89, 0)
+
+
+def test_writers(spark, tmp_path):
+    one = spark.createDataFrame([("https://a.org/grants", 'Fund "A", B'), ("https://grants.gov/x", None)], "url string, name string")
+    tables.write_fund_csv(one, str(tmp_path / "funds"), F.regexp_extract("url", "//([^/]+)", 1))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "funds")).orderBy("domain").collect()
+    assert [(r.domain, r.name) for r in back] == [("a.org", 'Fund "A", B'), ("grants.gov", None)]
+    texts = spark.createDataFrame([("a.org", "one\ntwo"), ("b.org", "three")], "domain string, text string")
+    tables.write_page_texts(texts, str(tmp_path / "texts"))
+    files = tables.read_text_folder(spark, str(tmp_path / "texts" / "domain=a.org"))
+    assert [r.text for r in files.collect()] == ["one two\n"]
+    listed = discovery.url_list(one, F.lit("2025-01-01")).orderBy("fund_url").collect()
+    assert [(r.fund_url, r.source) for r in listed] == [("https://a.org/grants", "foundation"), ("https://grants.gov/x", "federal")]
+    ids = [r.id for r in mutate.with_id(one).collect()]
+    assert len(set(ids)) == 2 and all(len(i) == 36 for i in ids)
+    assert tables.as_json(one).orderBy("record").first().record == '{"url":"https://a.org/grants","name":"Fund \\"A\\", B"}'
+    spark.createDataFrame([("u", "2025-01-01 10:00:00")], "url string, fetched_at string").select("url", F.to_timestamp("fetched_at").alias("fetched_at")).write.parquet(str(tmp_path / "store"))
+    fresh = lambda t: tables.read_pages(spark, str(tmp_path / "store"), F.lit(t).cast("timestamp")).count()
+    assert (fresh("2025-01-02 09:59:59"), fresh("2025-01-02 10:00:01")) == (1, 0)
+
+
+def test_state_overlay_by_batch(spark, tmp_path):
+    from oppengine.streaming.ingest import current_state, overlay_sink
+
+    path = str(tmp_path / "state")
+    sink = overlay_sink(spark, path, "source", "at")
+    rows = lambda *r: spark.createDataFrame(list(r), "source string, at int, mark string")
+    assert current_state(spark, path) is None
+    sink(rows(("a", 1, "x"), ("b", 1, "x"), ("a", 2, "y")), 0)
+    sink(rows(("b", 5, "z")), 1)
+    sink(rows(("b", 5, "z")), 1)  # a repeated batch changes nothing
+    sink(rows(("c", 1, "w")), 2)
+    got = sorted(tuple(r) for r in current_state(spark, path).collect())
+    assert got == [("a", 2, "y"), ("b", 5, "z"), ("c", 1, "w")]
+
+
 def test_extract(spark):
     long = "Open funding of $5k - $10k for nonprofits. " * 5
     df = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "id int, text string")
