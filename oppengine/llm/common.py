@@ -56,38 +56,15 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(5)), F.lit(-1)).cast("int")
 
 
-def one_partition_safe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns, so that extra or clashing columns of the caller never meet ours."""
-    return df.select(*[df[c] for c in columns])
+def beside(docs: DataFrame, keep: list[str], *more: Column) -> DataFrame:
+    """The columns ``keep`` in one struct ``_keep``, so that their names never meet those of ``more``; undone by ``"_keep.*"``."""
+    return docs.select(F.struct(*[docs[c] for c in keep]).alias("_keep"), *more)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-class DisjointSets:
-    """Union-find over a dense range of ints; the smaller root wins."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        p = self.parent
-        while p[x] != x:
-            p[x] = p[p[x]]
-            x = p[x]
-        return x
-
-    def union(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        if b < a:
-            a, b = b, a
-        self.parent[b] = a
-        return True
-
-
 def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the graph given as two arrays of node ids (star edges to each tree's smallest node)."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -1,15 +1,23 @@
 """Quality rules with risk-controlled thresholds (operator 3).
 
-Counts of every whole text feed fixed base rules and a family of learned rules. A learned rule rejects a text if any
-of its metrics exceeds the (1 - level) quantile that clean labelled texts of the same stratum have in one fold; the
-family is indexed by the level. On a second fold, levels are tested from the mildest on: a level is certified if an
-exact binomial test rejects "more than ``RISK`` of clean texts are falsely rejected" at error ``ERROR`` divided by
-the number of strata (Bonferroni); testing stops at the first level that fails (fixed sequence), so that with
-probability 1 - ERROR no stratum loses more than RISK of its clean texts. The strictest certified level is used.
+Counts of every whole text feed fixed base rules and learned cutoffs on six metrics (``METRICS``), a set of cutoffs for
+each stratum. Labelled texts that pass the base rules are parted by fold:
+
+- On the learning fold, candidate cutoffs of a metric are upper quantiles of the stratum's clean texts. Starting from
+  none, the cutoff is tightened that rejects the most further bad texts for the fewest further clean ones, again and
+  again, as long as no more than ``RISK`` of the clean texts go: a ladder of rules, each rejecting all that the one
+  before it does. (Without labelled bad texts the metrics get their mildest cutoffs one after the other.)
+- On the test folds, the rules of the ladder are tested in this order: a rule is certified if an exact binomial test
+  rejects "more than ``RISK`` of clean texts are falsely rejected" at error ``ERROR`` divided by the number of strata
+  (Bonferroni). Testing stops at the first rule that fails (fixed sequence), so that with probability 1 - ERROR no
+  stratum loses more than RISK of its clean texts. The last certified rule is used.
+
+The risk is that of the learned cutoffs among clean texts that pass the base rules, which are fixed and have no bound.
+Fold 0 is used for neither, so it can measure both errors.
 
 Defined cases: null and empty texts have no words and fail the base rules; a stratum without enough labelled texts
-certifies no level, so only the base rules hold there; null strata are one stratum; repeated rows are alike;
-labels that repeat an id count as good only if all are.
+(436 clean ones on the test folds with four strata) certifies no rule, so only the base rules hold there; null strata
+are one stratum; repeated rows are alike; labels that repeat an id count as good only if all are.
 """
 
 from __future__ import annotations
@@ -23,12 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, stage, texts
+from .common import beside, fold, read_table, stage, texts, unstage
 
 #: The largest share of clean texts of a stratum that the learned rule may reject, and the chance to miss that.
 RISK, ERROR = 0.01, 0.05
-LEVELS = (0.0001, 0.00025, 0.0005, 0.001, 0.0015, 0.002, 0.003)
-QUANTILE_FOLDS, TEST_FOLDS = (1, 2), (3, 4)
+#: Shares of clean texts beyond the candidate cutoffs, mild to strict; 0 is the largest value met.
+LEVELS = (0.0, 0.001, 0.002, 0.005, 0.01)
+LEARN_FOLDS, TEST_FOLDS = (1,), (2, 3, 4)
+#: Strata whose cutoffs (some 100 bytes each) are sent to all tasks; beyond, they are joined, each hot stratum in SALTS parts.
+SENT_STRATA, SALTS = 10_000, 64
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 METRICS = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "long_words", "short_words")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -72,17 +83,19 @@ def measure(text: str | None) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines), upper, max(0, chars - symbols)
 
 
-def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    schema = docs.select(*keep).schema
+def counts(docs: DataFrame, keep: list[str], stratum: Column) -> DataFrame:
+    """(_keep struct, doc_id, stratum, COUNTS) of every text."""
+    own = beside(docs, keep, docs["doc_id"].alias("doc_id"), F.coalesce(stratum.cast("string"), F.lit("none")).alias("stratum"), docs["text"].cast("string").alias("_text"))
+    schema = own.drop("_text").schema
     for c in COUNTS:
         schema = schema.add(c, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = np.array([measure(t) for t in texts(b, "_text")], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(c) for c in m.T.copy())], names=[*keep, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(c) for c in m.T.copy())], names=["_keep", "doc_id", "stratum", *COUNTS])
 
-    return docs.select(*keep, docs["text"].cast("string").alias("_text")).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def metrics() -> dict[str, Column]:
@@ -101,7 +114,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def certify(tested: dict[str, tuple[int, list[int]]], risk: float = RISK, error: float = ERROR) -> dict[str, int]:
-    """For each stratum (clean texts, falsely rejected at each level, mild to strict): the strictest certified level, or -1."""
+    """For each stratum (clean texts, falsely rejected by each rule, mild to strict): the last certified rule, or -1."""
     out = {}
     for s, (n, wrong) in tested.items():
         out[s] = -1
@@ -112,49 +125,105 @@ def certify(tested: dict[str, tuple[int, list[int]]], risk: float = RISK, error:
     return out
 
 
-def learn(measured: DataFrame, labels: DataFrame, levels: tuple[float, ...] = LEVELS, risk: float = RISK, error: float = ERROR) -> dict[str, list[float]]:
-    """Thresholds of METRICS by stratum. ``measured``: doc_id, stratum, COUNTS; ``labels``: doc_id, quality."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+def ladder(seen: np.ndarray, good: np.ndarray, weight: np.ndarray, risk: float, levels: int = len(LEVELS)) -> list[np.ndarray]:
+    """Rules, mild to strict: for each metric the number of cutoffs, mildest first, that a rejected text is beyond, or 0 for no cutoff.
+
+    ``seen`` has for each pattern and metric how many cutoffs its texts are beyond, counted from the mildest, so a
+    text is rejected by cutoff j if it is beyond at least ``levels + 1 - j`` of them; ``good`` and ``weight`` are the
+    label and the texts of each pattern. Without any bad text, metrics get their mildest cutoffs in their order.
+    """
+    rule, out = np.zeros(seen.shape[1], int), []
+    if good.all():
+        for m in range(seen.shape[1]):
+            rule[m] = 1
+            out.append(rule.copy())
+        return out
+    rejected = np.zeros(len(seen), bool)
+    all_good, all_bad = max(1, weight[good].sum()), max(1, weight[~good].sum())
+    while True:
+        best = None
+        for m in range(seen.shape[1]):
+            for j in range(rule[m] + 1, levels + 1):
+                more = rejected | beyond(seen[:, m], j, levels)
+                gain, cost = (weight[more & ~rejected & ~good].sum(), weight[more & ~rejected & good].sum())
+                if weight[more & good].sum() <= risk * all_good and gain / all_bad > cost / all_good:
+                    key = (gain / (cost + 1), -m, -j)
+                    if best is None or key > best[0]:
+                        best = (key, m, j, more)
+        if best is None:
+            return out
+        _, m, j, rejected = best
+        rule[m] = j
+        out.append(rule.copy())
+
+
+def beyond(seen: np.ndarray, j: int, levels: int = len(LEVELS)) -> np.ndarray:
+    """Cutoffs get smaller from the mildest on, so a text beyond the mildest is beyond all ``levels``."""
+    return (seen >= levels + 1 - j) if j else np.zeros(len(seen), bool)
+
+
+def by_stratum(rows: DataFrame, table: DataFrame, strata: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row that ``table`` has for their stratum, whatever share of the rows one stratum has."""
+    if strata <= SENT_STRATA:
+        return rows.join(F.broadcast(table), "stratum", how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.floor(F.rand(1) * SALTS).cast("int")).join(salted.hint("merge"), ["stratum", "_salt"], how).drop("_salt")
+
+
+def learn(measured: DataFrame, labels: DataFrame, levels: tuple[float, ...] = LEVELS, risk: float = RISK, error: float = ERROR) -> tuple[DataFrame, int]:
+    """(stratum, limits array<double>, ...) of the strata, null where a metric has no cutoff, and their number.
+
+    ``measured``: doc_id, stratum, COUNTS; ``labels``: doc_id, quality. Further columns say what was certified: rules
+    of the ladder and certified ones, clean texts tested and falsely rejected, bad texts on the test folds and rejected.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
     m = metrics()
-    rows = measured.withColumn("_fold", fold()).where(F.col("_fold").isin(*QUANTILE_FOLDS, *TEST_FOLDS) & ~base_failed())
-    rows = stage(rows.join(good, "doc_id", "left_semi").select("stratum", "_fold", *(m[k].alias(k) for k in METRICS)), "quality-labelled")
-    at = [1 - x for x in levels]
-    cuts = rows.where(F.col("_fold").isin(*QUANTILE_FOLDS)).groupBy("stratum").agg(*(F.percentile_approx(k, at, 20_000).alias(k) for k in METRICS))
-    limits = {r["stratum"]: [[r[k][i] for k in METRICS] for i in range(len(levels))] for r in cuts.collect()}  # a row a stratum
-    if not limits:
-        return {}
-
-    def over(i: int) -> Column:
-        table = F.create_map(*[x for s, l in limits.items() for x in (F.lit(s), F.array(*map(F.lit, l[i])))])[F.col("stratum")]
-        bad = F.lit(False)
-        for j, k in enumerate(METRICS):
-            bad = bad | (F.col(k) > table[j])
-        return F.coalesce(bad, F.lit(False))
-
-    test = rows.where(F.col("_fold").isin(*TEST_FOLDS)).groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum(over(i).cast("int")).alias(f"w{i}") for i in range(len(levels))))
-    tested = {r["stratum"]: (r["n"], [r[f"w{i}"] for i in range(len(levels))]) for r in test.collect() if r["stratum"] in limits}
-    return {s: limits[s][i] for s, i in certify(tested, risk, error).items() if i >= 0}
+    rows = measured.withColumn("_fold", fold()).where(F.col("_fold").isin(*LEARN_FOLDS, *TEST_FOLDS) & ~base_failed())
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "stratum", F.col("_fold").isin(*TEST_FOLDS).alias("test"), *(m[k].alias(k) for k in METRICS))
+    rows = stage(rows.join(known, "doc_id").drop("doc_id"), "quality-labelled")
+    clean = rows.where("good and not test")
+    cuts = stage(clean.groupBy("stratum").agg(*(F.percentile_approx(k, [1 - x for x in levels], 20_000).alias(f"cut_{k}") for k in METRICS)), "quality-cutoffs")
+    strata, tested = cuts.count(), max(1, rows.where("good and test").select("stratum").distinct().count())
+    own = by_stratum(rows, cuts, strata)
+    over = [sum((F.col(k) > F.col(f"cut_{k}")[i]).cast("int") for i in range(len(levels))).alias(f"over_{k}") for k in METRICS]
+    patterns = own.select("stratum", "test", "good", *over).groupBy("stratum", "test", "good", *(f"over_{k}" for k in METRICS)).agg(F.count("*").alias("n"))
+    # A stratum has at most (levels + 1) ** 6 patterns, however many texts.
+    ddl = "stratum string, chosen array<int>, rules int, certified int, clean long, wrong long, bad long, caught long"
+
+    def choose(key, table):
+        p = table.to_pandas()
+        seen, good, test, n = p[[f"over_{k}" for k in METRICS]].to_numpy(int), p["good"].to_numpy(bool), p["test"].to_numpy(bool), p["n"].to_numpy(np.int64)
+        rules = ladder(seen[~test], good[~test], n[~test], risk, len(levels))
+        hit = [np.logical_or.reduce([beyond(seen[:, i], j, len(levels)) for i, j in enumerate(r)]) for r in rules]
+        wrong, clean_n = [int(n[test & good & h].sum()) for h in hit], int(n[test & good].sum())
+        k = certify({"": (clean_n, wrong)}, risk, error / tested)[""] + 1
+        caught = int(n[test & ~good & hit[k - 1]].sum()) if k else 0
+        chosen = rules[k - 1] if k else np.zeros(len(METRICS), int)
+        row = {"stratum": key[0].as_py(), "chosen": chosen.tolist(), "rules": len(rules), "certified": k, "clean": clean_n, "wrong": wrong[k - 1] if k else 0, "bad": int(n[test & ~good].sum()), "caught": caught}
+        types = [pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32(), *[pa.int64()] * 4]
+        return pa.table({c: pa.array([v], t) for (c, v), t in zip(row.items(), types, strict=True)})
+
+    chosen = patterns.groupBy("stratum").applyInArrow(choose, ddl)
+    limits = F.array(*[F.when(F.col("chosen")[i] > 0, F.get(f"cut_{k}", F.col("chosen")[i] - 1)) for i, k in enumerate(METRICS)])
+    out = stage(chosen.join(cuts, "stratum").select("stratum", limits.alias("limits"), "rules", "certified", "clean", "wrong", "bad", "caught"), "quality-limits")
+    unstage(rows, cuts)
+    return out, strata
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: Column | None = None, keep: list[str] | None = None, levels: tuple[float, ...] = LEVELS, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """Columns ``keep`` of ``docs``, the counts, base_failed, kept and ``reason`` (base, the first metric beyond its limit, or null)."""
-    keep = keep or ["doc_id"]
-    s = F.coalesce((stratum if stratum is not None else docs["lang"]).cast("string"), F.lit("none"))
-    with_stratum = docs.withColumn("stratum", s)
-    measured = stage(counts(with_stratum, [*keep, "stratum"]), "quality-counts")
-    limits = learn(measured, labels)
-    reason = F.lit(None).cast("string")
-    if limits:
-        m = metrics()
-        table = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("stratum")]
-        for j, k in reversed(list(enumerate(METRICS))):
-            reason = F.when(m[k] > table[j], F.lit(k)).otherwise(reason)
+    measured = stage(counts(docs, keep or ["doc_id"], stratum if stratum is not None else docs["lang"]), "quality-counts")
+    limits, strata = learn(measured, labels, levels, risk, error)
+    ruled = by_stratum(measured, limits.where("certified > 0").select("stratum", "limits"), strata, "left")
+    reason, m = F.lit(None).cast("string"), metrics()
+    for j, k in reversed(list(enumerate(METRICS))):
+        reason = F.when(m[k] > F.col("limits")[j], F.lit(k)).otherwise(reason)
     reason = F.when(base_failed(), F.lit("base")).otherwise(reason)
-    return measured.select(*keep, *COUNTS[:5], base_failed().alias("base_failed"), reason.isNull().alias("kept"), reason.alias("reason"))
+    return ruled.select("_keep.*", *COUNTS[:5], base_failed().alias("base_failed"), reason.isNull().alias("kept"), reason.alias("reason"))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
