@@ -169,13 +169,23 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
             if i < len(gaps):
                 gap = gaps[i]
                 first, have = open_[gap].pop()
-                n = min(have, left[l])
-                if n < have:
-                    open_[gap].append((first + n, have - n))
+                # What the first piece leaves is the smallest gap now, so a sequence is filled before the next one.
+                per = gap // l
+                whole = min(have, left[l] // per)
+                rest = left[l] - whole * per if whole < have else 0
+                used_now = whole + (rest > 0)
+                if used_now < have:
+                    open_[gap].append((first + used_now, have - used_now))
                 if not open_[gap]:
                     gaps.pop(i)
-                put(l, n, first, capacity - gap)
-                leave(first, n, gap - l)
+                for k in range(per if whole else 0):
+                    put(l, whole, first, capacity - gap + k * l)
+                for k in range(rest):
+                    put(l, 1, first + whole, capacity - gap + k * l)
+                if whole:
+                    leave(first, whole, gap - per * l)
+                if rest:
+                    leave(first + whole, 1, gap - rest * l)
             else:
                 per, n = capacity // l, left[l]
                 whole = n // per
@@ -206,7 +216,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     span = {l: slice(i, i + int((length == l).sum())) for l, i in first_run.items()}
     before = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("chunk", "length", F.coalesce(before, F.lit(0)).alias("_base"))
-    placed = pieces.join(base, ["chunk", "length"]).withColumn("_rank", F.col("_base") + F.col("nth"))
+    # A row for every task and length it has: that grows with the corpus, so it is never broadcast.
+    placed = pieces.join(base.hint("merge"), ["chunk", "length"]).withColumn("_rank", F.col("_base") + F.col("nth"))
     keep = [c for c in pieces.columns if c not in ("chunk", "nth")]
     out_type = placed.select(*keep).schema.add("sequence_id", "long").add("offset", "long")
 

@@ -120,3 +120,28 @@ def test_sequences_hold_the_ids(spark):
     t = Tokenizer.from_file(PATH)
     for s in sequences(df, placed_rows, PATH).collect():
         assert len(s.ids) <= CAPACITY and set(s.ids) <= {0, *t.encode("word word ", add_special_tokens=False).ids}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_small_pieces_are_best_fit_one_by_one(seed):
+    """Few lengths, many of each: small pieces take as many sequences as placing them one by one, longest first, in the smallest gap."""
+    rng = random.Random(200 + seed)
+    capacity = rng.choice([60, 100, 2048])
+    kinds = [rng.randint(1, capacity if k < 2 else max(1, capacity // 3)) for k in range(6)]
+    lengths = [rng.choice(kinds) for _ in range(600)]
+    large, gaps = Counter(l for l in lengths if 3 * l > capacity), []
+    while large:
+        a = max(large)
+        large[a] -= 1
+        large += Counter()
+        b = max((l for l in large if l <= capacity - a), default=0)
+        large -= Counter([b] if b else [])
+        gaps.append(capacity - a - b)
+    for l in sorted((l for l in lengths if 3 * l <= capacity), reverse=True):
+        fit = min((g for g in gaps if g >= l), default=None)
+        if fit is None:
+            fit = capacity
+        else:
+            gaps.remove(fit)
+        gaps.append(fit - l)
+    assert len({r[2] for r in placed(lengths, capacity)}) <= len(gaps)
