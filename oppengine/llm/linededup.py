@@ -2,11 +2,13 @@
 
 Each text is split at ``\\n``; lines without a word are skipped. Every three consecutive lines form a window, hashed
 to 128 bits. A window that occurs more than once in the corpus keeps its first occurrence (smallest doc_id, then
-position); later ones are removed, and overlapping windows merge, as what goes is the union of the covered lines.
+position); later ones are removed, and overlapping windows merge, as what goes is the union of the covered lines. A
+later occurrence that overlaps the first one takes lines of it away too: of one line five times in a row, one stays.
 
 Defined cases: texts of fewer than three lines with words have no window and stay; null texts stay null; rows that
 repeat one doc_id with one text are one document and are treated alike; null ids come last in the order; columns
-other than doc_id and text pass through ``dedup_lines`` untouched (whatever their names).
+other than doc_id and text pass through ``dedup_lines`` untouched, whatever their names, but for any ``_n_lines`` and
+``_n_removed``, which the counts replace.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import beside, read_table, stage
 
 WINDOW = 3
 _WORD = r"[^\x20\x09-\x0D]"
@@ -49,13 +51,16 @@ def later_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` deduplicated, and the counts ``_n_lines`` and ``_n_removed`` added."""
-    gone = later_lines(docs).select(F.col("doc_id").alias("_gone_doc"), F.col("rid").alias("_gone_rid"), F.col("gone").alias("_gone"))
-    own = docs.withColumn("_rid", F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), docs["text"].cast("string")))
-    got = own.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_doc")) & (F.col("_rid") == F.col("_gone_rid")), "left")
-    lines = F.split(docs["text"].cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda l, i: F.when(~F.array_contains("_gone", i), l)), lambda l: l.isNotNull()), "\n")
-    text = F.when(F.col("_gone").isNull(), docs["text"].cast("string")).otherwise(kept)
-    return got.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.when(docs["text"].isNotNull(), F.size(lines)).otherwise(0).cast("long").alias("_n_lines"), F.coalesce(F.size(F.col("_gone")), F.lit(0)).cast("long").alias("_n_removed"))
+    gone = later_lines(docs)
+    own = beside(docs, docs.columns, docs["doc_id"].cast("long").alias("own_id"), docs["text"].cast("string").alias("own_text"))
+    own = own.withColumn("own_rid", F.xxhash64(F.coalesce(F.col("_keep")["doc_id"].cast("string"), F.lit("null")), "own_text"))
+    got = own.join(gone, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_rid") == F.col("rid")), "left")
+    lines = F.split("own_text", "\n", -1)
+    kept = F.array_join(F.filter(F.transform(lines, lambda l, i: F.when(~F.array_contains("gone", i), l)), lambda l: l.isNotNull()), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("own_text")).otherwise(kept)
+    counts = F.when(F.col("own_text").isNotNull(), F.size(lines)).otherwise(0).cast("long").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_removed")
+    others = [c for c in docs.columns if c.lower() not in ("_n_lines", "_n_removed")]
+    return got.select(*[text.alias(c) if c.lower() == "text" else F.col("_keep")[c].alias(c) for c in others], *counts)
 
 
 def op8_linededup(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import zlib
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from oppengine.llm import linededup, urlfilter, warc
 from oppengine.llm.queries import QUERIES, SQL
 
@@ -124,3 +126,24 @@ def test_ranges():
     assert warc.ranges([0, 10, 25, 1000], [10, 10, 5, 5], gap=5, most=100) == [(0, 3, 0, 30), (3, 4, 1000, 1005)]
     assert warc.ranges([0, 10, 20], [10, 10, 10], gap=5, most=20) == [(0, 2, 0, 20), (2, 3, 20, 30)]
     assert warc.ranges([], []) == []
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    names = ["_rid", "_gone", "_gone_doc", "_gone_rid", "rid", "gone", "own_id", "own_text", "own_rid", "_keep", "_n_lines"]
+    df = spark.createDataFrame([(1, "a\nb\nc\nd", *range(11)), (2, "x\na\nb\nc", *range(11)), (None, None, *[None] * 11)], "doc_id int, text string, " + ", ".join(f"{n} int" for n in names))
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns[:-1], "_n_lines", "_n_removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[2].text, got[2]["_n_removed"], got[2]["_n_lines"], got[2].gone) == ("x", 3, 4, 5) and got[1].text == "a\nb\nc\nd" and got[None].text is None
+
+
+def test_operators_keep_columns_of_any_name(spark):
+    import public_tokenizers
+
+    from oppengine.llm import langid, quality, sentencepieces, toxicity
+
+    df = spark.createDataFrame([(1, "a few words of a text", "t", "s", "k"), (2, None, None, None, None)], "doc_id long, text string, _text string, stratum string, _keep string").withColumn("lang", F.lit("en"))
+    keep, none = ["doc_id", "_text", "stratum", "_keep"], spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    for out in (langid.identify(df, keep), quality.quality_rules(df, none, keep=keep), toxicity.detect_toxicity(df, none, keep), sentencepieces.encode(df, path, keep), sentencepieces.round_trip(df, path, keep)):
+        assert sorted(tuple(r[c] for c in keep) for r in out.collect()) == [(1, "t", "s", "k"), (2, None, None, None)]
