@@ -21,7 +21,9 @@ sets are equal are one class; classes link at similarity of at least ``percent``
    compared exactly by a product of incidence matrices. Shingles of one document only are dropped first; documents
    with more than a share 1 - t of them have no partner at all.
 
-Links leave a task as spanning forests only. Defined cases: null and empty texts have the empty set and link with
+Links leave a task as spanning forests only. Shingles are compared as 64-bit hashes: the links are exact unless two
+different shingles of one comparison share a hash, which for all 5e12 pairs of a million shingles has a chance of 3e-7.
+Defined cases: null and empty texts have the empty set and link with
 nothing; repeated rows share a class; rows with a null id take part and get the smallest id they reach, or null.
 """
 
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, read_table, spanning_edges, stage, texts, unstage
+from .common import beside, components, read_table, spanning_edges, stage, texts, unstage
 
 WORDS, PERCENT = 4, 85
 #: Bytes of shingle hashes, and documents, in one block of a large region.
@@ -271,7 +273,7 @@ class Region:
                 y = at[j : j + step]
                 if self.percent * self.n[y[0]] > 100 * self.n[x[-1]]:
                     break  # larger sets only from here on
-                both = self.compare(x, y)
+                both = self.compare(x, y).astype(np.int64)  # counts below 2 ** 24, so exact
                 union = self.n[x][:, None] + self.n[y][None, :] - both
                 p, q = np.nonzero(100 * both >= self.percent * union)
                 p, q = x[p], y[q]
@@ -411,15 +413,13 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
     first = found.where("`group` is not null").groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     first = stage(first.select("group", "first"), "jaccard-first")
-    gone = found.join(first, "group").where(order != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"))
+    gone = found.join(first, "group").where(order != F.col("first")).select("doc_id", "rid")
     gone = stage(gone.distinct(), "jaccard-gone")
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))) & (F.xxhash64(docs["text"].cast("string")) == F.col("_r"))
-    kept = docs.join(gone.hint("merge"), same, "left_anti")
-    repeated = found.groupBy("doc_id", "rid").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    named = kept.withColumn("_text_hash", F.xxhash64(docs["text"].cast("string")))
-    return named.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    own = beside(docs, docs.columns, docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(docs["text"].cast("string")).alias("own_rid"))
+    kept = own.join(gone.hint("merge"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_rid") == F.col("rid")), "left_anti")
+    if not found.groupBy("doc_id", "rid").count().where("count > 1").isEmpty():  # rows that repeat id and text
+        kept = kept.dropDuplicates(["own_id", "own_rid"])
+    return kept.select("_keep.*")
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:

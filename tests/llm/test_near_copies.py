@@ -222,3 +222,35 @@ def test_vectors_of_any_scale(spark):
     scale = [2.0**-1000, 2.0**-560, 1.0, 2.0**560, 2.0**1020]
     df = spark.createDataFrame([(i, [c * scale[i % 5] for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in near_duplicates(df, least_shards=2).collect()), key=repr) == want
+
+
+def test_queries_stream_in_small_batches(spark, monkeypatch):
+    """Results don't depend on streams, batches or the pairs that are held at once; shards follow the bytes."""
+    from oppengine.llm import embeddings
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 12))
+    x = np.concatenate([base + 0.05 * rng.standard_normal(base.shape) for _ in range(12)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, [1.0, float(i), 0.5]) for i in range(5)] + [(2000, [0.0, 0.0]), (2001, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = [np.array(v) / np.linalg.norm(v) if v and any(v) else None for _, v in rows]
+    links = [sum(j != i and u is not None and w is not None and len(u) == len(w) and float(u @ w) >= 0.9 for j, w in enumerate(unit)) for i, u in enumerate(unit)]
+    monkeypatch.setattr(embeddings, "SHARD_BYTES", 96 * 30)
+    monkeypatch.setattr(embeddings, "QUERY_CELLS", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = {r.vec_id: r for r in near_duplicates(df, block_rows=100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [got[i].n_links for i, _ in rows] == links
+    assert all(got[i].kept == (got[i].component_id == i) for i, _ in rows)
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 1, 2, "a"), (2, text + " more", 1, 2, "b"), (2, text + " more", 1, 2, "b"), (3, "quite another text of a few words", None, None, None), (None, text, 5, 6, "c"), (4, None, 1, 1, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _d long, _r long, _keep string")
+    clash = df.withColumn("rid", df["_d"]).withColumn("own_id", df["_r"]).withColumn("group", df["_d"])
+    got = one_of_each(clash, 5, 80)
+    assert got.columns == clash.columns
+    assert sorted((r.doc_id, r._d, r._r, r._keep, r.rid) for r in got.collect()) == [(1, 1, 2, "a", 1), (3, None, None, None, None), (4, 1, 1, "d", 1)]
