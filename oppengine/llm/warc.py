@@ -6,7 +6,7 @@ index, so archives of lost or repeated attempts are never read. Equal payloads (
 with the smallest page_id is the response, the others are revisits of it; which ones is settled before by an
 aggregation over digests alone.
 
-Reading: the selected index rows are dealt by archive and sorted by offset; ranges that touch or nearly touch are
+Reading: the selected index rows are dealt in order of archive and offset, so many bytes a task; ranges that touch or nearly touch are
 read at once, up to a bounded size, and each member is unpacked and parsed from that buffer.
 
 Archives are opened through Arrow file systems, so the folder must be one that Arrow reaches (file, hdfs, s3, gs).
@@ -35,6 +35,8 @@ from .common import new_path, read_table, stage
 REVISIT_BYTES = 0
 #: Ranges closer than GAP are read together, up to READ bytes.
 GAP, READ = 64 << 10, 8 << 20
+#: Archive bytes of a reading task, and what a task has at least where there are fewer tasks than cores.
+TASK_BYTES, LEAST_TASK_BYTES = 64 << 20, 2 << 20
 DATE = "2024-01-01T00:00:00Z"
 INDEX = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_digest", pa.string())])
 INDEX_DDL = "page_id long, url string, archive string, offset long, length long, payload_digest string"
@@ -172,7 +174,10 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
         if source is not None:
             source.close()
 
-    dealt = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    # Tasks by the bytes of the archives, not by those of the index rows: contiguous ranges of them, in order.
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-size // TASK_BYTES), min(2 * index.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_TASK_BYTES)))
+    dealt = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(run, ddl)
 
 
