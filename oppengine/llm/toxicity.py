@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, read_table
+from .common import beside, fold, read_table, stage, unstage
 
 #: Expected bounds on the labelled texts learned from.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
@@ -39,6 +39,8 @@ HASH_BITS = 18
 #: Lengths of the word beginnings that can be marks, and of those and the ends that are features.
 STEMS, HEADS, TAILS = (4, 5, 6, 7), (3, 4, 5, 6, 7), (3, 4)
 CACHE_ENTRIES = 150_000
+#: Tasks among which the sample is dealt.
+SAMPLE_TASKS = 32
 #: Characters of the texts that are split and run through the field together; bounds a worker's memory.
 _TOGETHER = 2_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -264,10 +266,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
         return None
     rate = F.when(F.col("toxic") == 1, min(1.0, sample_toxic / sizes[1])).otherwise(min(1.0, sample_clean / max(1, sizes.get(0, 0))))
     drawn = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
-    bound = 4 * (sample_toxic + sample_clean)
-    # The drawn ids are bounded by the two parameters (8 bytes each), so they are sent to all tasks.
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(drawn.limit(bound)), "doc_id")
-    rows = got.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "toxic", "text")
+    drawn = stage(drawn, "toxicity-drawn")
+    few = drawn.count() <= 4 * (sample_toxic + sample_clean)  # 12 bytes each; a hashed draw is near its expectation
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    got = got.join(F.broadcast(drawn) if few else drawn.hint("merge"), "doc_id").withColumn("h", F.xxhash64("text")).repartition(SAMPLE_TASKS, "h")
+    rows = got.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "toxic", "text")
+    rows = stage(rows, "toxicity-sample")  # read again below, so the corpus is only once
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,6 +328,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     if len(y):
         f.calibration = fit_logistic(_logit_inputs(x), y)
         f.calibration[0] += prior
+    unstage(rows, drawn)
     return f
 
 
@@ -331,13 +336,14 @@ def score(docs: DataFrame, f: Field | None, keep: list[str]) -> DataFrame:
     """Add score, predicted, expected_toxic_tokens and spans (character offsets) to the columns ``keep`` of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(f)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer").add("expected_toxic_tokens", "double")
+    own = beside(docs, keep, docs["text"].cast("string").alias("_text"))
+    schema = own.drop("_text").schema.add("score", "double").add("predicted", "integer").add("expected_toxic_tokens", "double")
     schema = schema.add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            rows = b.column(b.num_columns - 1).to_pylist()
+            rows = b.column(1).to_pylist()
             p, x, spans = np.zeros(len(rows)), np.zeros((len(rows), 3)), [[] for _ in rows]
             if m:
                 x, found = document_features(m, rows)
@@ -346,9 +352,9 @@ def score(docs: DataFrame, f: Field | None, keep: list[str]) -> DataFrame:
                     if q is not None:
                         spans[i] = offsets(rows[i], q >= 0.5)
             new = [pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(x[:, 0].copy()), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *new], names=[*keep, "score", "predicted", "expected_toxic_tokens", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["_keep", "score", "predicted", "expected_toxic_tokens", "spans"])
 
-    return docs.select(*keep, docs["text"].cast("string").alias("_text")).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).select("_keep.*", "score", "predicted", "expected_toxic_tokens", "spans")
 
 
 def offsets(text: str, bad: np.ndarray) -> list[dict]:
