@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs (operator 10).
 
-Equal vectors are one class, so copies cost nothing. Classes are dealt to shards by hash; a task builds one graph per
-shard (batched insertion, diversified neighbours, sampled upper layers), and every block of vectors queries every
-shard. A query whose whole beam lies above the threshold searches again with a beam twice as wide; and in every
-(shard, block) an audit compares a sample of queries with brute force and doubles the beam of all until its recall
+Equal vectors are one class, so copies cost nothing. Classes are dealt to shards by hash, as many as the bytes of the
+vectors need; a task builds one graph per shard (batched insertion, diversified neighbours, sampled upper layers), and
+all vectors query every shard: a shard's queries are dealt to a bounded number of streams, each of which loads the graph
+once and takes the queries batch by batch. A query whose whole beam lies above the threshold searches again with a beam twice as wide; and in every
+batch an audit compares a sample of queries with brute force and doubles the beam of all until its recall
 passes, both over all pairs and averaged over queries with a neighbour, without hits of vectors on themselves (a beam
 as wide as the shard is brute force, so it ends). Found pairs are verified by cosine in double
 precision. Links leave a task as counts and spanning forests, never as all pairs.
@@ -16,6 +17,7 @@ smallest id that they reach, or null.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,10 @@ from .common import components, read_table, spanning_edges, stage, unstage
 
 COSINE = 0.9
 #: Shards: as many as ``LEAST_SHARDS``, or more so that none has more than ``SHARD_ROWS`` vectors.
+#: Nor more bytes of components. BLOCK_ROWS queries make a stream of their own, up to STREAMS a shard; a stream holds one
+#: batch of queries at a time, and compares QUERY_CELLS pairs of vectors at most before it counts the links.
 LEAST_SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 40_000, 20_000
+SHARD_BYTES, STREAMS, QUERY_CELLS = 96 << 20, 64, 16 << 20
 NEIGHBOURS, BUILD_BEAM, BEAM = 16, 40, 24
 AUDIT_QUERIES, AUDIT_RECALL = 200, 0.99
 _SLACK = 1e-4  # single-precision searches keep candidates this far below the threshold for the exact check
@@ -202,7 +207,13 @@ class Graph:
 
 
 def audited_pairs(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """``pairs_above`` with the narrowest beam whose recall passes the audit against brute force.
+    """``pairs_above`` with the beam of ``audited_beam``, and that beam."""
+    beam = audited_beam(g, q, least, beam, own)
+    return (*g.pairs_above(q, least, beam), beam)
+
+
+def audited_beam(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, own: np.ndarray | None = None) -> int:
+    """The narrowest beam whose recall passes the audit against brute force.
 
     ``own`` has each query's own node in the graph (-1: none), which counts neither as there nor as found.
     """
@@ -221,7 +232,7 @@ def audited_pairs(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, own:
             if recall < AUDIT_RECALL and beam * 2 < len(g.x):
                 beam *= 2
                 continue
-        return (*g.pairs_above(q, least, beam), beam)
+        return beam
 
 
 def _places(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -255,9 +266,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
     slim = v.select("vec_id", "k")
     classes = v.where("k is not null").groupBy("k").agg(F.first("e").alias("e"), F.count("*").alias("copies"), F.min("vec_id").alias("low"))
     classes = stage(classes.select("k", "e", "copies", "low", F.size("e").alias("dim")), "vector-classes")
-    n = classes.count()
-    shards = max(least_shards, -(-n // shard_rows))
-    blocks = max(1, -(-n // block_rows))
+    n, dim = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards = max(least_shards, -(-n // max(1, min(shard_rows, SHARD_BYTES // (8 * dim)))))
+    blocks = max(1, min(STREAMS, -(-n // block_rows)))
     dealt = classes.select("k", "e", "copies", "dim", F.pmod(F.xxhash64(F.lit("shard"), "k"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("block"), "k"), F.lit(blocks)).cast("int").alias("block"))
 
     def build(table):
@@ -268,34 +279,55 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
         return pa.table({"dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1), "graph": pa.array([blob], pa.binary())})
 
     graphs = stage(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    for_block = graphs.select("dim", "shard", "graph", every)
-    queries = dealt.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "k", "e", "copies")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    # A stream is one (dim, shard, block): the graph (kind 0) first, then its queries.
+    for_stream = graphs.select("dim", "shard", every(blocks).alias("block"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("array<double>").alias("e"), "graph")
+    queries = dealt.select("dim", every(shards).alias("shard"), "block", F.lit(1).alias("kind"), "k", "e", F.lit(None).cast("binary").alias("graph"))
+    streams = for_stream.unionByName(queries).repartition(min(10_000, shards * blocks), "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "kind")
     out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("beam", pa.int32())])
 
-    def query(q, g):
-        if not len(g) or not len(q):
-            return out_schema.empty_table()
-        layers, top, x, norm, keys, copies = pickle.loads(g.column("graph")[0].as_py())
-        graph = Graph.__new__(Graph)
-        graph.x, graph.layers, graph.top = (x / norm[:, None]).astype(np.float32), layers, top
-        y = _scaled(_matrix(q.column("e")))
+    def query(graph: Graph, norm: np.ndarray, x: np.ndarray, keys: np.ndarray, copies: np.ndarray, own: np.ndarray, y: np.ndarray, beam: int) -> tuple[pa.RecordBatch, int]:
+        y = _scaled(y)
         unit, ynorm = _unit(y)
-        own = q.column("k").to_numpy()
-        r, i, beam = audited_pairs(graph, unit, cosine - _SLACK, own=_places(own, keys))
-        sure = np.zeros(len(r), bool)
-        for a in range(0, len(r), 100_000):
-            s = slice(a, a + 100_000)
-            sure[s] = np.einsum("ij,ij->i", y[r[s]], x[i[s]]) / (ynorm[r[s]] * norm[i[s]]) >= cosine
-        sure &= own[r] != keys[i]
-        r, i = r[sure], i[sure]
-        links = np.bincount(r, copies[i], len(y)).astype(np.int64)
-        a, b = spanning_edges(own[r], keys[i])
+        beam = audited_beam(graph, unit, cosine - _SLACK, beam, _places(own, keys))
+        links, forest = np.zeros(len(y), np.int64), (own[:0], own[:0])
+        step = max(64, QUERY_CELLS // len(x))
+        for at in range(0, len(y), step):
+            r, i = graph.pairs_above(unit[at : at + step], cosine - _SLACK, beam)
+            r = r + at
+            sure = np.zeros(len(r), bool)
+            for a in range(0, len(r), 100_000):
+                s = slice(a, a + 100_000)
+                sure[s] = np.einsum("ij,ij->i", y[r[s]], x[i[s]]) / (ynorm[r[s]] * norm[i[s]]) >= cosine
+            sure &= own[r] != keys[i]
+            r, i = r[sure], i[sure]
+            links += np.bincount(r, copies[i], len(y)).astype(np.int64)
+            forest = spanning_edges(np.concatenate([forest[0], own[r]]), np.concatenate([forest[1], keys[i]]))
         has = np.flatnonzero(links)
+        a, b = forest
         m, e = len(has), len(a)
-        return pa.table([pa.array(np.concatenate([own[has], a])), pa.array([None] * m + b.tolist(), pa.int64()), pa.array(links[has].tolist() + [None] * e, pa.int64()), pa.array([beam] * (m + e), pa.int32())], schema=out_schema)
-
-    found = stage(queries.groupBy("dim", "shard", "block").cogroup(for_block.groupBy("dim", "shard", "block")).applyInArrow(query, "a long, b long, links long, beam int"), "vector-links")
+        cols = [pa.array(np.concatenate([own[has], a])), pa.array([None] * m + b.tolist(), pa.int64()), pa.array(links[has].tolist() + [None] * e, pa.int64()), pa.array([beam] * (m + e), pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, schema=out_schema), beam
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, beam = None, BEAM
+        for batch in batches:
+            names = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0)) + 1 if batch.num_rows else []
+            for a, z in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                part = batch.slice(a, z - a)
+                if not len(part):
+                    continue
+                if names[3][a] == 0:
+                    layers, top, x, norm, keys, copies = pickle.loads(part.column("graph")[0].as_py())
+                    graph = Graph.__new__(Graph)
+                    graph.x, graph.layers, graph.top = (x / norm[:, None]).astype(np.float32), layers, top
+                    held, beam = (tuple(c[a] for c in names[:3]), (graph, norm, x, keys, copies)), BEAM
+                elif held is not None and held[0] == tuple(c[a] for c in names[:3]):  # a shard may have no vector of this length
+                    out, beam = query(*held[1], part.column("k").to_numpy(zero_copy_only=False), _matrix(part.column("e")), beam)
+                    yield out
+
+    found = stage(streams.mapInArrow(run, "a long, b long, links long, beam int"), "vector-links")
     unstage(graphs)
     counts = found.where("links is not null").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
     reach = components(found.where("b is not null").select("a", "b"))
