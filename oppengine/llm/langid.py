@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, stage, texts, unstage
+from .common import beside, fold, read_table, stage, texts, unstage
 
 ORDER = 4
 #: Expected bound on the texts learned from, per language (a hashed sample of the rows that may be learned from).
@@ -325,7 +325,8 @@ def detect(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """Add lang_pred, score, cross_entropy and accepted to the columns ``keep`` of ``docs`` (which has ``text``)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     add = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("accepted", pa.bool_())])
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("cross_entropy", "double").add("accepted", "boolean")
+    own = beside(docs, keep, docs["text"].cast("string").alias("_text"))
+    schema = own.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("cross_entropy", "double").add("accepted", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -341,9 +342,9 @@ def detect(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 for i, x in zip(at, j, strict=True):
                     lang[i] = m.languages[x]
             new = [pa.array(lang), pa.array(score), pa.array(ent, from_pandas=True), pa.array(ok)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *new], names=[*keep, *add.names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["_keep", *add.names])
 
-    return docs.select(*keep, docs["text"].cast("string").alias("_text")).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).select("_keep.*", "lang_pred", "score", "cross_entropy", "accepted")
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None, labelled: DataFrame | None = None) -> DataFrame:

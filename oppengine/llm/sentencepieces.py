@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, texts
+from .common import beside, read_table, texts
 
 SPACE = "▁"
 #: Remembered parts and compatible pairs of a Python worker; beyond it the memory is renewed, results are the same.
@@ -286,34 +286,34 @@ def transducer(path: str) -> Transducer:
 
 def encode(docs: DataFrame, model_path: str, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``ids`` array<int> of its ``text``."""
-    keep = keep or ["doc_id"]
+    own = beside(docs, keep or ["doc_id"], docs["text"].cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_path)
         for b in batches:
             ids = pa.array([None if x is None else t.encode(x).astype(np.int32) for x in texts(b, "_text")], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), ids], names=[*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["_keep", "ids"])
 
-    return docs.select(*keep, docs["text"].cast("string").alias("_text")).mapInArrow(run, docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())))
+    return own.mapInArrow(run, own.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType()))).select("_keep.*", "ids")
 
 
 def decode(rows: DataFrame, model_path: str, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``rows`` and the ``text`` of its ``ids``."""
-    keep = keep or ["doc_id"]
+    own = beside(rows, keep or ["doc_id"], rows["ids"].alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_path)
         for b in batches:
-            text = [None if x is None else t.decode(np.array(x, np.int64)) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(text, pa.string())], names=[*keep, "text"])
+            text = [None if x is None else t.decode(np.array(x, np.int64)) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["_keep", "text"])
 
-    return rows.select(*keep, "ids").mapInArrow(run, rows.select(*keep).schema.add("text", "string"))
+    return own.mapInArrow(run, own.drop("_ids").schema.add("text", "string")).select("_keep.*", "text")
 
 
 def round_trip(docs: DataFrame, model_path: str, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep``, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), n_fallback and whether decoding gives the text back."""
-    keep = keep or ["doc_id"]
-    schema = docs.select(*keep).schema.add("n_pieces", "long").add("ids_crc32", "long").add("n_fallback", "long").add("same_text", "boolean")
+    own = beside(docs, keep or ["doc_id"], docs["text"].cast("string").alias("_text"))
+    schema = own.drop("_text").schema.add("n_pieces", "long").add("ids_crc32", "long").add("n_fallback", "long").add("same_text", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_path)
@@ -328,9 +328,9 @@ def round_trip(docs: DataFrame, model_path: str, keep: list[str] | None = None)
                 rows.append((len(ids), zlib.crc32(ids.tobytes()), int(((ids >= low) & (ids <= high)).sum()), t.decode(ids) == x))
             cols = zip(*rows, strict=True) if rows else [()] * 4
             new = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *new], names=[*keep, "n_pieces", "ids_crc32", "n_fallback", "same_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["_keep", "n_pieces", "ids_crc32", "n_fallback", "same_text"])
 
-    return docs.select(*keep, docs["text"].cast("string").alias("_text")).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).select("_keep.*", "n_pieces", "ids_crc32", "n_fallback", "same_text")
 
 
 def op6_sentencepieces(spark, sf_dir: str) -> DataFrame:
