@@ -42,10 +42,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: later occurrences of repeated three-line windows go, and documents that lose all their words."""
-    out = linededup.dedup_lines(docs).where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = linededup.dedup_lines(_packed_rows(docs, "doc_id", "text")).where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("_row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
