@@ -172,8 +172,9 @@ class Graph:
             todo[live, best] = False
             near = adj[ids[live, best]].astype(np.int64)
             near = np.where(near >= 0, near, len(x))
-            fresh = ~np.take_along_axis(seen[live], near, 1) & (near < len(x))
-            seen[live[:, None], near] = True
+            at = live[:, None], near
+            fresh = ~seen[at] & (near < len(x))  # not by whole rows of ``seen``, which are as long as the shard
+            seen[at] = True
             s = np.where(fresh, np.einsum("bkd,bd->bk", x[np.where(fresh, near, 0)], q[live]), -2)
             all_i = np.concatenate([ids[live], near], 1)
             all_s = np.concatenate([sims[live], s], 1)
