@@ -14,8 +14,8 @@ sets are equal are one class; classes link at similarity of at least ``percent``
    cells, rarest first, it enters its first r + 1: of z + 1 cells that a linked pair has in common, the first in that
    order is among the first r + 1 of both. So no link is lost, and common passages, whose cells are frequent, hardly
    join what is not alike. The pivot of a cell is its smallest class; connected cells are one region.
-3. Regions that are too large for a task are cut again by another family of slices (recursion); what remains large
-   is joined block by block.
+3. Regions that are too large for a task are cut again by another family of slices (recursion); of what remains large
+   a few members are compared with all others, and only those that this leaves apart are joined block by block.
 4. Within a region: sample pivots, nearest-pivot Voronoi cells, windows by the triangle inequality (a document also
    enters the cell of pivot p if d(x, p) - d(x, nearest) <= 2 (1 - t)), recursively, down to small cells that are
    compared exactly by a product of incidence matrices. Shingles of one document only are dropped first; documents
@@ -43,7 +43,9 @@ from .common import beside, components, read_table, spanning_edges, stage, texts
 
 WORDS, PERCENT = 4, 85
 #: Bytes of shingle hashes, and documents, in one block of a large region.
-BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 4096
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1024
+#: Members of a large region that are compared with all others first, and large regions whose sizes are sent to all tasks.
+PIVOTS, SENT_REGIONS = 16, 100_000
 #: Documents of a cell that are compared directly, and floats of one incidence matrix.
 CELL, TILE_FLOATS = 512, 4 << 20
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -276,11 +278,27 @@ class Region:
                 both = self.compare(x, y).astype(np.int64)  # counts below 2 ** 24, so exact
                 union = self.n[x][:, None] + self.n[y][None, :] - both
                 p, q = np.nonzero(100 * both >= self.percent * union)
-                p, q = x[p], y[q]
-                ok = p != q if self.side is None else self.side[p] != self.side[q]
-                if ok.any():
-                    a, b = spanning_edges(np.append(self.a[-1], p[ok]), np.append(self.b[-1], q[ok]))
-                    self.a, self.b = [a], [b]
+                self.add(x[p], y[q])
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        ok = p != q
+        if ok.any():
+            a, b = spanning_edges(np.append(self.a[-1], p[ok]), np.append(self.b[-1], q[ok]))
+            self.a, self.b = [a], [b]
+
+    def between(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Links of documents of ``x`` with documents of ``y``, in tiles of documents of like size."""
+        x, y = (at[np.argsort(self.n[at], kind="stable")] for at in (x, y))
+        wide = max(1, max(len(self.codes[i]) for i in np.concatenate([x, y])))
+        step = max(1, min(CELL, TILE_FLOATS // max(1, min(self.width, 8 * wide))))
+        for i in range(0, len(x), step):
+            own = x[i : i + step]
+            low, high = -(-self.percent * self.n[own[0]] // 100), self.n[own[-1]] * 100 // self.percent
+            for j in range(*np.searchsorted(self.n[y], [low, high + 1]), step):
+                other = y[j : j + step]
+                both = self.compare(own, other).astype(np.int64)
+                p, q = np.nonzero(100 * both >= self.percent * (self.n[own][:, None] + self.n[other][None, :] - both))
+                self.add(own[p], other[q])
 
     def join(self, at: np.ndarray, depth: int = 0) -> None:
         """Voronoi cells of pivots, windows by the triangle inequality, recursion; small cells directly."""
@@ -307,31 +325,73 @@ class Region:
         return None
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.alive) > 1:
+        if self.side is not None:
+            x, y = (self.alive[self.side[self.alive] == k] for k in (0, 1))
+            if len(x) and len(y):
+                self.between(x, y)
+        elif len(self.alive) > 1:
             self.join(self.alive)
         return self.a[-1], self.b[-1]
 
 
-def region_links(rows: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Spanning links (a, b) of ids within regions; ``rows`` is (region, id, h binary) and stable.
+def _links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Spanning links (a, b) within each group of ``keys``; a group whose rows have a ``side`` links between its sides only."""
 
-    A region of more than ``block_bytes`` or BLOCK_ROWS documents is cut in blocks, and every pair of blocks is a task of its own.
-    """
-    sizes = rows.groupBy("region").agg(F.sum(F.length("h")).alias("bytes"), F.count("*").alias("g")).where("g > 1")
-    blocks = F.greatest(F.ceil(F.col("bytes") / F.lit(block_bytes)), F.ceil(F.col("g") / F.lit(BLOCK_ROWS))).cast("int")
-    got = rows.join(sizes.select("region", blocks.alias("nb")), "region")
-    own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    got = got.select("region", "id", "h", own.alias("own"), other.alias("other"))
-    got = got.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("side"), "id", "h")
-
-    def run(key, table):
+    def run(table):
         ids = table.column("id").to_numpy()
-        side = table.column("side").to_numpy() if key[1].as_py() != key[2].as_py() else None
+        side = table.column("side").to_numpy(zero_copy_only=False) if table.column("side").null_count == 0 else None
         a, b = Region([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()], percent, side).links()
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
-    return got.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.select(*keys, "id", "h", "side").groupBy(*keys).applyInArrow(run, "a long, b long")
+
+
+def region_links(rows: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Spanning links (a, b) of ids within regions; ``rows`` is (region, id, h binary) and stable.
+
+    A region of more than ``block_bytes`` or ``block_rows`` documents is settled first: a few of its members are compared
+    with all others, and those that this joins in the region's largest component need no more comparing with each
+    other. What is left is compared with itself and with the settled ones, a pair of blocks a task. So near copies of
+    one text cost a few passes over them; only members far from every pivot are paired among themselves.
+    """
+    none = F.lit(None).cast("int").alias("side")
+    sizes = rows.groupBy("region").agg(F.sum(F.length("h")).alias("bytes"), F.count("*").alias("g"))
+    count = lambda size, g: F.greatest(F.ceil(size / F.lit(block_bytes)), F.ceil(g / F.lit(block_rows))).cast("int")
+    large = stage(sizes.select("region", count(F.col("bytes"), F.col("g")).alias("nb")).where("nb > 1"), "jaccard-large-sizes")
+    n_large = large.count()
+    if not n_large:
+        unstage(large)
+        return _links(rows.select("region", "id", "h", none), ["region"], percent)
+    sent = F.broadcast(large) if n_large <= SENT_REGIONS else large.hint("merge")  # 12 bytes each
+    small = _links(rows.join(sent, "region", "left_anti").select("region", "id", "h", none), ["region"], percent)
+    big = rows.join(sent, "region")
+    own = lambda nb: F.pmod(F.xxhash64("id"), nb).cast("int")
+    each = lambda nb: F.explode(F.sequence(F.lit(0), nb - 1))
+
+    first = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64(F.lit("pivot"), "id"), "id"))
+    pivots = stage(big.withColumn("nth", first).where(F.col("nth") <= PIVOTS).drop("nth"), "jaccard-pivots")
+    both = pivots.select("region", each(F.col("nb")).alias("i"), "id", "h", F.lit(0).alias("side")).unionByName(big.select("region", own(F.col("nb")).alias("i"), "id", "h", F.lit(1).alias("side")))
+    stars = stage(_links(both, ["region", "i"], percent), "jaccard-settling")
+    part = components(stars).select(F.col("node").alias("id"), "component")
+    named = stage(big.drop("nb").join(part, "id", "left"), "jaccard-settled")
+    main = named.where("component is not null").groupBy("region", "component").agg(F.count("*").alias("g")).groupBy("region").agg(F.max_by("component", "g").alias("main"))
+    main = stage(main, "jaccard-main")
+    main_sent = F.broadcast(main) if n_large <= SENT_REGIONS else main.hint("merge")  # a row a large region, too
+    told = named.join(main_sent, "region", "left").select("region", "id", "h", F.coalesce(F.col("component") == F.col("main"), F.lit(False)).alias("settled"))
+    is_rest = (~F.col("settled")).cast("long")
+    left = told.groupBy("region").agg(F.sum(is_rest).alias("r"), F.sum(1 - is_rest).alias("s"), F.sum(is_rest * F.length("h")).alias("rb"), F.sum((1 - is_rest) * F.length("h")).alias("sb")).where("r > 0")
+    left = stage(left.select("region", count(F.col("rb"), F.col("r")).alias("rest_blocks"), count(F.col("sb"), F.col("s")).alias("settled_blocks")), "jaccard-blocks")
+    left_sent = F.broadcast(left) if n_large <= SENT_REGIONS else left.hint("merge")
+    dealt = told.join(left_sent, "region")
+    rest = dealt.where("not settled").withColumn("own", own(F.col("rest_blocks")))
+    within = rest.select("region", "own", each(F.col("rest_blocks")).alias("other"), "id", "h")
+    within = within.select("region", F.lit("rest").alias("with"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "h", F.when(F.col("own") != F.col("other"), (F.col("own") < F.col("other")).cast("int")).alias("side"))
+    # With a block itself, documents have no side: in these groups all do not.
+    across = rest.where("settled_blocks > 0").select("region", F.lit("settled").alias("with"), F.col("own").alias("i"), each(F.col("settled_blocks")).alias("j"), "id", "h", F.lit(0).alias("side"))
+    there = dealt.where("settled").withColumn("own", own(F.col("settled_blocks")))
+    there = there.select("region", F.lit("settled").alias("with"), each(F.col("rest_blocks")).alias("i"), F.col("own").alias("j"), "id", "h", F.lit(1).alias("side"))
+    paired = _links(within.unionByName(across).unionByName(there), ["region", "with", "i", "j"], percent)
+    return small.unionByName(stars).unionByName(paired)
 
 
 def _free(spark) -> None:

@@ -254,3 +254,30 @@ def test_one_of_each_with_clashing_columns(spark):
     got = one_of_each(clash, 5, 80)
     assert got.columns == clash.columns
     assert sorted((r.doc_id, r._d, r._r, r._keep, r.rid) for r in got.collect()) == [(1, 1, 2, "a", 1), (3, None, None, None, None), (4, 1, 1, "d", 1)]
+
+
+def test_large_regions_are_settled_by_pivots(spark):
+    """Near copies of one text, a chain of texts that drift away from it, and another cluster in one region; against brute force."""
+    from pyspark.sql import functions as F
+
+    from oppengine.llm.jaccard import region_links
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 80, dtype=np.uint64)
+    fresh = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(80) > 0.04], fresh(1)])) for _ in range(60)]
+    chain = base.copy()
+    for _ in range(25):
+        chain = np.concatenate([chain[4:], fresh(4)])
+        sets.append(np.unique(chain))
+    sets += [np.unique(np.concatenate([sets[-1][20:], fresh(20)])) for _ in range(15)]
+    other = fresh(50)
+    sets += [np.unique(np.append(other, fresh(2))) for _ in range(20)]
+    rows = [(7 if i < 118 else 8, i, bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "region long, id long, h binary")
+    link = lambda i, j: 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - n)
+    want = groups(range(len(sets)), [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (i < 118) == (j < 118) and link(i, j)])
+    for block in (10, 40, 1000):
+        got = [(r.a, r.b) for r in region_links(df, 85, block_rows=block).collect()]
+        assert groups(range(len(sets)), got) == want
+    assert len(set(want.values())) > 2 and region_links(df.where(F.lit(False)), 85).count() == 0
