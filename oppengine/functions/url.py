@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 #: scheme, authority, path and query of a generic URI; works alike in Java regexes and RE2
 URI = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+#: The same parts each by itself, so that a match reads no further than its part.
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+_NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
+_QUERY = r"^[^?#]*\?([^#]*)"
+#: A whole URI of which authority, path (no trailing slashes, no parameters) and query are kept.
+_KEPT = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*?)/*(?:;[^/?#]*)?(?:(\?[^#]+)|\?)?(?:#[\s\S]*)?$"
 
 #: Hosts that are never useful, and what marks a URL as relevant.
 EXCLUDED_HOSTS = [
@@ -21,33 +28,32 @@ FILE_ENDINGS = r"\.(pdf|jpg|jpeg|png|zip|mp4|doc|docx)$"
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, URI, 1))
+    return F.lower(F.regexp_extract(url, _SCHEME, 1))
 
 
 def netloc(url: Column) -> Column:
-    return F.regexp_extract(url, URI, 2)
+    return F.regexp_extract(url, _NETLOC, 1)
 
 
 def path(url: Column) -> Column:
     """The path without parameters of its last segment."""
-    return F.regexp_replace(F.regexp_extract(url, URI, 3), ";[^/]*$", "")
+    return F.regexp_replace(F.regexp_extract(url, _PATH, 1), ";[^/]*$", "")
 
 
 def query(url: Column) -> Column:
-    return F.regexp_extract(url, URI, 4)
+    return F.regexp_extract(url, _QUERY, 1)
 
 
 def normalize_url(url: Column) -> Column:
     """https by default, path without trailing slashes, no parameters and no fragment; null stays null."""
-    s, q = scheme(url), query(url)
-    kept = F.regexp_replace(path(url), "/+$", "")
-    return F.concat(F.when(s == "", "https").otherwise(s), F.lit("://"), netloc(url), kept, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    s = scheme(url)
+    return F.concat(F.when(s == "", "https").otherwise(s), F.regexp_replace(url, _KEPT, "://$1$2$3"))
 
 
 def normalize_url_client(url: Column) -> Column:
     """The browser's variant: lower-case host, one trailing slash less, query kept; what is no absolute URL stays; null is ''."""
     host, q = F.lower(netloc(url)), query(url)
-    raw_path = F.regexp_extract(url, URI, 3)
+    raw_path = F.regexp_extract(url, _PATH, 1)
     out = F.concat(scheme(url), F.lit("://"), host, F.regexp_replace(raw_path, "/$", ""), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
     return F.coalesce(F.when((scheme(url) == "") | (host == ""), url).otherwise(out), F.lit(""))
 

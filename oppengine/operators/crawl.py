@@ -104,6 +104,7 @@ def prioritized_crawl(seeds: DataFrame, edges: DataFrame, texts: DataFrame, page
 
     ``texts`` is (url, text) of pages that can be fetched; the visited list has all best links, fetched or not.
     """
+    edges = staged(edges, "crawl-edges")  # read by each depth and by the candidates; resolving links is their costly part
     start = seeds.select("seed", normalize_url(F.col("seed")).alias("url")).withColumn("domain", seed_domain(F.col("url")))
     visited = bounded_bfs(start, edges, pages=pages)
     c = candidates(edges, visited)
