@@ -4,7 +4,7 @@ Tokens are separated by white space. Labels exist per document, so token labels
 texts, a word or word beginning is a toxic mark if the one-sided lower confidence bound on its share of toxic documents
 is high; the tokens of toxic documents that bear a mark are labelled 1, all others 0. The field has two states, hashed
 word features (whole word, beginnings, ends, shape) and transitions, and is trained by its conditional likelihood. Forward-backward
-gives every token's marginal; expected toxic tokens and the largest marginal go into a logistic calibration that
+gives every token's marginal; expected toxic tokens and the two largest marginals go into a logistic calibration that
 gives the document's score. Runs of tokens with a marginal of at least a half are the offending spans.
 
 Defined cases: null and empty texts have no token and get the calibrated score of a text without any sign; with no
@@ -37,7 +37,7 @@ TRAIN_SPAN = 128
 MARK_TEXTS, MARK_SHARE, MARK_Z = 5, 0.5, 2.58
 HASH_BITS = 18
 #: Lengths of the word beginnings that can be marks, and of those and the ends that are features.
-STEMS, HEADS, TAILS = (4, 5, 6, 7), (3, 4, 5, 6, 7), (3, 4)
+STEMS, HEADS, TAILS = (4, 5, 6, 7, 8, 9), (3, 4, 5, 6, 7, 8), (3, 4)
 CACHE_ENTRIES = 150_000
 #: Tasks among which the sample is dealt.
 SAMPLE_TASKS = 32
@@ -79,7 +79,7 @@ class Field:
     weights: np.ndarray  # of state 1 against state 0, by hashed feature
     transition: np.ndarray  # 2 x 2, log
     start: float
-    calibration: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    calibration: np.ndarray = field(default_factory=lambda: np.zeros(5))
     known: dict[str, float] = field(default_factory=dict, repr=False)
     shared: dict[str, float] = field(default_factory=dict, repr=False)
 
@@ -199,9 +199,9 @@ def train_field(sequences: list[tuple[list[str], np.ndarray]], rounds: int = 40,
 
 
 def document_features(f: Field, rows: list[str | None]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray] | None]]:
-    """(expected toxic tokens, largest marginal, tokens) by text, and the marginals of texts with a toxic token."""
+    """(expected toxic tokens, largest marginal, tokens, second largest marginal) by text, and the marginals of texts with an offending token."""
     size = np.array([len(t) if t else 0 for t in rows], np.int64)
-    out, found = np.zeros((len(rows), 3)), [None] * len(rows)
+    out, found = np.zeros((len(rows), 4)), [None] * len(rows)
     order = np.argsort(-size, kind="stable")
     order = order[size[order] > 0]
     cuts = np.cumsum(size[order]) // _TOGETHER
@@ -217,6 +217,8 @@ def document_features(f: Field, rows: list[str | None]) -> tuple[np.ndarray, lis
         m = marginals(np.concatenate([f.emissions(tokens[i]) for i in longest]), n, f.transition, f.start)
         starts = np.concatenate([[0], np.cumsum(n)[:-1]])
         out[at, 0], out[at, 1], out[at, 2] = np.add.reduceat(m, starts), np.maximum.reduceat(m, starts), n
+        top = m == np.repeat(out[at, 1], n)
+        out[at, 3] = np.where(np.add.reduceat(top, starts, dtype=np.int64) > 1, out[at, 1], np.maximum.reduceat(np.where(top, 0.0, m), starts))
         for i, s, k in zip(at, starts, n, strict=True):
             if out[i, 1] >= 0.5:
                 found[i] = m[s : s + k].copy()
@@ -224,8 +226,9 @@ def document_features(f: Field, rows: list[str | None]) -> tuple[np.ndarray, lis
 
 
 def _logit_inputs(x: np.ndarray) -> np.ndarray:
-    p = np.clip(x[:, 1], 1e-4, 1 - 1e-4)
-    return np.stack([np.ones(len(x)), np.log(p / (1 - p)), np.log1p(x[:, 0]), (x[:, 2] == 0).astype(float)], 1)
+    p = np.clip(x[:, [1, 3]], 1e-4, 1 - 1e-4)
+    most, second = np.log(p / (1 - p)).T
+    return np.stack([np.ones(len(x)), most, np.log1p(x[:, 0]), (x[:, 2] == 0).astype(float), second], 1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -319,10 +322,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, _ = document_features(with_field.value, b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c) for c in x.T.copy())], names=["toxic", "expected", "most", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c) for c in x.T.copy())], names=["toxic", "expected", "most", "n", "second"])
 
-    seen = rows.where(fold5 == 0).mapInArrow(measure, "toxic int, expected double, most double, n double").toPandas()
-    x, y = seen[["expected", "most", "n"]].to_numpy(float), seen["toxic"].to_numpy(float)
+    seen = rows.where(fold5 == 0).mapInArrow(measure, "toxic int, expected double, most double, n double, second double").toPandas()
+    x, y = seen[["expected", "most", "n", "second"]].to_numpy(float), seen["toxic"].to_numpy(float)
     # Draws differ by class; weights undo that, so that scores are calibrated to the labelled rows.
     prior = np.log((sizes[1] / max(1, sizes.get(0, 0))) / (max(y.sum(), 1) / max(1, (1 - y).sum()))) if len(y) and 0 < y.sum() < len(y) else 0.0
     if len(y):
@@ -344,7 +347,7 @@ def score(docs: DataFrame, f: Field | None, keep: list[str]) -> DataFrame:
         m = sent.value
         for b in batches:
             rows = b.column(1).to_pylist()
-            p, x, spans = np.zeros(len(rows)), np.zeros((len(rows), 3)), [[] for _ in rows]
+            p, x, spans = np.zeros(len(rows)), np.zeros((len(rows), 4)), [[] for _ in rows]
             if m:
                 x, found = document_features(m, rows)
                 p = 1 / (1 + np.exp(-np.clip(_logit_inputs(x) @ m.calibration, -30, 30)))

@@ -109,3 +109,16 @@ def test_field_trains_on_whole_texts_within_its_bound(spark, monkeypatch):
     toxicity.learn(df, labels)
     assert 0.7 * most < sum(len(w) for w, _ in got[-1]) < 1.3 * most
     assert sum(len(w) for w, y in got[-1] if y.any()) == marked <= most // 2
+
+
+def test_second_largest_marginal_counts_ties_and_single_tokens():
+    f = toxicity.Field(np.zeros(1 << toxicity.HASH_BITS), np.zeros((2, 2)), 0.0)
+    f.weights[toxicity.slot("wbad")] = 4.0
+    x, found = toxicity.document_features(f, ["bad ok bad", "ok bad", "bad", "", None])
+    assert np.allclose(x[:3, 1], x[0, 1]) and x[0, 1] > 0.9
+    assert np.allclose(x[:, 3], [x[0, 1], 0.5, 0, 0, 0])
+    assert [q is not None for q in found] == [True, True, True, False, False]
+
+
+def test_marks_of_beginnings_up_to_nine_letters():
+    assert "bomentec" in toxicity.units("bomentecara") and "bomenteca" in toxicity.units("bomentecara")
