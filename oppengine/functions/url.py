@@ -45,7 +45,7 @@ def query(url: Column) -> Column:
 
 
 def normalize_url(url: Column) -> Column:
-    """https by default, path without trailing slashes, no parameters and no fragment; null stays null."""
+    """https by default, path without trailing slashes, no parameters and no fragment; null stays null; line breaks are plain characters."""
     s = scheme(url)
     return F.concat(F.when(s == "", "https").otherwise(s), F.regexp_replace(url, _KEPT, "://$1$2$3"))
 
