@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .divergence import OP13_SQL, op13_divergence
 from .embeddings import op10_embeddings
 from .jaccard import op9_jaccard
 from .langid import op2_langid
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_linededup": op8_linededup,
     "op9_jaccard": op9_jaccard,
     "op10_embeddings": op10_embeddings,
+    "op13_divergence": op13_divergence,
 }
 
 SQL: dict[str, str] = {
     "op5_urlfilter": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op8_linededup": OP8_SQL,
+    "op13_divergence": OP13_SQL,
 }
