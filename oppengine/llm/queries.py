@@ -12,6 +12,7 @@ from .jaccard import op9_jaccard
 from .langid import op2_langid
 from .linededup import OP8_SQL, op8_linededup
 from .packing import op1_pack
+from .phrases import OP12_SQL, op12_phrases
 from .quality import op3_quality
 from .sentencepieces import op6_sentencepieces
 from .toxicity import op4_toxicity
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_linededup": op8_linededup,
     "op9_jaccard": op9_jaccard,
     "op10_embeddings": op10_embeddings,
+    "op12_phrases": op12_phrases,
     "op13_divergence": op13_divergence,
 }
 
@@ -36,5 +38,6 @@ SQL: dict[str, str] = {
     "op5_urlfilter": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op8_linededup": OP8_SQL,
+    "op12_phrases": OP12_SQL,
     "op13_divergence": OP13_SQL,
 }
