@@ -12,6 +12,7 @@ from .jaccard import op9_jaccard
 from .langid import op2_langid
 from .linededup import OP8_SQL, op8_linededup
 from .packing import op1_pack
+from .personal import op11_personal
 from .phrases import OP12_SQL, op12_phrases
 from .quality import op3_quality
 from .sentencepieces import op6_sentencepieces
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_linededup": op8_linededup,
     "op9_jaccard": op9_jaccard,
     "op10_embeddings": op10_embeddings,
+    "op11_personal": op11_personal,
     "op12_phrases": op12_phrases,
     "op13_divergence": op13_divergence,
 }
