@@ -698,6 +698,70 @@ def _(spark, d):
     return discovery.rss_urls(items.unionByName(items.select(F.lit(" ").alias("link"), "pubDate")), "2000-06-01")
 
 
+def _saved(spark, df: DataFrame, name: str, records: str, schema: str, key: str, order: str, page_size: int, page: str | None = None, **options) -> DataFrame:
+    """``df`` saved as pages of an API, and read back as a client of it does."""
+    from ..sources.paged import read_saved_api, save_pages
+
+    path = shared_path(spark, name)
+    save_pages(df, path, records, [key], order, page_size, page)
+    return read_saved_api(spark, path, records, schema, [key], page_size, **options)
+
+
+@query("paged_foundations", """
+SELECT c_name AS name, CAST(c_custkey AS VARCHAR) AS ein, '' AS city, 'S' || c_nationkey AS state, 'https://w' || c_custkey AS website, '' AS ntee_code, receipts AS gross_receipts, CAST(0 AS BIGINT) AS asset_amount,
+  'https://projects.propublica.org/nonprofits/organizations/' || c_custkey AS propublica_url
+FROM (SELECT *, CASE WHEN c_custkey % 7 <> 3 THEN CAST(c_acctbal > 0 AS BIGINT) * 200000 END AS receipts FROM customer WHERE c_nationkey IN (3, 7, 12))
+WHERE receipts IS NULL OR receipts >= 100000 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 30""")
+def _(spark, d):
+    """Pages of 20 organizations by state, to the 30th with enough or unknown receipts; other states are not read."""
+    raw = table(spark, d, "customer").select(
+        F.concat(F.lit("S"), "c_nationkey").alias("state"), F.col("c_custkey").alias("ein"), F.col("c_name").alias("name"), F.concat(F.lit("https://w"), "c_custkey").alias("website"),
+        F.when(F.col("c_custkey") % 7 != 3, (F.col("c_acctbal") > 0).cast("long") * 200_000).alias("gross_receipts"),
+    )
+    schema = "name string, ein long, city string, state string, website string, url string, ntee_code string, gross_receipts long, asset_amount long"
+    least = ("gross_receipts", discovery.MIN_RECEIPTS)
+    return discovery.foundations(_saved(spark, raw, "foundations", "organizations", schema, "state", "ein", 20, limit=30, least=least, where="state in ('S3', 'S7', 'S12')"))
+
+
+@query("paged_federal_grants", """
+SELECT CAST(p_partkey AS VARCHAR) AS opportunity_id, p_brand AS opportunity_number, p_name AS opportunity_title, p_type AS agency_name, '' AS post_date, '' AS close_date, CAST(p_size AS VARCHAR) AS estimated_funding,
+  'https://grants.gov/search-results-detail/' || p_partkey AS opportunity_url, '' AS synopsis
+FROM part WHERE p_size % 4 = 1 QUALIFY row_number() OVER (ORDER BY p_partkey) <= 100""")
+def _(spark, d):
+    """The one page of 100 that a search asks for; of four searches, one."""
+    raw = table(spark, d, "part").select((F.col("p_size") % 4).cast("string").alias("keyword"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("number"), F.col("p_name").alias("title"), F.col("p_type").alias("agencyName"), F.col("p_size").cast("long").alias("estimatedFunding"))
+    schema = "keyword string, id long, number string, title string, agencyName string, openDate string, closeDate string, estimatedFunding long, synopsis string"
+    return discovery.federal_grants(_saved(spark, raw, "federal-grants", "oppHits", schema, "keyword", "id", 100, limit=100, where="keyword = '1'"))
+
+
+@query("paged_opportunities", """
+WITH o AS (SELECT o_orderstatus AS s, o_orderkey AS k, o_orderkey // 500 AS page, 'Dept ' || o_custkey AS agency, strftime(o_orderdate, '%Y-%m-%d') AS posted FROM orders WHERE o_orderstatus <> 'P'),
+c AS (SELECT s, page, count(*) AS n FROM o GROUP BY s, page),
+stop AS (SELECT x.s, min(x.page) AS last FROM (SELECT s, unnest(range(0, 1000000)) AS page FROM (SELECT DISTINCT s FROM c)) x LEFT JOIN c USING (s, page) WHERE coalesce(n, 0) < 235 GROUP BY x.s)
+SELECT 'n' || k AS opportunity_id, 'Order ' || k AS title, agency AS agency_name, posted AS posted_date, '' AS close_date, s AS opportunity_type, 'https://sam.gov/opp/n' || k || '/view' AS opportunity_url, 'n' || k AS notice_id
+FROM o JOIN stop USING (s) WHERE page <= last QUALIFY row_number() OVER (PARTITION BY s ORDER BY k) <= 700""")
+def _(spark, d):
+    """Pages by ranges of keys, so that some are short: a search ends at the first of under 235 records, or at the 700th."""
+    names = F.array(F.struct(F.concat(F.lit("Dept "), "o_custkey").alias("name")))
+    o = table(spark, d, "orders")
+    raw = o.select(
+        F.col("o_orderstatus").alias("ptype"), F.col("o_orderstatus").alias("type"), (F.col("o_orderkey") / 500).cast("int").alias("page"), F.col("o_orderkey").alias("k"), F.concat(F.lit("n"), "o_orderkey").alias("noticeId"), F.concat(F.lit("Order "), "o_orderkey").alias("title"),
+        names.alias("organizationHierarchy"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("postedDate"),
+    )
+    schema = "ptype string, noticeId string, id string, title string, organizationHierarchy array<struct<name: string>>, organizationName string, postedDate string, responseDeadLine string, type string"
+    return discovery.opportunities(_saved(spark, raw, "opportunities", "opportunitiesData", schema, "ptype", "k", 235, "page", limit=700, where="ptype in ('F', 'O')"))
+
+
+@query("paged_notices", """
+SELECT 'https://r/' || o_orderkey AS url FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '2000-06-01'
+ORDER BY CAST(o_orderdate AS DATE) DESC, 'https://r/' || o_orderkey LIMIT 50""")
+def _(spark, d):
+    """Notices of two types from a date on, the newest 50; type and date are told to the source."""
+    raw = table(spark, d, "orders").select(F.col("o_orderpriority").alias("type"), F.col("o_orderkey").alias("k"), F.concat(F.lit("https://r/"), "o_orderkey").alias("html_url"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("publication_date"))
+    got = _saved(spark, raw, "notices", "results", "type string, html_url string, pdf_url string, publication_date string", "type", "k", 200, where="type in ('1-URGENT', '2-HIGH') and publication_date >= '2000-06-01'")
+    return discovery.notices(got.withColumn("publication_date", F.col("publication_date").cast("date")), "2000-06-01", 50)
+
+
 @query("stored_runs", "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'F' THEN 'unknown' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS INTEGER) ELSE 0 END AS urls_new, o_orderdate AS finished_at FROM orders")
 def _(spark, d):
     from ..sources.tables import stored_runs
