@@ -831,3 +831,80 @@ def _(spark, d):
     source = spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(d)
     run_available(source, f"{base}/checkpoint", overlay_sink(spark, f"{base}/state", "user_id", "event_id"))
     return current_state(spark, f"{base}/state")
+
+
+def _in_order(spark: SparkSession, df: DataFrame, name: str, by: str, files: int) -> DataFrame:
+    """``df`` as a stream of ``files`` micro-batches, one range of ``by`` after the other."""
+    path = shared_path(spark, name)
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    if low is None:
+        df.write.parquet(path)
+    else:
+        step = (high - low) / files
+        for i in range(files):
+            part = df.where(F.col(by) >= F.lit(low + i * step)) if i else df.where(F.col(by) < F.lit(low + step))
+            (part.where(F.col(by) < F.lit(low + (i + 1) * step)) if i < files - 1 else part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _appended(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stateful stream over what is there, and return the rows it appended."""
+    from ..streaming.ingest import run_available
+    from ..streaming.state import use_rocksdb
+
+    use_rocksdb(spark)
+    base = shared_path(spark, name)
+    run_available(stream, f"{base}/checkpoint", lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/batch={i}"))
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
+
+
+@query("stream_marks", """
+WITH first AS (SELECT user_id || '-' || event_type AS key, min(date_trunc('millisecond', ts)) AS t FROM events GROUP BY ALL),
+clock AS (SELECT max(date_trunc('millisecond', ts)) AS t FROM events)
+SELECT key, t AS "at", true AS new FROM first UNION ALL
+SELECT key, first.t + INTERVAL 35 SECOND, false FROM first, clock WHERE first.t + INTERVAL 35 SECOND <= clock.t""")
+def _(spark, d):
+    """Marks of keys seen for the first time, and their ends after 35 s of event time, over four micro-batches."""
+    from ..streaming.state import expiring_marks
+
+    e = table(spark, d, "events").select(F.concat_ws("-", "user_id", "event_type").alias("k"), F.date_trunc("millisecond", "ts").cast("timestamp").alias("seen"))
+    return _appended(spark, expiring_marks(_in_order(spark, e, "marks-in", "seen", 4), "k", "seen"), "marks")
+
+
+@query("stream_page_store", """
+WITH RECURSIVE e AS (
+  SELECT CAST(user_id % 16 AS VARCHAR) AS store, event_id, 'p' || (CAST(floor(value) AS BIGINT) % 25) AS url, ts, CASE WHEN event_type <> 'error' THEN 'v' || event_id END AS body,
+         row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT DISTINCT store, 0::BIGINT AS n, 0::BIGINT AS number, '' AS url, false AS hit, NULL::VARCHAR AS body, NULL::VARCHAR AS evicted, []::STRUCT(url VARCHAR, ts TIMESTAMP, body VARCHAR)[] AS held FROM e
+  UNION ALL
+  SELECT store, n, event_id, url, len(fresh) > 0, CASE WHEN len(fresh) > 0 THEN fresh[1].body ELSE body END,
+         CASE WHEN len(fresh) = 0 AND body IS NOT NULL AND len(rest) >= 12 THEN rest[1].url END,
+         CASE WHEN len(fresh) > 0 THEN held WHEN body IS NULL THEN rest ELSE list_append(CASE WHEN len(rest) >= 12 THEN rest[2:] ELSE rest END, {'url': url, 'ts': ts, 'body': body}) END
+  FROM (SELECT e.*, held, list_filter(held, lambda x: x.url = e.url AND e.ts - x.ts < INTERVAL 24 HOUR) AS fresh, list_filter(held, lambda x: x.url <> e.url) AS rest FROM r JOIN e ON e.store = r.store AND e.n = r.n + 1))
+SELECT store, number, url, hit, body, evicted FROM r WHERE n > 0""")
+def _(spark, d):
+    """Sixteen stores of 12 pages for 24 hours; errors are pages that cannot be fetched."""
+    from ..streaming.state import stored_pages
+
+    e = table(spark, d, "events").select(
+        (F.col("user_id") % 16).alias("store"), F.col("event_id").alias("number"), F.concat(F.lit("p"), F.floor("value") % 25).alias("url"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") != "error", F.concat(F.lit("v"), "event_id")).alias("body"),
+    )
+    return _appended(spark, stored_pages(_in_order(spark, e, "store-in", "at", 3), pages=12), "store")
+
+
+@query("stream_job_progress", """
+WITH b AS (SELECT min(event_id) AS low, (max(event_id) - min(event_id)) / 4 AS step FROM events),
+e AS (SELECT CASE WHEN event_id < low + step THEN 0 WHEN event_id < low + 2 * step THEN 1 WHEN event_id < low + 3 * step THEN 2 ELSE 3 END AS batch, event_type FROM events, b),
+g AS (SELECT batch, count(*) AS rows, count(*) FILTER (WHERE event_type = 'error') AS failed FROM e GROUP BY batch)
+SELECT 'events' AS job, CAST(batch AS BIGINT) AS batch, rows, failed, CAST(sum(rows) OVER w AS BIGINT) AS completed, CAST(floor(100 * sum(rows) OVER w / sum(rows) OVER ()) AS INTEGER) AS percent
+FROM g WINDOW w AS (ORDER BY batch)""")
+def _(spark, d):
+    """The progress table of a job of four micro-batches, written while it runs."""
+    from ..streaming.jobs import observed, progress_rows, run_with_progress
+
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", "error").otherwise("").alias("err"))
+    base = shared_path(spark, "job-progress")
+    stream = observed(_in_order(spark, e, "job-events", "event_id", 4), "err")
+    run_with_progress(spark, stream, "events", f"{base}/checkpoint", lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/batch={i}"), f"{base}/progress")
+    return progress_rows(spark, f"{base}/progress")
