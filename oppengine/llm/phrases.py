@@ -1,15 +1,18 @@
 """Phrase collocations from position bitmaps of words (operator 12).
 
 A task cuts its texts into words and collects them by language in shards of about ``SHARD_WORDS`` words; pieces follow
-each other with an empty place between them, so no phrase passes from one to the next. Words, and then pairs of
-neighbours, are counted in each shard and summed over the shards; what stays below the threshold everywhere together
-can be part of no frequent phrase. A shard then builds a bitmap of places for each of its frequent words (64-place
-blocks, empty ones left out), gets the frequent pairs as the AND of one word's bitmap with the next one's, shifted,
-and extends them depth-first: a phrase's bitmap is ANDed with the shifted bitmaps of all frequent pairs that begin
-with its last word, and popcounts are the shard's frequencies. Their sums over the shards are exact.
-
-No task sees more than its rows and one shard; a hot language only has more shards, and a common word or pair is one
-row a shard in every shuffle. Nothing is broadcast and nothing comes to the driver.
+each other with an empty place between them, so no phrase passes from one to the next. Words are counted in each shard
+and summed over the shards; an infrequent word is part of no frequent phrase. Of neighbours, hashed buckets of pairs
+and of triples are summed in the same way (Park, Chen and Yu): what falls into a bucket that stays below the threshold
+is infrequent, too. A shard then builds a bitmap of places for each of its words (8-place blocks, empty ones left
+out), gets the pairs that remain as the AND of one word's bitmap with the next one's, shifted, and extends them depth-first:
+a phrase's bitmap is ANDed with the shifted bitmaps of all pairs that begin with its last word, as long as their
+triples remain, and popcounts are the shard's frequencies. Their sums over the shards are exact, and are held against
+the threshold last.
+
+No task sees more than its rows and one shard; a hot language only has more shards, and a common word or phrase is one
+row a task in every shuffle. Only a bit for each bucket comes to the driver and is broadcast. There is about a bucket
+for ``WORDS_A_BUCKET`` words, but 2 ** ``MOST_BUCKETS`` at most; in a corpus that fills them all, they spare less work.
 
 Defined cases: null text is empty, null lang is 'und'; texts without a word count nothing; repeated rows count each;
 a text longer than a shard is a shard of its own; empty tables give no rows; other columns are not read.
@@ -33,11 +36,12 @@ LEAST, MOST_WORDS, TOP = 100, 5, 2000
 COVERED_PERCENT = 100
 #: Words of a shard, and of all shards that a task has open.
 SHARD_WORDS, OPEN_WORDS = 1_000_000, 2_000_000
+#: Words for each hashed bucket, of pairs and again of triples; binary logarithm of the most buckets, and of those in one row.
+WORDS_A_BUCKET, MOST_BUCKETS, BUCKETS_ROW = 4, 26, 16
 #: Bitmap blocks that are extended together.
 TOGETHER = 1 << 17
 #: A-Z become a-z, ends of pieces become a full stop, tabs become blanks; other bytes stay.
 _FOLD = bytes(46 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_ZSTD = pa.Codec("zstd")
 
 
 class Numbers(dict):
@@ -52,19 +56,17 @@ class Numbers(dict):
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    return len(numbers).to_bytes(8, "little") + _ZSTD.compress(numbers.astype(np.int32).tobytes(), asbytes=True)
+    return len(numbers).to_bytes(8, "little") + pa.compress(numbers.astype(np.int32).tobytes(), "zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(_ZSTD.decompress(data[8:], 4 * n, asbytes=True), np.int32).astype(np.int64)
+    return np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.int32).astype(np.int64)
 
 
 _SHARD = "lang string, words array<string>, counts array<long>, places binary"
 _SLIM = "shard long, lang string, words array<string>, ids array<long>, places binary"
 _SLIM_ARROW = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("places", pa.binary())])
-_PHRASE = "lang string, phrase string, c long"
-_PHRASE_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())])
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,19 +108,71 @@ def _frequent_words(shard: pa.Table, known: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(one, names=["shard", "lang", "words", "ids", "places"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, a, b, first, second, c): pairs of neighbours of each shard, as numbers in it and as global ids."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            p, ids = unpacked(batch.column(2)[i].as_py()), np.asarray(batch.column(1)[i].values)
-            a, b = p[:-1], p[1:]
-            m = (a > 0) & (b > 0)
-            key, c = np.unique(a[m] * len(ids) + b[m], return_counts=True)
-            a, b = key // len(ids), key % len(ids)
-            shard = np.full(len(key), batch.column(0)[i].as_py(), np.int64)
-            for s in range(0, len(key), 100_000):
-                e = slice(s, s + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[e]) for x in (shard, a.astype(np.int32), b.astype(np.int32), ids[a], ids[b], c)], names=["shard", "a", "b", "first", "second", "c"])
+def bucket(buckets: int, *ids: np.ndarray) -> np.ndarray:
+    """The hashed bucket, of 2 ** buckets, of each row of global ids."""
+    h = np.full(len(ids[0]), len(ids), np.uint64)
+    for x in ids:
+        h = (h ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - buckets)).astype(np.int64)
+
+
+def _bucket_sums(least: int, buckets: int):
+    """(kind, row, sums): for each task the sums of its buckets of pairs (0) and triples (1), none above ``least``."""
+    of = np.uint8 if least < 256 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(1 << buckets, of) for _ in range(2)]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p, ids = unpacked(batch.column(1)[i].as_py()), np.asarray(batch.column(0)[i].values)
+                m = (p[:-1] > 0) & (p[1:] > 0)
+                m3 = m[:-1] & m[1:]
+                for k, h in enumerate((bucket(buckets, ids[p[:-1][m]], ids[p[1:][m]]), bucket(buckets, ids[p[:-2][m3]], ids[p[1:-1][m3]], ids[p[2:][m3]]))):
+                    at, n = np.unique(h, return_counts=True)
+                    sums[k][at] = np.minimum(sums[k][at] + n, least)
+        yield from _bucket_rows(sums)
+
+    return run
+
+
+def _bucket_rows(sums: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for k, v in enumerate(sums):
+        for r, row in enumerate(v.reshape(-1, 1 << BUCKETS_ROW)):
+            if row.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([r], pa.int32()), pa.array([pa.compress(row.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["kind", "row", "sums"])
+
+
+def _heavy(least: int):
+    """Rows of bits, one for each bucket whose sum over all tasks reaches ``least``; rows of the same buckets come to one task, one after the other."""
+    of = np.dtype(np.uint8 if least < 256 else np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for k, r, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                row = np.frombuffer(pa.decompress(data, of.itemsize << BUCKETS_ROW, "zstd", asbytes=True), of)
+                had = sums.get((k, r))
+                sums[k, r] = row if had is None else np.minimum(had.astype(np.int64) + row, least).astype(of)
+        for (k, r), row in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([r], pa.int32()), pa.array([np.packbits(row >= least).tobytes()], pa.binary())], names=["kind", "row", "sums"])
+
+    return run
+
+
+def heavy_buckets(slim: DataFrame, least: int, buckets: int) -> list[np.ndarray]:
+    """Bits of the buckets of pairs and of triples that reach ``least``: twice 2 ** buckets bits."""
+    kind = "kind int, row int, sums binary"
+    rows = slim.select("ids", "places").mapInArrow(_bucket_sums(least, buckets), kind).repartition("kind", "row").mapInArrow(_heavy(least), kind).collect()
+    out = [np.zeros(1 << (buckets - 3), np.uint8) for _ in range(2)]
+    for r in rows:
+        at = r["row"] << (BUCKETS_ROW - 3)
+        out[r["kind"]][at : at + (1 << (BUCKETS_ROW - 3))] = np.frombuffer(r["sums"], np.uint8)
+    return out
+
+
+def among(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
 class Bitmaps:
@@ -138,16 +192,24 @@ class Bitmaps:
 
     @classmethod
     def of_places(cls, items: np.ndarray, places: np.ndarray, blocks: int) -> Bitmaps:
-        return cls(items, (places >> 6) + 1, np.uint64(1) << (places & 63).astype(np.uint64), np.zeros(len(items), np.int64), blocks)
+        return cls(items, (places >> 3) + 1, np.uint8(1) << (places & 7).astype(np.uint8), np.zeros(len(items), np.int64), blocks)
 
     def back(self, n: int) -> Bitmaps:
-        """Every bit ``n`` places (under 64) before where it is; the first block stays free for that."""
-        stay, carry = self.bits >> np.uint64(n), self.bits << np.uint64(64 - n)
+        """Every bit ``n`` places (under 8) before where it is; the first block stays free for that."""
+        stay, carry = self.bits >> np.uint8(n), self.bits << np.uint8(8 - n)
         s, c = stay != 0, carry != 0
         return Bitmaps(np.concatenate([self.item[s], self.item[c]]), np.concatenate([self.block[s], self.block[c] - 1]), np.concatenate([stay[s], carry[c]]), np.concatenate([self.tag[s], self.tag[c]]), self.blocks)
 
-    def span(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.searchsorted(self.item, items), np.searchsorted(self.item, items, side="right")
+    def all_pairs(self, other: Bitmaps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """AND of every row with every row of ``other`` of the same block: (row here, row there, bits), without empty ones."""
+        here, there = np.argsort(self.block, kind="stable"), np.argsort(other.block, kind="stable")
+        ends = np.cumsum(np.bincount(other.block, minlength=self.blocks))
+        block = self.block[here]
+        i, j = spread(np.where(block > 0, ends[block - 1], 0), ends[block])
+        i, j = here[i], there[j]
+        both = self.bits[i] & other.bits[j]
+        some = both != 0
+        return i[some], j[some], both[some]
 
     def meet(self, item: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """AND of given rows with all rows here of the same item and block: (given row, row here, bits), without empty ones."""
@@ -166,27 +228,23 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
 
 
-def frequent_phrases(places: np.ndarray, a: np.ndarray, b: np.ndarray, most_words: int = MOST_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(phrases as rows of numbers, frequencies): the pairs (a, b), and all longer phrases whose neighbours are such pairs."""
+def frequent_phrases(places: np.ndarray, a: np.ndarray, b: np.ndarray, triples=None, most_words: int = MOST_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(phrases as rows of numbers, frequencies): the pairs (a, b), and all longer phrases whose neighbours are such pairs.
+
+    ``triples`` tells of rows of three words whether they can be frequent; phrases with others are left out.
+    """
     if not len(a):
         return
-    at = np.nonzero(places)[0]
-    blocks = (len(places) >> 6) + 3
+    used = np.zeros(max(int(places.max(initial=0)), int(max(a.max(), b.max()))) + 1, bool)
+    used[a] = used[b] = True
+    at = np.nonzero(used[places])[0]
+    blocks = (len(places) >> 3) + 3
     word = Bitmaps.of_places(places[at], at, blocks)
     after = word.back(1)
-    # A pair: the bitmap of one word AND that of the other, a place back; from the side with fewer blocks.
-    (alo, ahi), (blo, bhi) = word.span(a), after.span(b)
-    by_first = ahi - alo <= bhi - blo
-    found = []
-    for own, other, lo, hi, partner, which in ((word, after, alo, ahi, b, by_first), (after, word, blo, bhi, a, ~by_first)):
-        w = np.nonzero(which)[0]
-        for s in range(0, len(w), 4096):
-            pair, row = spread(lo[w[s : s + 4096]], hi[w[s : s + 4096]])
-            pair = w[s : s + 4096][pair]
-            given, _, bits = other.meet(partner[pair], own.block[row], own.bits[row])
-            found.append((pair[given], own.block[row][given], bits))
-    pair, block, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-    pairs = Bitmaps(a[pair], block, bits, b[pair], blocks)  # by first word; the second is the tag
+    first, second, bits = word.all_pairs(after)  # the AND of all pairs of words, a block at a time
+    u, v = word.item[first], after.item[second]
+    some = np.isin(u * len(used) + v, a * len(used) + b)
+    pairs = Bitmaps(u[some], word.block[first][some], bits[some], v[some], blocks)  # by first word; the second is the tag
     shifted = {n: pairs.back(n) for n in range(1, most_words - 1)}
 
     def extend(phrases: np.ndarray, of: np.ndarray, block: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -198,9 +256,12 @@ def frequent_phrases(places: np.ndarray, a: np.ndarray, b: np.ndarray, most_word
             return
         next_ = shifted[k - 1]
         given, here, both = next_.meet(phrases[of, -1], block, bits)
+        old, new = of[given], next_.tag[here]
+        if triples is not None and len(given):
+            can = triples(phrases[old, -2], phrases[old, -1], new)
+            given, both, old, new = given[can], both[can], old[can], new[can]
         if not len(given):
             return
-        old, new = of[given], next_.tag[here]
         order = np.lexsort((block[given], new, old))
         old, new, at, both = old[order], new[order], block[given][order], both[order]
         yield from in_groups(np.concatenate([[True], (old[1:] != old[:-1]) | (new[1:] != new[:-1])]), lambda i: np.column_stack([phrases[old[i]], new[i]]), at, both)
@@ -222,15 +283,24 @@ def frequent_phrases(places: np.ndarray, a: np.ndarray, b: np.ndarray, most_word
         yield from in_groups(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]), lambda i: np.column_stack([u[i], v[i]]), block, bits)
 
 
-def _grown(shard: pa.Table, pairs: pa.Table) -> pa.Table:
-    """(lang, phrase, c): the shard's phrases of two words or more."""
-    words = np.array(shard["words"][0].as_py(), dtype=object)
-    phrases, counts = [], []
-    for p, c in frequent_phrases(unpacked(shard["places"][0].as_py()), pairs["a"].to_numpy().astype(np.int64), pairs["b"].to_numpy().astype(np.int64)):
-        phrases += map(" ".join, words[p])
-        counts.append(c)
-    c = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    return pa.table({"lang": pa.array([shard["lang"][0].as_py()] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "c": pa.array(c, pa.int64())})
+def _grown(heavy, buckets: int):
+    """(lang, phrase, c): the phrases of two words or more of each shard, as far as pairs and triples are in heavy buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, triples = heavy.value
+        for batch in batches:
+            for lang, words, ids, places in zip(*batch.columns, strict=True):
+                ids, p, words = np.asarray(ids.values), unpacked(places.as_py()), np.array(words.as_py(), dtype=object)
+                m = (p[:-1] > 0) & (p[1:] > 0)
+                key = np.unique(p[:-1][m] * len(ids) + p[1:][m])
+                a, b = key // len(ids), key % len(ids)
+                some = among(pairs, bucket(buckets, ids[a], ids[b]))
+                can = lambda *x, ids=ids: among(triples, bucket(buckets, *(ids[i] for i in x)))
+                for own, c in frequent_phrases(p, a[some], b[some], can):
+                    text = pa.array(map(" ".join, words[own]), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(text), pa.string()), text, pa.array(c, pa.int64())], names=["lang", "phrase", "c"])
+
+    return run
 
 
 def frequencies(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -250,9 +320,10 @@ def frequencies(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFra
     slim = stage(slim.applyInArrow(_if_both(_frequent_words, _SLIM_ARROW), _SLIM), "frequent-places")
     unstage(shards)
 
-    pairs = slim.select("shard", "ids", "places").mapInArrow(_neighbours, "shard long, a int, b int, first long, second long, c long").repartition("first", "second")
-    pairs = pairs.withColumn("f", F.sum("c").over(Window.partitionBy("first", "second"))).where(F.col("f") >= least).select("shard", "a", "b")
-    grown = slim.drop("ids").groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(_if_both(_grown, _PHRASE_ARROW), _PHRASE)
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    buckets = min(max(int(n // WORDS_A_BUCKET).bit_length(), BUCKETS_ROW), MOST_BUCKETS)
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_buckets(slim, least, buckets))  # 2 x 2 ** MOST_BUCKETS bits at most
+    grown = slim.select("lang", "words", "ids", "places").mapInArrow(_grown(heavy, buckets), "lang string, phrase string, c long")
     grown = grown.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     out = stage(grown.union(known.where("one").select("lang", "word", "f")), "phrases")
     unstage(slim, known)

@@ -117,6 +117,23 @@ def test_bitmaps_by_hand(monkeypatch, together):
     assert got == want
 
 
+def test_light_buckets_hold_nothing_frequent(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 2**62, 9)
+    shards = [rng.choice(9, 400, p=[0.1, *[0.9 / 8] * 8]) for _ in range(6)]
+    true = [Counter(), Counter()]
+    for p in shards:
+        for k in (2, 3):
+            true[k - 2].update(t for t in zip(*(p[i:].tolist() for i in range(k)), strict=False) if all(t))
+    rows = [(ids.tolist(), phrases.packed(p)) for p in shards]
+    for least in (4, 30, 300):
+        heavy = phrases.heavy_buckets(spark.createDataFrame(rows, "ids array<long>, places binary").repartition(3), least, 24)
+        for bits, counts in zip(heavy, true, strict=True):
+            keys = np.array(list(counts))
+            got = phrases.among(bits, phrases.bucket(24, *(ids[keys[:, i]] for i in range(keys.shape[1]))))
+            assert got.tolist() == [counts[tuple(k)] >= least for k in keys.tolist()]  # no two meet in a bucket here
+
+
 def test_scores_beyond_64_bits(spark):
     rows = [(10**12 + 3, 10**15 + 11, 10**12 + 7, 10**13 + 1), (100, 5, 100, 100), (7 * 10**9, 10**17, 7 * 10**9, 7 * 10**9)]
     df = spark.createDataFrame(rows, "a long, n long, l long, r long").select(phrases.score(*map(F.col, "anlr")))
