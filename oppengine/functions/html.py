@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +19,20 @@ KEPT = {"h1", "h2", "h3", "p", "li", "td", "th"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+#: Of the elements that are open around a text, so many get it, the innermost ones. Only pages with unclosed tags nest deeper;
+#: without a bound, their text grows with the square of the page.
+REPEATS = 64
+
+
 class _Page(HTMLParser):
+    """One pass; a piece of text costs ``REPEATS`` appends at most, a tag what it opens or closes."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[list] = []  # tag, index of its text in ``texts`` or -1
+        self.open: list[tuple[str, bool]] = []  # tag, and whether it is in ``kept``
+        self.count: Counter[str] = Counter()  # of the open tags
+        self.dropped = 0  # open tags whose text is not shown
+        self.kept: list[list[str]] = []  # texts of the open elements that count, outermost first
         self.texts: list[list[str]] = []
         self.title, self.snippet, self.links = None, None, []
         self.paragraph: list[str] | None = None
@@ -35,10 +46,13 @@ class _Page(HTMLParser):
             self.paragraph = []
         if tag in VOID:
             return
-        keep = tag in KEPT and not any(t in DROPPED for t, _ in self.open)
-        self.open.append([tag, len(self.texts) if keep else -1])
+        keep = tag in KEPT and not self.dropped
+        self.open.append((tag, keep))
+        self.count[tag] += 1
+        self.dropped += tag in DROPPED
         if keep:
-            self.texts.append([])
+            self.kept.append([])
+            self.texts.append(self.kept[-1])
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a" and self.anchor is not None:
@@ -46,22 +60,25 @@ class _Page(HTMLParser):
             self.anchor = None
         if tag == "p" and self.paragraph is not None and self.snippet is None:
             self.snippet = " ".join(" ".join(self.paragraph).split())[:300]
-        if any(t == tag for t, _ in self.open):
-            while self.open and self.open.pop()[0] != tag:
-                pass
+        while self.count[tag]:
+            last, keep = self.open.pop()
+            self.count[last] -= 1
+            self.dropped -= last in DROPPED
+            if keep:
+                self.kept.pop()
+            if last == tag:
+                break
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _ in self.open]
-        if tags and tags[-1] == "title" and self.title is None:
+        if self.title is None and self.open and self.open[-1][0] == "title":
             self.title = data.strip()
         if self.anchor is not None:
             self.anchor[1].append(data)
         if self.paragraph is not None and self.snippet is None:
             self.paragraph.append(data.strip())
-        if not DROPPED.intersection(tags):
-            for _, i in self.open:
-                if i >= 0:
-                    self.texts[i].append(data)
+        if not self.dropped and (shown := data.strip()):
+            for t in self.kept[-REPEATS:]:
+                t.append(shown)
 
 
 def parse_page(html: str | None) -> _Page:
@@ -78,7 +95,7 @@ def page_visible_text(html: str | None) -> str:
 
 
 def shown_text(page: _Page) -> str:
-    parts = (" ".join(" ".join(x.strip() for x in t if x.strip()).split()) for t in page.texts)
+    parts = (" ".join(" ".join(t).split()) for t in page.texts)
     return re.sub(r"\s+", " ", " ".join(x for x in parts if x)).strip()
 
 
@@ -105,7 +122,7 @@ def page_view(html: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """Text of headings, paragraphs, list items and cells in order, outside dropped subtrees; nested ones repeat."""
+    """Text of headings, paragraphs, list items and cells in order, outside dropped subtrees; nested ones repeat (``REPEATS``)."""
     return _visible_text(html)
 
 
@@ -114,20 +131,34 @@ def page_meta(html: Column) -> Column:
     return _page_meta(html)
 
 
+def links_of(url: str | None, html: str | None) -> Iterator[tuple[int, str, str, str, str]]:
+    """(position, href, anchor, title, snippet) of a page's links; hrefs are resolved against the page and have no fragment."""
+    p = parse_page(html)
+    for i, (href, anchor) in enumerate(p.links):
+        try:
+            yield i, urljoin(url or "", href.split("#")[0]), anchor, p.title or "", p.snippet or ""
+        except ValueError:  # a malformed address
+            continue
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """One row per link of ``pages`` (url, html): from_url, position, href (resolved, without fragment), anchor, title, snippet."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for url, html in zip(f["url"], f["html"], strict=True):
-                p = parse_page(html)
-                for i, (href, anchor) in enumerate(p.links):
-                    try:
-                        target = urljoin(url or "", href.split("#")[0])
-                    except ValueError:
-                        continue
-                    rows.append((url, i, target, anchor, p.title or "", p.snippet or ""))
+            rows = [(url, *link) for url, html in zip(f["url"], f["html"], strict=True) for link in links_of(url, html)]
             yield pd.DataFrame(rows, columns=["from_url", "position", "href", "anchor", "title", "snippet"])
 
     return pages.select("url", "html").mapInPandas(run, "from_url string, position int, href string, anchor string, title string, snippet string")
+
+
+class PageLinks:
+    """A table function for SQL: the links of one page."""
+
+    def eval(self, url: str, html: str):
+        yield from links_of(url, html)
+
+
+def register_page_links(spark: SparkSession, name: str = "page_links") -> None:
+    """Make ``LATERAL page_links(url, html)`` known to the session's SQL."""
+    spark.udtf.register(name, F.udtf(PageLinks, returnType="position int, href string, anchor string, title string, snippet string"))

@@ -163,11 +163,42 @@ def fill_template(template: str, **values: Column) -> Column:
     return out
 
 
-def describe_cron(cron: Column) -> Column:
-    """daily, weekly, monthly or custom, by which fields of ``m h dom mon dow`` are open."""
+#: Names of weekdays, from 0 on.
+WEEKDAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
+
+
+def _leading_int(text: Column) -> Column:
+    return F.regexp_extract(text, r"^([+-]?[0-9]+)", 1).try_cast("int")
+
+
+def parse_cron(cron: Column) -> Column:
+    """struct(mode, hour, minute, dow, dom) of ``m h dom mon dow``: the mode by which of dom and dow are open; what is no number has its default."""
     f = F.split(F.trim(cron), r"\s+")
+    mode = (
+        F.when(F.size(f) != 5, "custom").when((f[4] != "*") & (f[2] == "*"), "weekly").when((f[2] != "*") & (f[4] == "*"), "monthly")
+        .when((f[4] == "*") & (f[2] == "*"), "daily").otherwise("custom")
+    )
+    whole = F.size(f) == 5
+    day = lambda i, m: F.when(mode == m, F.coalesce(F.nullif(_leading_int(f[i]), F.lit(0)), F.lit(1))).otherwise(1)
+    number = lambda i, default: F.coalesce(F.when(whole, _leading_int(f[i])), F.lit(default))
+    return F.struct(mode.alias("mode"), number(1, 2).alias("hour"), number(0, 0).alias("minute"), day(4, "weekly").alias("dow"), day(2, "monthly").alias("dom"))
+
+
+def build_cron(mode: Column, hour: Column, minute: Column, dow: Column, dom: Column, custom: Column) -> Column:
+    day = F.when(mode == "daily", "* * *").when(mode == "weekly", F.concat(F.lit("* * "), dow)).otherwise(F.concat(dom, F.lit(" * *")))
+    return F.when(mode == "custom", custom).otherwise(F.concat_ws(" ", minute, hour, day))
+
+
+def describe_schedule(mode: Column, hour: Column, minute: Column, dow: Column, dom: Column) -> Column:
+    two = lambda c: F.when(F.length(c.cast("string")) < 2, F.concat(F.lit("0"), c)).otherwise(c.cast("string"))
+    at = F.concat(two(hour), F.lit(":"), two(minute), F.lit(" UTC"))
+    weekday = F.coalesce(F.try_element_at(F.array(*map(F.lit, WEEKDAYS)), F.when(dow >= 0, dow + 1)), F.lit("undefined"))
     return (
-        F.when((F.size(f) != 5) | (f[3] != "*"), "custom")
-        .when((f[2] == "*") & (f[4] == "*"), "daily").when((f[2] == "*") & (f[4] != "*"), "weekly")
-        .when((f[2] != "*") & (f[4] == "*"), "monthly").otherwise("custom")
+        F.when(mode == "daily", F.concat(F.lit("Every day at "), at)).when(mode == "weekly", F.concat(F.lit("Every "), weekday, F.lit(" at "), at))
+        .when(mode == "monthly", F.concat(F.lit("Day "), dom, F.lit(" of every month at "), at)).otherwise("")
     )
+
+
+def describe_cron(cron: Column) -> Column:
+    """daily, weekly, monthly or custom."""
+    return parse_cron(cron)["mode"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -193,3 +193,36 @@ def export_lines(df: DataFrame, columns: list[str] = EXPORT_COLUMNS) -> DataFram
         return F.array_join(df[c], ", ") if kinds[c].startswith("array") else df[c].cast("string")
 
     return df.select(X.csv_line(*[cell(c) for c in columns]).alias("line"))
+
+
+#: Sections of a record's details, each with its fields, in order.
+DETAIL_SECTIONS = {
+    "Funding Details": ["funding_range", "application_status", "deadline", "restrictions", "notes"],
+    "Eligibility": ["eligibility", "eligibility_reason", "evidence"],
+    "Scope & Audience": ["applicant_types", "geographic_scope", "beneficiary_focus"],
+    "Source & Technical": ["pages_scraped", "visited_urls_count", "pdf_read", "pdf_pages", "pdf_url", "extraction_timestamp", "error", "source_folder", "Processed"],
+}
+
+
+def section_rules(spark: SparkSession, sections: dict[str, list[str]] | None = None) -> DataFrame:
+    """(rank, section, field): ordered rules as a table; a field may be in several sections."""
+    rows = [(i, name, f) for i, (name, fields) in enumerate((sections or DETAIL_SECTIONS).items()) for f in fields]
+    return spark.createDataFrame(rows, "rank int, section string, field string")
+
+
+def first_section(fields: DataFrame, rules: DataFrame) -> DataFrame:
+    """``fields`` (…, field) with ``section`` of the first rule that has the field, null if none has, and that rule's ``rank``.
+
+    The first rule of each field is found among the rules, so rows meet one rule at most, however many overlap.
+    """
+    first = rules.where("field is not null").groupBy("field").agg(F.min_by("section", "rank").alias("section"), F.min("rank").alias("rank"))
+    return fields.join(first, "field", "left")
+
+
+def sectioned(records: DataFrame, key: str, rules: DataFrame, ungrouped: str = "") -> DataFrame:
+    """(key, rank, section, fields): the nonempty fields of each record by section, in the record's order; fields without a section last."""
+    names = [c for c in records.columns if c != key]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("field"), records[c].cast("string").alias("v")) for i, c in enumerate(names)])
+    each = records.select(key, F.explode(cells).alias("c")).where("c.v is not null and c.v <> ''").select(key, "c.i", "c.field")
+    got = first_section(each, rules).groupBy(key, "rank", "section").agg(F.array_sort(F.collect_list(F.struct("i", "field"))).alias("f"))
+    return got.select(key, "rank", F.coalesce("section", F.lit(ungrouped)).alias("section"), F.transform("f", lambda x: x["field"]).alias("fields"))

@@ -908,3 +908,135 @@ def _(spark, d):
     stream = observed(_in_order(spark, e, "job-events", "event_id", 4), "err")
     run_with_progress(spark, stream, "events", f"{base}/checkpoint", lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/batch={i}"), f"{base}/progress")
     return progress_rows(spark, f"{base}/progress")
+
+
+# --- table functions, rules and state between runs ----------------------------------------------------------------
+@query("lateral_links", """
+WITH p AS (
+  SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS hrefs FROM pages),
+d AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS dir FROM p)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS position, origin || CASE page_id % 4 WHEN 0 THEN '/' WHEN 1 THEN regexp_replace(dir, '[^/]+/$', '') WHEN 2 THEN dir ELSE path || '?' END || hrefs[i] AS href
+FROM d, range(1, len(hrefs) + 1) t(i)""")
+def _(spark, d):
+    """Links by a table function in SQL; pages' links are made relative to the host, the folder above, the folder and the page."""
+    H.register_page_links(spark)
+    start = F.element_at(F.array(*map(F.lit, ("/", "../", "", "?"))), (F.col("page_id") % 4 + 1).cast("int"))
+    p = table(spark, d, "pages").select("page_id", "url", F.replace("html", F.lit('<a href="/'), F.concat(F.lit('<a href="'), start)).alias("html"))
+    return spark.sql("SELECT p.page_id, l.position, l.href FROM {p} p, LATERAL page_links(p.url, p.html) l", p=p)
+
+
+_FIELDS = {"funding_range": "c_name", "eligibility": "nullif(c_mktsegment, 'BUILDING')", "error": "CASE WHEN c_acctbal < 0 THEN 'negative' ELSE '' END", "phone": "CAST(c_nationkey AS STRING)", "notes": "CASE WHEN c_custkey % 3 = 0 THEN 'n' END"}
+
+
+@query("detail_sections", """
+WITH r AS (SELECT c_custkey, unnest([
+    {'i': 0, 'field': 'funding_range', 'v': c_name}, {'i': 1, 'field': 'eligibility', 'v': nullif(c_mktsegment, 'BUILDING')}, {'i': 2, 'field': 'error', 'v': CASE WHEN c_acctbal < 0 THEN 'negative' ELSE '' END},
+    {'i': 3, 'field': 'phone', 'v': CAST(c_nationkey AS VARCHAR)}, {'i': 4, 'field': 'notes', 'v': CASE WHEN c_custkey % 3 = 0 THEN 'n' END}]) AS c FROM customer),
+s AS (SELECT c_custkey, c.i AS i, c.field AS field, CASE WHEN c.field IN ('funding_range', 'notes') THEN 'Funding Details' WHEN c.field = 'eligibility' THEN 'Eligibility' WHEN c.field = 'error' THEN 'Source & Technical' ELSE 'Other' END AS section FROM r WHERE c.v <> '')
+SELECT c_custkey, section, string_agg(field, ' ' ORDER BY i) AS fields FROM s GROUP BY c_custkey, section""")
+def _(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", *[F.expr(e).alias(f) for f, e in _FIELDS.items()])
+    return results.sectioned(rows, "c_custkey", results.section_rules(spark), "Other").select("c_custkey", "section", F.array_join("fields", " ").alias("fields"))
+
+
+@query("first_section", """
+WITH rules(rank, section, field) AS (SELECT n_nationkey % 7, 'r' || n_regionkey, 'Brand#' || n_nationkey FROM nation UNION ALL SELECT n_nationkey % 5, 's' || n_nationkey, 'Brand#' || (n_nationkey // 2) FROM nation WHERE n_nationkey % 5 = 1),
+first AS (SELECT field, arg_min(section, rank) AS section, min(rank) AS rank FROM (SELECT * FROM rules QUALIFY count(*) OVER (PARTITION BY field, rank) = 1) GROUP BY field)
+SELECT p_partkey, p_brand AS field, section, CAST(rank AS INTEGER) AS rank FROM part LEFT JOIN first ON field = p_brand""")
+def _(spark, d):
+    """Overlapping ordered rules from a table; of rules of one rank and field, none counts here."""
+    n = table(spark, d, "nation")
+    rule = lambda rank, section, field: n.select(rank.cast("int").alias("rank"), section.alias("section"), F.concat(F.lit("Brand#"), field).alias("field"))
+    key = F.col("n_nationkey")
+    rules = rule(key % 7, F.concat(F.lit("r"), "n_regionkey"), key.cast("string")).unionByName(rule(key % 5, F.concat(F.lit("s"), key), F.floor(key / 2).cast("string")).join(n.where("n_nationkey % 5 = 1").select(F.concat(F.lit("s"), "n_nationkey").alias("section")), "section", "left_semi"))
+    alone = rules.join(rules.groupBy("field", "rank").count().where("count = 1").select("field", "rank"), ["field", "rank"])
+    return results.first_section(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("field")), alone)
+
+
+@query("rotating_runs", """
+SELECT run, n_nationkey, n_name FROM nation, (SELECT unnest([1, 2, 3]) AS run) r
+WHERE (((n_nationkey - (22 + 5 * (run - 1))) % 25) + 25) % 25 < 5""")
+def _(spark, d):
+    """Three runs that each take five of 25 nations from where the last one stopped; the second is repeated."""
+    from ..streaming.ingest import rotate
+
+    path = shared_path(spark, "rotation")
+    ring = table(spark, d, "nation").withColumn("position", F.col("n_nationkey"))
+    taken = {run: rotate(spark, path, run, ring, 25, 5, 22) for run in (1, 2, 2, 3)}
+    return taken[1].union(taken[2]).union(taken[3]).select("run", "n_nationkey", "n_name")
+
+
+@query("cron_schedules", """
+WITH c AS (SELECT c_custkey AS k, c_custkey % 60 AS m, c_custkey % 24 AS h, c_custkey % 7 AS dow, c_custkey % 28 + 1 AS dom, c_custkey % 5 AS kind FROM customer),
+e AS (SELECT *, CASE kind WHEN 0 THEN m || ' ' || h || ' * * *' WHEN 1 THEN m || '  ' || h || ' * 3 ' || dow WHEN 2 THEN ' ' || m || ' ' || h || ' ' || dom || ' * * ' WHEN 3 THEN 'x y ' || dom || ' * ' || dow ELSE m || ' ' || h END AS cron FROM c),
+p AS (SELECT k, cron, CASE kind WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'custom' END AS mode, CASE WHEN kind < 3 THEN h ELSE 2 END AS hour, CASE WHEN kind < 3 THEN m ELSE 0 END AS minute,
+             CASE WHEN kind = 1 AND dow <> 0 THEN dow ELSE 1 END AS dow, CASE WHEN kind = 2 THEN dom ELSE 1 END AS dom FROM e)
+SELECT k AS c_custkey, mode, CASE mode WHEN 'custom' THEN cron WHEN 'daily' THEN minute || ' ' || hour || ' * * *' WHEN 'weekly' THEN minute || ' ' || hour || ' * * ' || dow ELSE minute || ' ' || hour || ' ' || dom || ' * *' END AS cron,
+  CASE mode WHEN 'daily' THEN 'Every day at ' WHEN 'weekly' THEN 'Every ' || (['Sunday', 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday'])[dow + 1] || ' at ' WHEN 'monthly' THEN 'Day ' || dom || ' of every month at ' ELSE '' END
+  || CASE WHEN mode <> 'custom' THEN lpad(CAST(hour AS VARCHAR), 2, '0') || ':' || lpad(CAST(minute AS VARCHAR), 2, '0') || ' UTC' ELSE '' END AS said FROM p""")
+def _(spark, d):
+    """Schedules read, built again and described."""
+    k, kind = F.col("c_custkey"), F.col("c_custkey") % 5
+    m, h, dow, dom = k % 60, k % 24, k % 7, k % 28 + 1
+    cron = (
+        F.when(kind == 0, F.concat(m, F.lit(" "), h, F.lit(" * * *"))).when(kind == 1, F.concat(m, F.lit("  "), h, F.lit(" * 3 "), dow)).when(kind == 2, F.concat(F.lit(" "), m, F.lit(" "), h, F.lit(" "), dom, F.lit(" * * ")))
+        .when(kind == 3, F.concat(F.lit("x y "), dom, F.lit(" * "), dow)).otherwise(F.concat(m, F.lit(" "), h))
+    )
+    rows = table(spark, d, "customer").select("c_custkey", cron.alias("raw")).withColumn("s", X.parse_cron(F.col("raw")))
+    s = [F.col(f"s.{x}") for x in ("mode", "hour", "minute", "dow", "dom")]
+    return rows.select("c_custkey", s[0].alias("mode"), X.build_cron(*s, F.col("raw")).alias("cron"), X.describe_schedule(*s).alias("said"))
+
+
+_RAW_RECORD = """CASE p_partkey % 6
+  WHEN 0 THEN '{"funding_range":"' || p_name || '","eligibility":"Eligible","applicant_types":["a","' || p_brand || '"],"evidence":null,"unknown":1}'
+  WHEN 1 THEN '{"eligibility":"' || p_type || '","deadline":' || p_size || ',"us_state_scope":[],"restrictions":"none"}'
+  WHEN 2 THEN '{"funding_range":"' || p_name WHEN 3 THEN '["' || p_name || '"]' WHEN 4 THEN 'I cannot say. ' || repeat(p_name || ' ', 9) END"""
+
+
+def _sql_record() -> str:
+    out = []
+    for f, default in X.RECORD_DEFAULTS.items():
+        got = f"json_extract_string(raw, '$.{f}')"
+        if f in X.LIST_FIELDS:
+            got = f"CASE WHEN json_type(raw, '$.{f}') = 'ARRAY' THEN array_to_string(CAST(json_extract_string(raw, '$.{f}[*]') AS VARCHAR[]), '; ') ELSE {got} END"
+        got = f"coalesce({got}, '{default}')"
+        if f == "eligibility":
+            got = f"CASE WHEN {got} IN ({sql_in(extract.ELIGIBILITY)}) THEN {got} ELSE 'Low Match' END"
+        error = "'JSON parsing error: ' || left(coalesce(bad, ''), 80)" if f in ("notes", "evidence") else f"'{default}'"
+        out.append(f"CASE WHEN raw IS NOT NULL THEN {got} ELSE {error} END AS {f}")
+    return ", ".join(out)
+
+
+@query("records_from_json", f"SELECT p_partkey, {_sql_record()} FROM (SELECT p_partkey, bad, CASE WHEN p_partkey % 6 < 2 THEN CAST(bad AS JSON) END AS raw FROM (SELECT p_partkey, {_RAW_RECORD} AS bad FROM part))")
+def _(spark, d):
+    """Whole, broken, other and missing answers of a language model as records."""
+    return table(spark, d, "part").select("p_partkey", extract.record_from_json(F.expr(_RAW_RECORD)).alias("r")).select("p_partkey", "r.*")
+
+
+_HOSTS = [*U.EXCLUDED_HOSTS, "city.gov", "college.edu", "fund.org", "shop.net", ""]
+_PATHS = ["/", "/Grants/2024", "/about", "/apply?x=1", "/station"]
+
+
+@query("useful_hosts", f"""
+WITH u AS (SELECT c_custkey, ([{sql_in(_HOSTS)}])[c_custkey % {len(_HOSTS)} + 1] AS h, (['', 'www.', 'm.'])[c_custkey // {len(_HOSTS)} % 3 + 1] AS sub, ([{sql_in(_PATHS)}])[c_custkey // 7 % 5 + 1] AS path FROM customer)
+SELECT c_custkey FROM u WHERE h <> '' AND h NOT IN ({sql_in(U.EXCLUDED_HOSTS)}) AND (h IN ('city.gov', 'college.edu') OR h = 'fund.org' OR path IN ('/Grants/2024', '/apply?x=1'))""")
+def _(spark, d):
+    """The library's own list of hosts and words, on addresses that have them."""
+    k = F.col("c_custkey")
+    one = lambda items, i: F.element_at(F.array(*map(F.lit, items)), (i + 1).cast("int"))
+    host, path = one(_HOSTS, k % len(_HOSTS)), one(_PATHS, F.floor(k / 7) % 5)
+    sub = F.when(host == "", "").otherwise(one(["", "www.", "m."], F.floor(k / len(_HOSTS)) % 3))
+    return table(spark, d, "customer").where(U.useful_url(F.concat(F.lit("https://"), sub, host, path))).select("c_custkey")
+
+
+def thin_extractor(text: str) -> str:
+    """A first model that finds no amount and names no applicants: its records are thin."""
+    return '{"application_status": "open"}'
+
+
+@query("extract_with_fallback")
+def _(spark, d):
+    """Texts of pages through a first model and, where that is thin and the text is long, a second one."""
+    pages = table(spark, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
+    out = extract.extract(pages, thin_extractor, extract.rule_extractor)
+    return out.select("page_id", "error", "record.*")

@@ -99,3 +99,17 @@ def overlay_sink(spark: SparkSession, path: str, key: str, order: str) -> Callab
 def recent_marks(rows: DataFrame, seen_at: str, as_of, seconds: int = 35) -> DataFrame:
     """Rows whose "new" mark has not expired."""
     return rows.where(F.col(seen_at) > as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds)))
+
+
+def rotate(spark: SparkSession, path: str, run: int, ring: DataFrame, n: int, take: int, start: int = 0) -> DataFrame:
+    """The rows of ``ring`` (position, …) that run number ``run`` takes, ``take`` of ``n`` from where the run before it stopped.
+
+    Where to go on is a versioned state below ``path``: a run reads the newest version before its own, and writes its own
+    after the rows it took, so a run that is repeated, or was broken off, takes the same rows again.
+    """
+    state = current_state(spark, f"{path}/state", run)
+    at = start if state is None else state.first()["next_index"]
+    taken = ring.where(F.pmod(F.col("position") - F.lit(at), F.lit(n)) < take)
+    taken.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{path}/taken/version={run}")
+    spark.createDataFrame([((at + take) % n,)], "next_index int").write.mode("overwrite").parquet(f"{path}/state/version={run}")
+    return spark.read.parquet(f"{path}/taken/version={run}")

@@ -85,7 +85,7 @@ def test_text_helpers(spark):
     check(spark, X.email_initials, [("jane.doe@x.org", "JD"), ("bob@x.org", "B"), ("", ""), (None, None), ("a_b_c@x", "AB")])
     check(spark, X.csv_cell, [('a"b', '"a""b"'), ("a,b", '"a,b"'), ("a\nb", '"a\nb"'), ("a b", "a b"), (None, "")])
     check(spark, X.clean_setting, [(' "x" ', "x"), ("''", None), ("", None), (None, None), ("y", "y")])
-    check(spark, X.describe_cron, [("0 6 * * *", "daily"), ("0 6 * * 1", "weekly"), ("0 6 1 * *", "monthly"), ("0 6 1 1 *", "custom"), ("x", "custom")])
+    check(spark, X.describe_cron, [("0 6 * * *", "daily"), ("0 6 * * 1", "weekly"), ("0 6 1 * *", "monthly"), ("0 6 1 1 *", "monthly"), ("0 6 1 * 2", "custom"), ("x", "custom")])
     check(spark, lambda c: X.truncate_middle(c, 10, "|"), [("0123456789ab", "01234|789ab"), ("0123456789", "0123456789"), ("", ""), (None, None), ("x", "x")])
     check(spark, X.eligibility_rank, [("Highly Eligible", 0), ("Not Eligible", 4), ("?", 5), (None, 5), ("", 5)])
     assert values(spark, lambda c: X.search_queries(c)[0], ["", "water"]) == ["nonprofit grants grants 2026 open applications nonprofit", "water grants 2026 open applications nonprofit"]
