@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oppengine.llm import jaccard, langid, linededup, packing, toxicity
-from oppengine.llm.common import read_table, stage
+from oppengine.llm.common import quoted, read_table, stage
 
 ORACLE_SQL = None  # learned models and tokenizers; tests compare with a brute-force version
 
@@ -24,7 +24,7 @@ WORDS, PERCENT = 5, 80
 
 def _packed_rows(docs: DataFrame, *plain: str) -> DataFrame:
     """All columns of ``docs`` in one struct, so that no operator's columns clash with them, beside the plain ones."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *[docs[c] for c in plain])
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), *plain)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def numbered(df: DataFrame, by: list[Column], name: str = "place") -> DataFrame:
     No task holds all rows, as a window without partitions would. The sorted rows are written with their partition
     and place in it, as two sorts of one table may cut it at different bounds. ``before`` has a row a partition.
     """
-    whole = F.struct(*[df[c] for c in df.columns]).alias("_row")
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("_row")
     sorted_rows = df.orderBy(*by).select(whole, F.monotonically_increasing_id().alias("_id"))
     part = F.shiftright("_id", 33)
     placed = staged(sorted_rows.select("_row", part.alias("_part"), (F.col("_id") - F.shiftleft(part, 33)).alias("_at")), "sorted")
