@@ -56,9 +56,14 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(5)), F.lit(-1)).cast("int")
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def beside(docs: DataFrame, keep: list[str], *more: Column) -> DataFrame:
     """The columns ``keep`` in one struct ``_keep``, so that their names never meet those of ``more``; undone by ``"_keep.*"``."""
-    return docs.select(F.struct(*[docs[c] for c in keep]).alias("_keep"), *more)
+    return docs.select(F.struct(*map(quoted, keep)).alias("_keep"), *more)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
