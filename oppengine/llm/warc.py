@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import qualified
 from .common import new_path, read_table, stage
 
 #: Payloads of fewer bytes are always stored themselves.
@@ -146,33 +147,35 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
         name, source = None, None
-        for b in batches:
-            archive, offset, length = (c.to_pylist() for c in b.columns)
-            rows, i = [], 0
-            while i < len(archive):
-                j = i
-                while j < len(archive) and archive[j] == archive[i]:
-                    j += 1
-                if archive[i] != name:
-                    if source is not None:
-                        source.close()
-                    name, source = archive[i], store.open_input_file(archive[i])
-                for a, z, start, end in ranges(offset[i:j], length[i:j]):
-                    data = source.read_at(end - start, start)
-                    for k in range(i + a, i + z):
-                        fields, block = parse(zlib.decompress(data[offset[k] - start : offset[k] - start + length[k]], 31))
-                        kind, digest, size = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-bytes"])
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        if kind == "response":
-                            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        page, ref = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
-                        row = (None if page is None else int(page), fields["warc-target-uri"], size, digest, kind, None if ref is None else int(ref))
-                        rows.append((*row, payload.decode("utf-8", "replace") if kind == "response" else None) if payloads else row)
-                i = j
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-        if source is not None:
-            source.close()
+        try:
+            for b in batches:
+                archive, offset, length = (c.to_pylist() for c in b.columns)
+                rows, i = [], 0
+                while i < len(archive):
+                    j = i
+                    while j < len(archive) and archive[j] == archive[i]:
+                        j += 1
+                    if archive[i] != name:
+                        if source is not None:
+                            source.close()
+                        name, source = archive[i], store.open_input_file(archive[i])
+                    for a, z, start, end in ranges(offset[i:j], length[i:j]):
+                        data = source.read_at(end - start, start)
+                        for k in range(i + a, i + z):
+                            fields, block = parse(zlib.decompress(data[offset[k] - start : offset[k] - start + length[k]], 31))
+                            kind, digest, size = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-bytes"])
+                            payload = block.partition(b"\r\n\r\n")[2]
+                            if kind == "response":
+                                size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                            page, ref = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
+                            row = (None if page is None else int(page), fields["warc-target-uri"], size, digest, kind, None if ref is None else int(ref))
+                            rows.append((*row, payload.decode("utf-8", "replace") if kind == "response" else None) if payloads else row)
+                    i = j
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        finally:
+            if source is not None:
+                source.close()
 
     # Tasks by the bytes of the archives, not by those of the index rows: contiguous ranges of them, in order.
     size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
@@ -182,9 +185,7 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
-    folder = new_path(spark, "warc")
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
+    folder = qualified(spark, new_path(spark, "warc"))
     return read_records(write_archives(read_table(spark, sf_dir, "pages"), folder), folder).drop("url")
 
 
