@@ -13,7 +13,6 @@ labelled document every score is 0. Repeated rows get equal scores; labels of re
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,10 +28,10 @@ from .common import beside, fold, read_table, stage, unstage
 
 #: Expected bounds on the labelled texts learned from.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
-#: Expected bound on the tokens that the field is trained on; half of it for spans that bear a mark, if there are so many.
-TRAIN_TOKENS = 400_000
-#: Tokens of a training sequence; longer texts are several, of which a hashed share is drawn.
-TRAIN_SPAN = 128
+#: Tokens of a training sequence, of which longer texts have several, and of those that are encoded together.
+TRAIN_SPAN, TRAIN_BLOCK = 128, 131_072
+#: Steps of the training, each a job that sums gradients over all sequences, and the tasks of such a job.
+TRAIN_ROUNDS, TRAIN_TASKS = 40, 12
 #: A mark: a word with at least so many toxic texts, whose lower bound (z below) on the share of toxic texts is so high.
 MARK_TEXTS, MARK_SHARE, MARK_Z = 5, 0.5, 2.58
 HASH_BITS = 18
@@ -43,12 +42,17 @@ CACHE_ENTRIES = 150_000
 SAMPLE_TASKS = 32
 #: Characters of the texts that are split and run through the field together; bounds a worker's memory.
 _TOGETHER = 2_000_000
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def normal(token: str) -> str:
+    """In lower case, without what is neither letter nor digit at the ends."""
     w = token.lower()
-    return w if w.isalnum() else _EDGE.sub("", w)
+    a, b = 0, len(w)
+    while a < b and not w[a].isalnum():
+        a += 1
+    while a < b and not w[b - 1].isalnum():
+        b -= 1
+    return w[a:b]
 
 
 def parts(token: str) -> tuple[str, list[str]]:
@@ -162,39 +166,106 @@ def marginals(e: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start:
     return (m, logz, moves) if pairs else m
 
 
-def train_field(sequences: list[tuple[list[str], np.ndarray]], rounds: int = 40, l2: float = 1e-5) -> Field:
-    """Maximum conditional likelihood by Adagrad over all sequences (tokens, 0/1 labels)."""
-    sequences = sorted((s for s in sequences if s[0]), key=lambda s: -len(s[0]))
-    f = Field(np.zeros(1 << HASH_BITS), np.zeros((2, 2)), 0.0)
-    if not sequences:
-        return f
-    lengths = np.array([len(s[0]) for s in sequences])
-    words, inv = np.unique(np.array([t for s in sequences for t in s[0]], dtype=object), return_inverse=True)
+def encoded(sequences: list[tuple[list[str], np.ndarray]]) -> dict[str, np.ndarray]:
+    """Sequences (tokens, 0/1 labels), none empty, as arrays: what of them does not change while a field is trained."""
+    sequences = sorted(sequences, key=lambda s: -len(s[0]))
+    words, at = np.unique(np.array([t for s in sequences for t in s[0]], dtype=object), return_inverse=True)
     lists = [np.array(features(t), np.int32) for t in words]
-    rows = np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in lists])
-    feats = np.concatenate(lists)
-    y = np.concatenate([s[1] for s in sequences]).astype(np.float64)
+    return {
+        "lengths": np.array([len(s[0]) for s in sequences], np.int32), "word": at.astype(np.int32), "y": np.concatenate([s[1] for s in sequences]).astype(np.uint8),
+        "of": np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in lists]), "feature": np.concatenate(lists),
+    }
+
+
+def gradient(f: Field, block: dict[str, np.ndarray]) -> np.ndarray:
+    """Of the likelihood of a block: by weight, by transition, by start."""
+    lengths, word, y, of, feature = block["lengths"].astype(np.int64), block["word"], block["y"].astype(np.float64), block["of"], block["feature"]
+    n = int(of[-1]) + 1
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     inside = np.ones(len(y), bool)
     inside[first] = False
     to = np.nonzero(inside)[0]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[to - 1].astype(int), y[to].astype(int)), 1)
+    np.add.at(seen, (block["y"][to - 1].astype(int), block["y"][to].astype(int)), 1)
+    m, _, moves = marginals(np.bincount(of, f.weights[feature], n)[word], lengths, f.transition, f.start, pairs=True)
+    left = np.bincount(word, y - m, n)
+    return np.concatenate([np.bincount(feature, left[of], 1 << HASH_BITS), (seen - moves).ravel(), [(y[first] - m[first]).sum()]])
+
+
+def ascend(total, n: int, rounds: int = TRAIN_ROUNDS, l2: float = 1e-5) -> Field:
+    """Maximum conditional likelihood by Adagrad; ``total`` sums the gradients of a field over ``n`` tokens."""
+    f = Field(np.zeros(1 << HASH_BITS), np.zeros((2, 2)), 0.0)
     gw, gt, gs = np.full(1 << HASH_BITS, 1e-8), np.full((2, 2), 1e-8), 1e-8
-    n = len(y)
-    for _ in range(rounds):
-        e = np.bincount(rows, f.weights[feats], len(words))[inv]
-        m, _, moves = marginals(e, lengths, f.transition, f.start, pairs=True)
-        per_word = np.bincount(inv, y - m, len(words))
-        g = np.bincount(feats, per_word[rows], 1 << HASH_BITS) / n - l2 * f.weights
+    for _ in range(rounds if n else 0):
+        got = total(f) / n
+        g = got[:-5] - l2 * f.weights
         gw += g * g
         f.weights += 0.5 * g / np.sqrt(gw)
-        g2 = (seen - moves) / n - l2 * f.transition
+        g2 = got[-5:-1].reshape(2, 2) - l2 * f.transition
         gt += g2 * g2
         f.transition += 0.2 * g2 / np.sqrt(gt)
-        g3 = (y[first] - m[first]).sum() / n
-        gs += g3 * g3
-        f.start += 0.2 * g3 / np.sqrt(gs)
+        gs += got[-1] ** 2
+        f.start += 0.2 * got[-1] / np.sqrt(gs)
+    return f
+
+
+def train_field(sequences: list[tuple[list[str], np.ndarray]], rounds: int = TRAIN_ROUNDS) -> Field:
+    """A field from sequences (tokens, 0/1 labels) that are at hand."""
+    sequences = [s for s in sequences if s[0]]
+    if not sequences:
+        return ascend(None, 0)
+    block = encoded(sequences)
+    return ascend(lambda f: gradient(f, block), len(block["y"]), rounds)
+
+
+_BLOCK = "lengths binary, word binary, y binary, of binary, feature binary, n long"
+_BLOCK_TYPES = {"lengths": np.int32, "word": np.int32, "y": np.uint8, "of": np.int32, "feature": np.int32}
+
+
+def train_on(texts: DataFrame, marks: set[str], rounds: int = TRAIN_ROUNDS) -> Field:
+    """A field from all spans of ``texts`` (doc_id, toxic, text): gradients are summed in tasks, a few tasks' sums come to the driver."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(marks)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            b = encoded(held)
+            return pa.RecordBatch.from_arrays([*(pa.array([b[c].tobytes()], pa.binary()) for c in _BLOCK_TYPES), pa.array([len(b["y"])], pa.int64())], names=[*_BLOCK_TYPES, "n"])
+
+        for b in batches:
+            for toxic, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for w, y in cut(text, sent.value if toxic else set()):
+                    held.append((w, np.array(y, np.uint8)))
+                    size += len(w)
+                    if size >= TRAIN_BLOCK:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    staged = stage(texts.mapInArrow(blocks, _BLOCK), "toxicity-blocks")
+
+    def total(f: Field) -> np.ndarray:
+        with_field = spark.sparkContext.broadcast(f)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for b in batches:
+                for row in range(b.num_rows):
+                    g = gradient(with_field.value, {c: np.frombuffer(b.column(i)[row].as_py(), t) for i, (c, t) in enumerate(_BLOCK_TYPES.items())})
+                    out = g if out is None else out + g
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["g"])
+
+        # TRAIN_TASKS sums of 2 ** HASH_BITS numbers at most
+        sums = [np.frombuffer(r["g"]) for r in staged.select(*_BLOCK_TYPES).coalesce(TRAIN_TASKS).mapInArrow(run, "g binary").collect()]
+        with_field.unpersist()
+        return np.sum(sums, axis=0)
+
+    f = ascend(total, staged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], rounds)
+    unstage(staged)
     return f
 
 
@@ -252,13 +323,6 @@ def cut(text: str, marks: set[str]) -> Iterator[tuple[list[str], list[int]]]:
         yield own, [int(bool(marks) and not marks.isdisjoint(units(normal(t)))) for t in own]
 
 
-def span_shares(plain: int, marked: int, most: int | None = None) -> tuple[float, float]:
-    """Shares of the tokens without and with a mark that meet the bound; what one kind leaves of its half, the other gets."""
-    most = TRAIN_TOKENS if most is None else most
-    p, m = min(plain, max(most // 2, most - marked)), min(marked, max(most // 2, most - plain))
-    return p / max(1, plain), m / max(1, marked)
-
-
 def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Field | None:
     """A field from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), without ids of fold 0 on either side."""
     spark = docs.sparkSession
@@ -291,32 +355,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     share, z = F.col("bad") / F.col("n"), MARK_Z
     low = (share + z * z / (2 * F.col("n")) - z * F.sqrt(share * (1 - share) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
     marks = {r["unit"] for r in counts.where(low >= MARK_SHARE).select("unit").collect()}
-    sent = spark.sparkContext.broadcast(marks)
-
-    def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [0, 0]
-            for _, toxic, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for w, y in cut(text, sent.value if toxic else set()):
-                    n[max(y)] += len(w)
-            yield pa.RecordBatch.from_arrays([pa.array([n[0]]), pa.array([n[1]])], names=["plain", "marked"])
-
     fold5 = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(3))
-    learned = rows.where(fold5 != 0)
-    there = learned.mapInArrow(sizes_of, "plain long, marked long").agg(F.coalesce(F.sum("plain"), F.lit(0)), F.coalesce(F.sum("marked"), F.lit(0))).first()
-    shares = span_shares(*there)
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = []
-            for doc, toxic, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for k, (w, y) in enumerate(cut(text, sent.value if toxic else set())):
-                    if xxhash.xxh3_64_intdigest(f"span {doc} {k}") < shares[max(y)] * 2**64:
-                        kept.append((w, y))
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.list_(pa.string())), pa.array([y for _, y in kept], pa.list_(pa.int32()))], names=["w", "y"])
-
-    train = learned.mapInArrow(spans, "w array<string>, y array<int>").toArrow().to_pylist()
-    f = train_field([(r["w"], np.array(r["y"])) for r in train])
+    f = train_on(rows.where(fold5 != 0), marks)
     with_field = spark.sparkContext.broadcast(f)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
