@@ -6,7 +6,9 @@ all vectors query every shard: a shard's queries are dealt to a bounded number o
 once and takes the queries batch by batch. A query whose whole beam lies above the threshold searches again with a beam twice as wide; and in every
 batch an audit compares a sample of queries with brute force and doubles the beam of all until its recall
 passes, both over all pairs and averaged over queries with a neighbour, without hits of vectors on themselves (a beam
-as wide as the shard is brute force, so it ends). Found pairs are verified by cosine in double
+as wide as the shard is brute force, so it ends). As a sample may have no pair at all, every graph is first asked for
+neighbours that are known: a sample of its vectors, each turned by a random direction until its cosine is just above the
+threshold, has to find them. The least recall of these audits is returned beside the links. Found pairs are verified by cosine in double
 precision. Links leave a task as counts and spanning forests, never as all pairs.
 
 Defined cases: vectors that are null, empty or zero, or hold null, NaN or infinite components, link with nothing;
@@ -34,6 +36,8 @@ LEAST_SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 40_000, 20_000
 SHARD_BYTES, STREAMS, QUERY_CELLS = 96 << 20, 64, 16 << 20
 NEIGHBOURS, BUILD_BEAM, BEAM = 16, 40, 24
 AUDIT_QUERIES, AUDIT_RECALL = 200, 0.99
+#: Planted neighbours have a cosine that much above the threshold.
+PLANTED_ABOVE = 0.005
 _SLACK = 1e-4  # single-precision searches keep candidates this far below the threshold for the exact check
 
 
@@ -236,6 +240,29 @@ def audited_beam(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, own: n
         return beam
 
 
+def turned(x: np.ndarray, cosine: float, seed: int = 0) -> np.ndarray:
+    """Unit vectors at that cosine to the rows of ``x``, each in a random direction."""
+    noise = np.random.default_rng([seed, x.shape[1], 7919]).normal(size=x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
+    return (cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * noise).astype(np.float32)
+
+
+def planted_beam(g: Graph, least: float, beam: int = BEAM) -> tuple[int, float]:
+    """The narrowest beam that finds known neighbours just above ``least``, and the share that it finds."""
+    n = len(g.x)
+    if g.x.shape[1] < 2:  # no other direction
+        return beam, 1.0
+    own = np.unique(np.linspace(0, n - 1, min(n, AUDIT_QUERIES)).astype(int))
+    q = turned(g.x[own].astype(np.float64), min(1.0, least + PLANTED_ABOVE))
+    while True:
+        r, i = g.pairs_above(q, least, beam)
+        recall = float((own[r] == i).sum()) / len(own)
+        if recall >= AUDIT_RECALL or beam * 2 >= n:
+            return beam, recall
+        beam *= 2
+
+
 def _places(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Where each of ``own`` is in ``keys`` (distinct), or -1."""
     order = np.argsort(keys)
@@ -260,7 +287,7 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: int = LEAST_SHARDS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding; other columns are ignored)."""
+    """(vec_id, n_links, component_id, kept, recall) for every row of ``vectors`` (vec_id, embedding; other columns are ignored)."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     v = v.withColumn("k", F.when(F.coalesce(F.col("e").isNotNull() & fine, F.lit(False)), F.xxhash64("e")))
@@ -285,7 +312,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
     for_stream = graphs.select("dim", "shard", every(blocks).alias("block"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("array<double>").alias("e"), "graph")
     queries = dealt.select("dim", every(shards).alias("shard"), "block", F.lit(1).alias("kind"), "k", "e", F.lit(None).cast("binary").alias("graph"))
     streams = for_stream.unionByName(queries).repartition(min(10_000, shards * blocks), "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "kind")
-    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("beam", pa.int32())])
+    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("beam", pa.int32()), ("recall", pa.float64())])
 
     def query(graph: Graph, norm: np.ndarray, x: np.ndarray, keys: np.ndarray, copies: np.ndarray, own: np.ndarray, y: np.ndarray, beam: int) -> tuple[pa.RecordBatch, int]:
         y = _scaled(y)
@@ -307,7 +334,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
         has = np.flatnonzero(links)
         a, b = forest
         m, e = len(has), len(a)
-        cols = [pa.array(np.concatenate([own[has], a])), pa.array([None] * m + b.tolist(), pa.int64()), pa.array(links[has].tolist() + [None] * e, pa.int64()), pa.array([beam] * (m + e), pa.int32())]
+        cols = [pa.array(np.concatenate([own[has], a])), pa.array([None] * m + b.tolist(), pa.int64()), pa.array(links[has].tolist() + [None] * e, pa.int64()), pa.array([beam] * (m + e), pa.int32()), pa.array([None] * (m + e), pa.float64())]
         return pa.RecordBatch.from_arrays(cols, schema=out_schema), beam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,13 +350,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
                     layers, top, x, norm, keys, copies = pickle.loads(part.column("graph")[0].as_py())
                     graph = Graph.__new__(Graph)
                     graph.x, graph.layers, graph.top = (x / norm[:, None]).astype(np.float32), layers, top
-                    held, beam = (tuple(c[a] for c in names[:3]), (graph, norm, x, keys, copies)), BEAM
+                    held = tuple(c[a] for c in names[:3]), (graph, norm, x, keys, copies)
+                    beam, recall = planted_beam(graph, cosine - _SLACK)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, beam, recall), out_schema.types, strict=True)], schema=out_schema)
                 elif held is not None and held[0] == tuple(c[a] for c in names[:3]):  # a shard may have no vector of this length
                     out, beam = query(*held[1], part.column("k").to_numpy(zero_copy_only=False), _matrix(part.column("e")), beam)
                     yield out
 
-    found = stage(streams.mapInArrow(run, "a long, b long, links long, beam int"), "vector-links")
+    found = stage(streams.mapInArrow(run, "a long, b long, links long, beam int, recall double"), "vector-links")
     unstage(graphs)
+    recall = found.agg(F.coalesce(F.min("recall"), F.lit(1.0))).first()[0]
     counts = found.where("links is not null").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
     reach = components(found.where("b is not null").select("a", "b"))
     c = classes.select("k", "copies", "low").join(counts, "k", "left").join(reach.select(F.col("node").alias("k"), F.col("component").alias("c")), "k", "left")
@@ -338,7 +368,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
     c = stage(c.join(least, "c").select("k", "n_links", "component_id"), "vector-components")
     out = slim.join(c, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("vec_id")).otherwise(F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(recall).alias("recall"))
 
 
 def op10_embeddings(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from oppengine.llm.common import components
+from oppengine.llm import embeddings
 from oppengine.llm.embeddings import Graph, _places, audited_pairs, near_duplicates, op10_embeddings
 from oppengine.llm.jaccard import Region, one_of_each, op9_jaccard, shingles, signatures, similar_documents, size_groups
 
@@ -281,3 +282,28 @@ def test_large_regions_are_settled_by_pivots(spark):
         got = [(r.a, r.b) for r in region_links(df, 85, block_rows=block).collect()]
         assert groups(range(len(sets)), got) == want
     assert len(set(want.values())) > 2 and region_links(df.where(F.lit(False)), 85).count() == 0
+
+
+def test_rare_pairs_over_many_shards_and_their_recall(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = embeddings.turned(x[:12], 0.92, seed=1)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near.astype(float)]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = near_duplicates(df, least_shards=16, block_rows=500).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(vectors_by_hand(rows))
+    assert {r.vec_id for r in got if r.n_links} == {*range(12), *range(3000, 3012)} and {r.recall for r in got} <= {got[0].recall} and got[0].recall >= 0.99
+
+
+def test_known_neighbours_are_asked_for_where_a_sample_has_none():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2600, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    q = embeddings.turned(x[:50].astype(float), 0.905)
+    assert np.allclose((q * x[:50]).sum(1), 0.905, atol=1e-5) and np.allclose(np.linalg.norm(q, axis=1), 1, atol=1e-5)
+    assert embeddings.audited_beam(Misses(x), x[2000:2100], 0.9, 24, np.arange(2000, 2100)) == 24  # no pair, so nothing was measured
+    beam, recall = embeddings.planted_beam(Misses(x), 0.9)
+    assert beam == 96 and recall >= 0.99
+    assert embeddings.planted_beam(Graph(x), 0.9)[1] >= 0.99
+    assert embeddings.planted_beam(Graph(x[:1]), 0.9)[1] == 1.0
