@@ -62,7 +62,8 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, depth: int = DEPTH, pages: i
 
     ``seeds`` is (seed, url), ``edges`` is (from_url, to_url, position). ``depth`` joins, each over the frontier
     only; what is visited is staged after each, so that no join is computed twice. With ``pages``, each seed visits so
-    many pages at most, in that order. If seeds have a ``domain``, only links are followed whose ``to_host`` contains it.
+    many pages at most, in that order; without, ``parent_order`` counts the pages of one depth only, so that no window
+    sees all that was visited. If seeds have a ``domain``, only links are followed whose ``to_host`` contains it.
     """
     domain = [c for c in ("domain",) if c in seeds.columns]
     links = edges.select("from_url", F.col("to_url").alias("url"), "position", *["to_host" for _ in domain])
@@ -72,11 +73,13 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, depth: int = DEPTH, pages: i
         out = _inside(frontier.select("seed", *domain, F.col("url").alias("from_url"), F.col("_nth").alias("parent_order")).join(links, "from_url"))
         out = out.join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
         first = out.groupBy("seed", "url", *domain).agg(F.min(F.struct("parent_order", "position")).alias("m")).select("seed", "url", *domain, F.lit(d).alias("depth"), F.col("m.parent_order").alias("parent_order"), F.col("m.position").alias("position"))
-        visited = visited.unionByName(first)
+        before, visited = visited, visited.unionByName(first)
         w = Window.partitionBy("seed").orderBy("depth", "parent_order", "position", "url")
-        ordered = visited.withColumn("_nth", F.row_number().over(w).cast("long"))
-        if pages is not None:
-            ordered = ordered.where(F.col("_nth") <= pages)
+        nth = F.row_number().over(w).cast("long").alias("_nth")
+        if pages is None:
+            ordered = before.withColumn("_nth", F.lit(None).cast("long")).unionByName(first.select("*", nth))
+        else:
+            ordered = visited.select("*", nth).where(F.col("_nth") <= pages)
         ordered = staged(ordered, f"crawled-{d}")
         visited, frontier = ordered.drop("_nth"), ordered.where(F.col("depth") == d)
     return visited

@@ -15,8 +15,17 @@ def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return target.join(source.select(key), key, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
 
 
-def update_by_key(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Sparse update: non-null fields of ``changes`` replace those of the row with the same key; other keys are ignored."""
+#: The fields of an organisation that can be read and changed.
+ORG_FIELDS = ["id", "name", "ein", "city", "state", "mission", "services", "annual_income", "staff_count", "volunteer_count", "website", "ai_system_prompt", "ai_user_prompt"]
+
+
+def update_by_key(target: DataFrame, changes: DataFrame, key: str, allowed: list[str] | None = None) -> DataFrame:
+    """Sparse update: non-null fields of ``changes`` replace those of the row with the same key; other keys are ignored.
+
+    With ``allowed``, only those fields change, and only they and the key come out.
+    """
+    if allowed is not None:
+        target = target.select(*[c for c in target.columns if c == key or c in allowed])
     cols = [c for c in changes.columns if c != key and c in target.columns]
     if not cols:
         raise ValueError("nothing to update")

@@ -1040,3 +1040,60 @@ def _(spark, d):
     pages = table(spark, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
     out = extract.extract(pages, thin_extractor, extract.rule_extractor)
     return out.select("page_id", "error", "record.*")
+
+
+# --- whole endpoints and further forms ----------------------------------------------------------------------------
+@query("results_endpoint", f"""
+WITH r AS (SELECT url AS fund_url, 'Page ' || page_id AS fund_name, CASE WHEN page_id % 3 = 0 THEN 'Eligible' END AS eligibility, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (page_id * 7 % 100), '%Y-%m-%d %H:%M:%S') AS t, page_id AS n, {sql_norm('url')} AS k FROM pages
+  UNION ALL SELECT url || '/', 'Again ' || page_id, 'Low Match', strftime(TIMESTAMP '2024-01-02' + INTERVAL 1 HOUR * (page_id * 11 % 90), '%Y-%m-%d %H:%M:%S'), 1000000 + page_id, {sql_norm("(url || '/')")} FROM pages WHERE page_id % 2 = 0 AND url NOT LIKE '%?%' AND url NOT LIKE '%#%'),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY t DESC, n DESC) = 1)
+SELECT '{{"fund_url":"' || fund_url || '","fund_name":"' || fund_name || '"' || coalesce(',"eligibility":"' || eligibility || '"', '') || ',"extraction_timestamp":"' || t || '","error":""}}' AS record FROM l""")
+def _(spark, d):
+    """Stored results as they are read: the contract's columns, the newest record of each address, as JSON."""
+    from ..schema import conform
+    from ..sources.tables import as_json
+
+    p = table(spark, d, "pages").select("page_id", "url")
+    at = lambda start, hours: F.date_format(F.lit(start).cast("timestamp") + F.make_dt_interval(F.lit(0), hours.cast("int")), "yyyy-MM-dd HH:mm:ss")
+    first = p.select(F.col("url").alias("fund_url"), F.concat(F.lit("Page "), "page_id").alias("fund_name"), F.when(F.col("page_id") % 3 == 0, "Eligible").alias("eligibility"), at("2024-01-01", F.col("page_id") * 7 % 100).alias("extraction_timestamp"), F.col("page_id").alias("n"))
+    plain = (F.col("page_id") % 2 == 0) & ~F.col("url").contains("?") & ~F.col("url").contains("#")
+    again = p.where(plain).select(F.concat("url", F.lit("/")).alias("fund_url"), F.concat(F.lit("Again "), "page_id").alias("fund_name"), F.lit("Low Match").alias("eligibility"), at("2024-01-02", F.col("page_id") * 11 % 90).alias("extraction_timestamp"), (F.col("page_id") + 1_000_000).alias("n"))
+    rows = conform(first.unionByName(again), ["fund_url", "fund_name", "eligibility", "extraction_timestamp", "error", "n"])
+    newest = latest.latest_by(rows, U.normalize_url(rows["fund_url"]), M.parse_timestamp(rows["extraction_timestamp"]), rows["n"].cast("long"))
+    return as_json(newest.select("fund_url", "fund_name", "eligibility", "extraction_timestamp", "error"))
+
+
+@query("update_allowed", f"SELECT s.s_suppkey, coalesce(u.s_name, s.s_name) AS s_name, s.s_acctbal FROM supplier s LEFT JOIN ({_UPDATES}) u USING (s_suppkey)")
+def _(spark, d):
+    """An update with more fields than may be changed; only those that may be read come out."""
+    changes = _updates(spark, d).withColumn("s_acctbal", F.lit(None).cast("double"))
+    return mutate.update_by_key(table(spark, d, "supplier"), changes, "s_suppkey", ["s_name", "s_acctbal"])
+
+
+_FORMS = [
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", "second"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ", "second"), ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M", "minute"), ("yyyy-MM-dd", "%Y-%m-%d", "day"),
+    ("yyyyMMdd", "%Y%m%d", "day"), ("yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'", "%Y-%m-%dT%H:%M:%S.%g+00:00", "millisecond"),
+]
+
+
+@query("timestamp_forms", "SELECT event_id, CASE event_id % 7 " + " ".join(f"WHEN {i} THEN date_trunc('{part}', ts)" for i, (_, _, part) in enumerate(_FORMS)) + " END AS read FROM events")
+def _(spark, d):
+    """Times written in six forms, and as no time, read back."""
+    e = table(spark, d, "events")
+    text = F.lit("soon")
+    for i, (form, _, _) in enumerate(_FORMS):
+        text = F.when(F.col("event_id") % 7 == i, F.date_format(F.col("ts").cast("timestamp"), form)).otherwise(text)
+    return e.select("event_id", M.parse_timestamp(text).alias("read"))
+
+
+@query("folder_texts", """
+SELECT s.domain AS domain, string_agg(E'\n=== ' || s.name || E'.txt ===\n' || s.text, E'\n' ORDER BY s.name || '.txt') AS text, CAST(count(*) AS INTEGER) AS files FROM (
+  SELECT 'c' || c_nationkey || '.org' AS domain, 'c' || c_nationkey || '_' || c_custkey AS name, 'Name: ' || c_name || E'\n\n' || c_mktsegment AS text FROM customer WHERE c_custkey % 5 = 0) s GROUP BY s.domain""")
+def _(spark, d):
+    """Page texts saved as files by domain, and each domain's files read as one text."""
+    from ..sources.tables import combined_text, read_text_folder, write_page_texts
+
+    c = table(spark, d, "customer").where("c_custkey % 5 = 0")
+    path = shared_path(spark, "page-texts")
+    write_page_texts(c.select(F.concat(F.lit("c"), "c_nationkey", F.lit(".org")).alias("domain"), F.concat(F.lit("c"), "c_nationkey", F.lit("_"), "c_custkey").alias("name"), F.concat(F.lit("Name: "), "c_name", F.lit("\n\n"), "c_mktsegment").alias("text")), path)
+    return combined_text(read_text_folder(spark, path)).select(F.substring_index("folder", "/", -1).alias("domain"), "text", "files")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,16 +94,21 @@ def read_api_pages(spark: SparkSession, path: str, schema: T.StructType, records
 
 
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of each .txt file under ``path``."""
-    return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.substring_index(F.input_file_name(), "/", -1).alias("name"), F.col("value").alias("text"))
+    """(name, text, folder) of each .txt file under ``path``, in any depth; Spark's readers skip empty files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("content").cast("string").alias("text"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
 
 
 def combined_text(files: DataFrame) -> DataFrame:
-    """(text, files, url) of one folder's files in name order, each under a header; the URL comes from the first name with "_"."""
+    """(folder, text, files, url): each folder's files in name order, each under a header; the URL comes from the first name with "_".
+
+    A folder is one site's saved pages, as many as a crawl fetches (``crawl.BEST``), so its text fits in a row.
+    """
     parts = F.array_sort(F.collect_list(F.struct("name", "text")))
     named = F.filter("p", lambda x: x["name"].contains("_"))
-    return files.groupBy().agg(parts.alias("p")).select(
-        F.array_join(F.transform("p", lambda x: F.concat(F.lit("\n=== "), x["name"], F.lit(" ===\n"), x["text"])), "\n").alias("text"), F.size("p").alias("files"),
+    folder = F.col("folder") if "folder" in files.columns else F.lit("").alias("folder")
+    return files.select(folder, "name", "text").groupBy("folder").agg(parts.alias("p")).select(
+        "folder", F.array_join(F.transform("p", lambda x: F.concat(F.lit("\n=== "), x["name"], F.lit(" ===\n"), x["text"])), "\n").alias("text"), F.size("p").alias("files"),
         F.when(F.size(named) > 0, F.concat(F.lit("https://"), F.substring_index(named[0]["name"], "_", 1))).otherwise("").alias("url"),
     )
 
@@ -119,13 +127,30 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def write_fund_csv(df: DataFrame, path: str, domain: Column) -> None:
-    """One folder per domain, with header."""
-    df.withColumn("domain", domain).repartition("domain").write.mode("append").partitionBy("domain").option("header", True).option("escape", '"').csv(path)
-
-
-def write_page_texts(df: DataFrame, path: str) -> None:
-    """(domain, text) as text files in one folder per domain."""
-    df.select("domain", F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.mode("append").partitionBy("domain").text(path)
+    """One folder per domain, with header; a domain with many rows is written by several tasks."""
+    df.withColumn("domain", domain).hint("rebalance", "domain").write.mode("append").partitionBy("domain").option("header", True).option("escape", '"').csv(path)
+
+
+def write_page_texts(df: DataFrame, path: str) -> int:
+    """Each page of ``df`` (domain, name, text) as the file ``<domain>/<name>.txt`` with exactly its text; how many there are.
+
+    Tasks write files that they alone have, so a repeated task writes the same ones again; of pages of one name, one is
+    kept. The folder must be one that Arrow opens.
+    """
+    root = qualified(df.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for folder, name, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                store.create_dir(f"{base}/{folder}", recursive=True)
+                with store.open_output_stream(f"{base}/{folder}/{name}.txt") as out:
+                    out.write((text or "").encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    plain = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[/\\x00]", "_")
+    one = df.select(plain("domain").alias("domain"), plain("name").alias("name"), "text").groupBy("domain", "name").agg(F.min("text").alias("text"))
+    return one.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_export(df: DataFrame, path: str, columns: list[str] = EXPORT_COLUMNS) -> None:

@@ -228,10 +228,16 @@ def test_writers(spark, tmp_path):
     tables.write_fund_csv(one, str(tmp_path / "funds"), F.regexp_extract("url", "//([^/]+)", 1))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "funds")).orderBy("domain").collect()
     assert [(r.domain, r.name) for r in back] == [("a.org", 'Fund "A", B'), ("grants.gov", None)]
-    texts = spark.createDataFrame([("a.org", "one\ntwo"), ("b.org", "three")], "domain string, text string")
-    tables.write_page_texts(texts, str(tmp_path / "texts"))
-    files = tables.read_text_folder(spark, str(tmp_path / "texts" / "domain=a.org"))
-    assert [r.text for r in files.collect()] == ["one two\n"]
+    texts = spark.createDataFrame([("a.org", "p", "one\r\ntwo\n"), ("a.org", "q r+ü%", "é"), ("a.org", "void", None), ("b.org", "x/y", "three")], "domain string, name string, text string")
+    assert tables.write_page_texts(texts, str(tmp_path / "texts")) == 4
+    assert (tmp_path / "texts" / "a.org" / "void.txt").read_bytes() == b""
+    assert (tmp_path / "texts" / "a.org" / "p.txt").read_bytes() == b"one\r\ntwo\n"
+    files = tables.read_text_folder(spark, str(tmp_path / "texts"))
+    assert sorted((r.folder.rsplit("/", 1)[1], r.name, r.text) for r in files.collect()) == [("a.org", "p.txt", "one\r\ntwo\n"), ("a.org", "q r+ü%.txt", "é"), ("b.org", "x_y.txt", "three")]
+    assert sorted((r.files, r.text) for r in tables.combined_text(files).collect())[0] == (1, "\n=== x_y.txt ===\nthree")
+    assert sorted(r.domain for r in tables.saved_domains(files.select(F.concat("folder", F.lit("/"), "name").alias("path"))).collect()) == ["a.org", "b.org"]
+    tables.write_page_texts(texts.select(F.upper("domain").alias("domain"), "name", "text"), str(tmp_path / "texts"))
+    assert sorted(r.domain for r in tables.saved_domains(spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "texts"))).collect()) == ["a.org", "b.org"]
     listed = discovery.url_list(one, F.lit("2025-01-01")).orderBy("fund_url").collect()
     assert [(r.fund_url, r.source) for r in listed] == [("https://a.org/grants", "foundation"), ("https://grants.gov/x", "federal")]
     ids = [r.id for r in mutate.with_id(one).collect()]
@@ -280,7 +286,7 @@ def test_plans(spark, sf_dir):
     assert "WindowGroupLimit" in plan(q["latest_by_key"](spark, sf_dir))
     assert "LeftAnti" in plan(q["anti_processed"](spark, sf_dir))
     assert "TakeOrderedAndProject" in plan(q["recent_runs"](spark, sf_dir))
-    native = [n for n in q if not n.startswith("stream_") and n not in ("page_text", "extract_links", "extract_records", "bfs_bounded")]
+    native = [n for n in q if not n.startswith(("stream_", "paged_")) and n not in ("page_text", "extract_links", "extract_records", "extract_with_fallback", "lateral_links", "bfs_bounded")]
     for n in native:
         assert "Python" not in plan(q[n](spark, sf_dir)) and "Pandas" not in plan(q[n](spark, sf_dir)), n
     assert "PushedFilters: [IsNotNull(ts)" in plan(q["incremental_since"](spark, sf_dir))
