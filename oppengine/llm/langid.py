@@ -2,7 +2,7 @@
 
 One model per learned language over four-symbol windows of lower-cased letters (any run of other characters is one
 blank). All models share one table per order: a sorted array of 64-bit n-gram keys (four 16-bit symbols, so the key
-is a collision-free hash) and a row of log-probabilities, one per language. A text gets the language with the lowest
+is a collision-free hash; letters beyond 16 bits are all one symbol) and a row of log-probabilities, one per language. A text gets the language with the lowest
 cross-entropy per symbol. A calibration fold gives the temperature that turns cross-entropies into a probability,
 and, per language, the conformal bound on standardised cross-entropy beyond which a text is rejected. Temperature and
 standardisation are fitted on the sampled rows of that fold; the bound is an exact rank among all of its rows.
@@ -36,6 +36,8 @@ REJECT_RATE = 0.001
 #: Right shifts of the 64-bit keys of scores by round of the selection, so at most 8192 counts a language and round.
 _SHIFTS = (51, 38, 25, 12, 0)
 _CHUNK = 400_000
+#: Symbols that are looked up together, with a number for each language.
+_PIECE = 1_000_000
 _alpha: np.ndarray | None = None
 
 
@@ -74,32 +76,42 @@ class Model:
     bounds: np.ndarray | None = None  # per language: mean, variance per symbol, variance besides, largest z
 
     def entropies(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Cross-entropy in nats a symbol for each text (rows of ``symbols``) and language."""
+        """Cross-entropy in nats a symbol for each text (rows of ``symbols``) and language; a piece of symbols at a time."""
         s = np.concatenate(rows)
-        starts = np.cumsum([0, *(len(r) for r in rows[:-1])])
-        valid = np.ones(len(s), bool)
-        for i in range(ORDER - 1):
-            valid[starts + i] = False
-        total = np.zeros((len(s), len(self.languages)), np.float32)
-        todo = np.nonzero(valid)[0]
+        lengths = np.array([len(r) for r in rows])
+        starts = np.cumsum(lengths) - lengths
+        sums = np.zeros((len(rows), len(self.languages)))
+        for a in range(0, len(s), _PIECE):
+            z = min(a + _PIECE, len(s))
+            i = np.searchsorted(starts, a, side="right") - 1, np.searchsorted(starts, z)  # the rows that have symbols here
+            valid = np.ones(z - a, bool)
+            for k in range(ORDER - 1):
+                at = starts[i[0] : i[1]] + k - a
+                valid[at[(at >= 0) & (at < z - a)]] = False
+            logs = self._log(s, np.nonzero(valid)[0] + a, a, z)
+            sums[i[0] : i[1]] += np.add.reduceat(logs, np.maximum(starts[i[0] : i[1]] - a, 0), axis=0)
+        return -sums / np.maximum(1, lengths - ORDER + 1)[:, None]
+
+    def _log(self, s: np.ndarray, todo: np.ndarray, a: int, z: int) -> np.ndarray:
+        """Log-probabilities by language of the symbols ``todo`` between ``a`` and ``z``, 0 for the others."""
+        total = np.zeros((z - a, len(self.languages)), np.float32)
         for order in range(ORDER, 0, -1):
             known, logp = self.grams[order]
-            k = keys(s, order)[todo] if order == ORDER else _sub(s, todo, order)
+            k = _sub(s, todo, order)
             i = np.minimum(np.searchsorted(known, k), len(known) - 1)
             hit = known[i] == k
-            total[todo[hit]] += logp[i[hit]]
+            total[todo[hit] - a] += logp[i[hit]]
             todo = todo[~hit]
             if not len(todo):
                 break
             if order == 1:
-                total[todo] += self.floor
+                total[todo - a] += self.floor
                 break
             known, weight = self.backoff[order - 1]
             k = _sub(s, todo - 1, order - 1)
             i = np.minimum(np.searchsorted(known, k), len(known) - 1)
-            total[todo] += np.where((known[i] == k)[:, None], weight[i], 0)
-        n = np.array([max(1, len(r) - ORDER + 1) for r in rows])
-        return -np.add.reduceat(total.astype(np.float64), starts, axis=0) / n[:, None]
+            total[todo - a] += np.where((known[i] == k)[:, None], weight[i], 0)
+        return total.astype(np.float64)
 
 
 def _sub(s: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:

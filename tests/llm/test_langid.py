@@ -122,3 +122,76 @@ def test_bound_is_a_rank_among_all_rows_of_the_fold(spark):
     got = {r.doc_id: r.accepted for r in detect(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string"), m, ["doc_id"]).collect()}
     assert between.any(), z
     assert not any(got[i] for i in np.flatnonzero(between))
+
+
+class Recursion:
+    """The textbook recursion with its sums made once."""
+
+    def __init__(self, texts):
+        by = {ORDER: {}}
+        for t in texts:
+            s = tuple(symbols(t).tolist())
+            for i in range(ORDER - 1, len(s)):
+                g = s[i - ORDER + 1 : i + 1]
+                by[ORDER][g] = by[ORDER].get(g, 0) + 1
+        for n in range(ORDER - 1, 0, -1):
+            by[n] = {}
+            for g in by[n + 1]:
+                by[n][g[1:]] = by[n].get(g[1:], 0) + 1
+        self.by, self.total, self.kinds, self.d, self.known = by, {}, {}, {}, {}
+        for n, c in by.items():
+            n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            self.d[n] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            for g, v in c.items():
+                self.total[g[:-1]] = self.total.get(g[:-1], 0) + v
+                self.kinds[g[:-1]] = self.kinds.get(g[:-1], 0) + 1
+
+    def p(self, g):
+        if not g:
+            return 1 / (len(self.by[1]) + 1)
+        if g not in self.known:
+            total, d, lower = self.total.get(g[:-1], 0), self.d[len(g)], self.p(g[1:])
+            self.known[g] = max(self.by[len(g)].get(g, 0) - d, 0) / total + d * self.kinds[g[:-1]] / total * lower if total else lower
+        return self.known[g]
+
+    def entropy(self, s):
+        return -sum(math.log(self.p(s[i - ORDER + 1 : i + 1])) for i in range(ORDER - 1, len(s))) / max(1, len(s) - ORDER + 1)
+
+
+def test_query_by_hand(spark, sf_dir):
+    import zlib
+
+    docs = {r.doc_id: (r.text, r.lang, zlib.crc32(str(r.doc_id).encode()) % 5) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    learned = sorted({lang for t, lang, f in docs.values() if lang and t and f not in (0, CALIBRATION_FOLD)})
+    models = [Recursion([t for t, lang, f in docs.values() if lang == own and t and f not in (0, CALIBRATION_FOLD) and symbols(t).any()]) for own in learned]
+    h = {i: [m.entropy(tuple(symbols(t).tolist())) for m in models] for i, (t, _, _) in docs.items() if t and symbols(t).any()}
+    n = {i: len(symbols(docs[i][0])) - ORDER + 1 for i in h}
+
+    def posterior(i, t):
+        x = [-v * math.sqrt(n[i]) * t for v in h[i]]
+        return [math.exp(v - max(x)) / sum(math.exp(w - max(x)) for w in x) for v in x]
+
+    held_back = [i for i, (_, lang, f) in docs.items() if f == CALIBRATION_FOLD and lang in learned and i in h]
+    loss = lambda t: -sum(math.log(max(posterior(i, t)[learned.index(docs[i][1])], 1e-12)) for i in held_back) / len(held_back)
+    t = min((loss(2.0**k), 2.0**k) for k in range(-6, 7))[1]
+    for r in op2_langid(spark, sf_dir).collect():
+        text, _, f = docs[r.doc_id]
+        assert r.held_out == (f == 0)
+        if r.doc_id not in h:
+            assert (r.lang_pred, r.score) == ("und", 0)
+        else:
+            best = min(range(len(learned)), key=lambda j: h[r.doc_id][j])
+            assert r.lang_pred == learned[best] and abs(r.score - posterior(r.doc_id, t)[best]) < 1e-3 and abs(r.cross_entropy - h[r.doc_id][best]) < 1e-4
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    from oppengine.llm import langid
+
+    counts = {lang: np.unique(keys(symbols(text * 2), ORDER)[ORDER - 1 :], return_counts=True) for lang, text in (("en", EN), ("de", DE), ("fr", FR))}
+    m = kneser_ney(counts)
+    rows = [symbols(t) for t in (EN * 3, "a", "über " * 70, DE, "x y", FR * 2)]
+    whole = m.entropies(rows)
+    assert np.allclose(whole, [m.entropies([r])[0] for r in rows])
+    for piece in (1, 3, 7, 50, 333):
+        monkeypatch.setattr(langid, "_PIECE", piece)
+        assert np.allclose(m.entropies(rows), whole, atol=1e-5), piece
