@@ -54,11 +54,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = later_lines(docs)
     own = beside(docs, docs.columns, docs["doc_id"].cast("long").alias("own_id"), docs["text"].cast("string").alias("own_text"))
     own = own.withColumn("own_rid", F.xxhash64(F.coalesce(F.col("_keep")["doc_id"].cast("string"), F.lit("null")), "own_text"))
+    own = own.select("_keep", "own_id", "own_rid", F.split("own_text", "\n", -1).alias("lines"))  # below the join: split once, not once for each line
     got = own.join(gone, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_rid") == F.col("rid")), "left")
-    lines = F.split("own_text", "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda l, i: F.when(~F.array_contains("gone", i), l)), lambda l: l.isNotNull()), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("own_text")).otherwise(kept)
-    counts = F.when(F.col("own_text").isNotNull(), F.size(lines)).otherwise(0).cast("long").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_removed")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # by hash, so in time proportional to the lines
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(kept)
+    counts = F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(0).cast("long").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_removed")
     others = [c for c in docs.columns if c.lower() not in ("_n_lines", "_n_removed")]
     return got.select(*[text.alias(c) if c.lower() == "text" else F.col("_keep")[c].alias(c) for c in others], *counts)
 

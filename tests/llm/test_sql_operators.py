@@ -57,6 +57,15 @@ def test_line_dedup_edges(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_long_text(spark):
+    import time
+
+    n, began = 60_000, time.time()
+    df = spark.createDataFrame([(1, "\n".join(f"line {i % n}" for i in range(2 * n))), (2, "\n".join(f"line {i}" for i in range(n)))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
+    assert rows[1].text == "\n".join(f"line {i}" for i in range(n)) and rows[1]["_n_removed"] == n and rows[2].text == "" and time.time() - began < 60
+
+
 # --- URL filters
 def test_url_edges(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/x?q#f", "https://example.com", "https://example.com/", "https://a.b.net/es/1", "https://net/fr/", "x://h?q/en/", "https://notcom/", "https://É.COM/Z", "http://u@h.org:80/p;q"]
