@@ -85,11 +85,17 @@ def rss_urls(items: DataFrame, since_date: str | None = None) -> DataFrame:
     return out.select(F.trim("link").alias("url"))
 
 
-def search_hit_urls(html: DataFrame) -> DataFrame:
-    """(url) of result links in search pages (html): absolute ones, and the decoded target of redirects."""
+def search_hits(pages: DataFrame) -> DataFrame:
+    """``pages`` (…, html) as (…, url) of the result links in them: absolute ones, and the decoded target of redirects."""
+    others = [c for c in pages.columns if c != "html"]
     href = F.explode(F.regexp_extract_all("html", F.lit('class="result__a"[^>]*href="([^"]+)"'), 1)).alias("h")
     target = F.try_url_decode(F.regexp_extract("h", "uddg=([^&]+)", 1))
-    return html.select(href).select(F.when(F.col("h").startswith("http"), F.col("h")).when(F.col("h").contains("uddg="), target).alias("url")).where("url is not null and url <> ''")
+    return pages.select(*others, href).select(*others, F.when(F.col("h").startswith("http"), F.col("h")).when(F.col("h").contains("uddg="), target).alias("url")).where("url is not null and url <> ''")
+
+
+def search_hit_urls(html: DataFrame) -> DataFrame:
+    """(url) of result links in search pages (html)."""
+    return search_hits(html.select("html"))
 
 
 def useful(urls: DataFrame) -> DataFrame:

@@ -183,8 +183,8 @@ def toggle(current: DataFrame, chosen: DataFrame, on: str) -> DataFrame:
     )
 
 
-def export_lines(df: DataFrame, columns: list[str] = EXPORT_COLUMNS) -> DataFrame:
-    """One CSV line per row; arrays are joined with ", ", absent columns are blank."""
+def export_line(df: DataFrame, columns: list[str] = EXPORT_COLUMNS) -> Column:
+    """A row of ``df`` as one CSV line; arrays are joined with ", ", absent columns are blank."""
     kinds = dict(df.dtypes)
 
     def cell(c: str) -> Column:
@@ -192,7 +192,12 @@ def export_lines(df: DataFrame, columns: list[str] = EXPORT_COLUMNS) -> DataFram
             return F.lit("")
         return F.array_join(df[c], ", ") if kinds[c].startswith("array") else df[c].cast("string")
 
-    return df.select(X.csv_line(*[cell(c) for c in columns]).alias("line"))
+    return X.csv_line(*[cell(c) for c in columns])
+
+
+def export_lines(df: DataFrame, columns: list[str] = EXPORT_COLUMNS) -> DataFrame:
+    """(line): one CSV line per row."""
+    return df.select(export_line(df, columns).alias("line"))
 
 
 #: Sections of a record's details, each with its fields, in order.

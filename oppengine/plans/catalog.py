@@ -1097,3 +1097,114 @@ def _(spark, d):
     path = shared_path(spark, "page-texts")
     write_page_texts(c.select(F.concat(F.lit("c"), "c_nationkey", F.lit(".org")).alias("domain"), F.concat(F.lit("c"), "c_nationkey", F.lit("_"), "c_custkey").alias("name"), F.concat(F.lit("Name: "), "c_name", F.lit("\n\n"), "c_mktsegment").alias("text")), path)
     return combined_text(read_text_folder(spark, path)).select(F.substring_index("folder", "/", -1).alias("domain"), "text", "files")
+
+
+@query("text_functions", """
+WITH t AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'no amount' WHEN 1 THEN '$' || c_custkey || ',500 to 7,' || (c_custkey % 900 + 100) WHEN 2 THEN 'up to 10000000 now' ELSE c_name END AS money,
+  CASE c_custkey % 4 WHEN 0 THEN 'ann.' || lower(c_mktsegment) || '@x.org' WHEN 1 THEN '_bo-' || lower(c_mktsegment) || '_jr@y.org' WHEN 2 THEN 'solo@z' ELSE 'nomail' END AS mail, c_mktsegment AS seg, c_name AS name FROM customer)
+SELECT k AS c_custkey, TRY_CAST(list_extract(regexp_extract_all(replace(money, ',', ''), '[0-9]+'), -1) AS BIGINT) AS last_amount,
+  CASE k % 4 WHEN 0 THEN 'A' || left(seg, 1) WHEN 1 THEN 'B' || left(seg, 1) WHEN 2 THEN 'S' ELSE 'N' END AS initials,
+  CASE WHEN k % 2 = 0 THEN seg || '; ' || name ELSE '' END AS joined, CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN seg || ' x' ELSE '"' || seg END AS setting,
+  seg || '|' || name AS listed, regexp_replace(seg || ' machinery', '(?i)(machin)', '<mark>\\1</mark>', 'g') AS marked, left(repeat(name, 150), 2000) AS cut, CASE WHEN k % 3 = 0 THEN 'u' || k || '.org' ELSE seg END AS fund
+FROM t""")
+def _(spark, d):
+    """Small text functions on values that reach each of their cases."""
+    k, seg, name = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_name")
+    money = F.when(k % 5 == 0, "no amount").when(k % 5 == 1, F.concat(F.lit("$"), k, F.lit(",500 to 7,"), k % 900 + 100)).when(k % 5 == 2, "up to 10000000 now").otherwise(name)
+    mail = F.when(k % 4 == 0, F.concat(F.lit("ann."), F.lower(seg), F.lit("@x.org"))).when(k % 4 == 1, F.concat(F.lit("_bo-"), F.lower(seg), F.lit("_jr@y.org"))).when(k % 4 == 2, "solo@z").otherwise("nomail")
+    setting = F.when(k % 3 == 0, "  ''  ").when(k % 3 == 1, F.concat(F.lit(" '"), seg, F.lit(" x' "))).otherwise(F.concat(F.lit('"'), seg))
+    return table(spark, d, "customer").withColumn("error_message", F.repeat(name, 150)).select(
+        k, X.last_integer(money).alias("last_amount"), X.email_initials(mail).alias("initials"), X.join_list(F.when(k % 2 == 0, F.array(seg, name))).alias("joined"), X.clean_setting(setting).alias("setting"),
+        F.array_join(X.comma_list(F.concat(F.lit(" ,"), seg, F.lit(" ,, "), name, F.lit(","))), "|").alias("listed"), X.highlight(F.concat(seg, F.lit(" machinery")), "Machin").alias("marked"), mutate.cut_error().alias("cut"),
+        extract.fund_name(F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit(" "), seg, F.lit(" "))), F.concat(F.lit("https://u"), k, F.lit(".org/x"))).alias("fund"),
+    )
+
+
+@query("row_keys", f"""
+WITH r AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS url, CASE WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN 'Name ' || page_id END AS name, CASE WHEN page_id % 9 = 3 THEN 'f' END AS folder FROM pages)
+SELECT page_id, CASE WHEN url <> '' THEN lower({sql_part('url', 1)}) || '://' || lower({sql_part('url', 2)}) || regexp_replace({sql_part('url', 3)}, '/$', '') || CASE WHEN {sql_part('url', 4)} = '' THEN '' ELSE '?' || {sql_part('url', 4)} END ELSE name END AS option_key,
+  coalesce(nullif(url, ''), name, folder, 'row-' || page_id) AS row_key FROM r WHERE url <> '' OR name IS NOT NULL OR page_id % 2 = 1""")
+def _(spark, d):
+    """Keys of rows, and of options, which have none without an address or a name."""
+    i = F.col("page_id")
+    r = table(spark, d, "pages").select("page_id", F.when(i % 3 == 0, "").otherwise(F.col("url")).alias("url"), F.when((i % 3 == 0) & (i % 2 == 0), F.concat(F.lit("Name "), i)).alias("name"), F.when(i % 9 == 3, "f").alias("folder"))
+    return r.select("page_id", latest.option_key(F.col("url"), F.col("name")).alias("option_key"), latest.row_key(F.col("url"), F.col("name"), F.col("folder"), F.lit(None).cast("string"), i).alias("row_key"))
+
+
+@query("times_and_urls", """
+SELECT event_id, CAST(ts AS DATE) AS day, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'https://e' || event_id || '.org/a?b=' || user_id END AS first_url, CASE WHEN user_id % 3 = 2 THEN 2 WHEN user_id % 3 = 1 THEN 1 ELSE 0 END AS urls,
+  CAST(greatest(0, floor(CASE WHEN user_id % 2 = 0 THEN value ELSE 50.5 END - user_id)) AS BIGINT) AS elapsed FROM events""")
+def _(spark, d):
+    """Dates of a feed read, addresses found in text, and the time that a job has taken or takes."""
+    e, u = table(spark, d, "events"), F.col("user_id") % 3
+    link = F.concat(F.lit("https://e"), "event_id", F.lit(".org/a?b="), "user_id")
+    text = F.when(u == 0, "see http:// or ftp://x.org").when(u == 1, F.concat(F.lit('("'), link, F.lit('", end)'))).otherwise(F.concat(F.lit("go "), link, F.lit(" or HTTP://x.org/'q")))
+    found = U.extract_urls(text)
+    day = M.rfc2822_date(F.concat(F.lit("Mon, "), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+    elapsed = M.elapsed_seconds(F.col("user_id"), F.when(F.col("user_id") % 2 == 0, F.col("value")), F.lit(50.5))
+    return e.select("event_id", day.alias("day"), F.try_element_at(found, F.lit(1)).alias("first_url"), F.size(found).alias("urls"), elapsed.alias("elapsed"))
+
+
+@query("simple_view", f"""
+WITH r AS (SELECT o_orderkey AS k, 'https://o' || o_orderkey || '.org' AS url, CASE o_orderkey % 4 WHEN 0 THEN 'varies' ELSE '$' || (o_orderkey % 300) || ',000 or ' || (o_orderkey % 97) || '00' END AS funding, o_orderdate, o_orderstatus, o_orderpriority AS p FROM orders)
+SELECT k AS o_orderkey, row_number() OVER (ORDER BY coalesce(list_position([{sql_in(RANKED)}], p), 999), k) AS place FROM r
+WHERE contains(url, 'o1') AND p IN ({sql_in([*RANKED, '4-NOT SPECIFIED'])}) AND (o_orderstatus = 'F' OR o_orderdate > TIMESTAMP '{AS_OF}' - INTERVAL 24 MONTH) AND (k % 4 = 0 OR (k % 97) * 100 >= 3000)""")
+def _(spark, d):
+    """The alternate filters: search in name and address as it is typed, the last number as funding, strictly later deadlines; unknown ranks last."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        k, F.concat(F.lit("https://o"), k, F.lit(".org")).alias("fund_url"), F.lit("name").alias("fund_name"), F.col("o_orderpriority").alias("eligibility"), F.lit("web").alias("discovery_source"),
+        F.when(k % 4 == 0, "varies").otherwise(F.concat(F.lit("$"), k % 300, F.lit(",000 or "), k % 97, F.lit("00"))).alias("funding_range"), F.when(F.col("o_orderstatus") == "F", "ongoing").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("deadline"),
+    )
+    kept = results.filter_results(rows, as_of=M.subtract_months(as_of(), 24), search="O1", labels=[*RANKED, "4-NOT SPECIFIED"], only_open=True, least_funding=3000, variant="simple")
+    return results.numbered(kept, results.sort_eligibility(kept["eligibility"], kept["o_orderkey"], RANKED)).select("o_orderkey", "place")
+
+
+@query("crawl_links", """
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 3 THEN url || '/pdf' ELSE 'https://www.example.com.evil.net/x' END AS href FROM pages
+WHERE page_id % 6 IN (0, 3) AND regexp_matches(url, '^https?://[^/]*example\\.com') OR page_id % 6 = 5""")
+def _(spark, d):
+    """Links that a crawl of one domain follows: absolute, with the domain anywhere in the host, and no files."""
+    i, u = F.col("page_id") % 6, F.col("url")
+    href = F.when(i == 0, u).when(i == 1, F.lit("/relative")).when(i == 2, F.concat(F.lit("https://www.example.com/"), "page_id", F.lit(".PDF"))).when(i == 3, F.concat(u, F.lit("/pdf"))).when(i == 4, "mailto:a@example.com").otherwise("https://www.example.com.evil.net/x")
+    return table(spark, d, "pages").select("page_id", href.alias("href")).where(U.crawlable(F.col("href"), "example.com"))
+
+
+@query("export_rows", """
+SELECT c_custkey, 'https://c' || c_custkey || ',"' || c_name || ' ""x""' || '","a, ' || c_mktsegment || '",,,,,,,' || CASE WHEN c_acctbal < 0 THEN '"low' || chr(10) || 'high"' ELSE '' END || ',,,,,,,,,,,,' AS line FROM customer""")
+def _(spark, d):
+    """Records as lines of the export: arrays joined, absent columns blank, quotes where they are needed."""
+    c = table(spark, d, "customer").select(
+        "c_custkey", F.concat(F.lit("https://c"), "c_custkey").alias("fund_url"), F.concat("c_name", F.lit(' "x"')).alias("fund_name"), F.array(F.lit("a"), "c_mktsegment").alias("applicant_types"),
+        F.when(F.col("c_acctbal") < 0, "low\nhigh").alias("notes"), F.lit("not exported").alias("other"),
+    )
+    first = [F.col("c_custkey")]
+    line = results.export_line(c)
+    return c.select(*first, line.alias("line"))
+
+
+@query("rows_with_metadata", "SELECT d.doc_id, d.source, l.quality AS discovery_source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def _(spark, d):
+    """Rows with the fields that discovery has stored for their key."""
+    return prepare.with_metadata(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id", F.col("quality").alias("discovery_source")), "doc_id")
+
+
+@query("search_hits", """
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://t' || page_id || '.org/a b?q=1&r=ü' END AS url FROM pages WHERE page_id % 4 < 2
+UNION ALL SELECT page_id, 'http://second.org/' || page_id FROM pages WHERE page_id % 4 = 0""")
+def _(spark, d):
+    """Result links of search pages: absolute ones, and the decoded targets of redirects."""
+    hit = lambda href: F.concat(F.lit('<a rel="n" class="result__a" data-x="1" href="'), href, F.lit('">t</a>'))
+    i, encoded = F.col("page_id") % 4, F.concat(F.lit("//d.com/l/?uddg="), F.url_encode(F.concat(F.lit("https://t"), "page_id", F.lit(".org/a b?q=1&r=ü"))), F.lit("&rut=9"))
+    html = F.when(i == 0, F.concat(hit(F.col("url")), F.lit("<p>"), hit(F.concat(F.lit("http://second.org/"), "page_id")))).when(i == 1, hit(encoded)).when(i == 2, hit(F.lit("/local"))).otherwise('<a href="https://not.a/hit">x</a>')
+    return discovery.search_hits(table(spark, d, "pages").select("page_id", html.alias("html")))
+
+
+@query("web_queries", """
+WITH b AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'nonprofit grants' ELSE s_name END AS base, CASE WHEN s_suppkey % 2 = 0 THEN ' CA' ELSE '' END AS st FROM supplier)
+SELECT k AS s_suppkey, base || ' grants 2026 open applications nonprofit' || st || ' | ' || base || ' foundation grants 501c3 RFP deadline' || st || ' | ' || base || ' grant opportunities apply 2026' || st || ' | '
+  || base || ' grants funding available nonprofit' || st || ' site:.org | ' || base || ' grants 2026 site:.gov OR site:.org' AS queries FROM b""")
+def _(spark, d):
+    """The five rotating queries, with defaults for missing keywords and states."""
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(X.search_queries(F.when(k % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "s_name")), F.when(k % 2 == 0, "CA")), " | ").alias("queries"))
