@@ -66,42 +66,48 @@ def live_marks(changes: DataFrame) -> DataFrame:
 
 
 class _Store(StatefulProcessor):
-    """Pages in order of arrival. ``places`` has each page's number, ``queue`` the page of each number that is still taken."""
+    """Pages in order of arrival: ``places`` has each page's number and time, ``bodies`` what was fetched.
+
+    A micro-batch reads a store's places once (``pages`` rows at most) and only those bodies that it serves, and writes
+    what has changed in the end.
+    """
 
     def __init__(self, pages: int, hours: float):
         self.pages, self.us = pages, int(hours * 3_600_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.places = handle.getMapState("places", "url string", "number long, us long, body string")
-        self.queue = handle.getMapState("queue", "number long", "url string")
-        self.ends = handle.getValueState("ends", "first long, next long, size long")
+        self.places = handle.getMapState("places", "url string", "number long, us long")
+        self.bodies = handle.getMapState("bodies", "url string", "body string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first, next_, size = self.ends.get() if self.ends.exists() else (0, 0, 0)
+        before = {u: tuple(at) for (u,), at in self.places.iterator()}
+        held = dict(sorted(before.items(), key=lambda x: x[1][0]))  # the first of a dictionary came first
+        next_ = max((number for number, _ in before.values()), default=-1) + 1
+        served: dict[str, str] = {}  # bodies that were read, or fetched in this batch
         for r in sorted(rows, key=lambda r: (r["us"], r["number"])):
-            url, at, body, evicted = (r["url"],), r["us"], r["body"], None
-            held = self.places.getValue(url)
-            hit = held is not None and at - held[1] < self.us
+            url, body, evicted = r["url"], r["body"], None
+            hit = url in held and r["us"] - held[url][1] < self.us
             if hit:
-                body = held[2]
+                if url not in served:
+                    (served[url],) = self.bodies.getValue((url,))
+                body = served[url]
             else:
-                if held is not None:
-                    self.places.removeKey(url)
-                    self.queue.removeKey((held[0],))
-                    size -= 1
+                held.pop(url, None)
                 if body is not None:
-                    if size >= self.pages:
-                        while not self.queue.containsKey((first,)):
-                            first += 1
-                        (evicted,) = self.queue.getValue((first,))
-                        self.places.removeKey((evicted,))
-                        self.queue.removeKey((first,))
-                        first, size = first + 1, size - 1
-                    self.places.updateValue(url, (next_, at, body))
-                    self.queue.updateValue((next_,), url)
-                    next_, size = next_ + 1, size + 1
-            yield Row(store=key[0], number=r["number"], url=r["url"], hit=hit, body=body, evicted=evicted)
-        self.ends.update((first, next_, size))
+                    if len(held) >= self.pages:
+                        evicted = next(iter(held))
+                        del held[evicted]
+                        served.pop(evicted, None)
+                    held[url], served[url] = (next_, r["us"]), body
+                    next_ += 1
+            yield Row(store=key[0], number=r["number"], url=url, hit=hit, body=body, evicted=evicted)
+        for url in before.keys() - held.keys():
+            self.places.removeKey((url,))
+            self.bodies.removeKey((url,))
+        for url, at in held.items():
+            if before.get(url) != at:
+                self.places.updateValue((url,), at)
+                self.bodies.updateValue((url,), (served[url],))
 
     def close(self) -> None:
         pass
