@@ -31,7 +31,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 #: Tokens of a training sequence, of which longer texts have several, and of those that are encoded together.
 TRAIN_SPAN, TRAIN_BLOCK = 128, 131_072
 #: Steps of the training, each a job that sums gradients over all sequences, and the tasks of such a job.
-TRAIN_ROUNDS, TRAIN_TASKS = 40, 12
+TRAIN_ROUNDS, TRAIN_TASKS = 40, 4
 #: A mark: a word with at least so many toxic texts, whose lower bound (z below) on the share of toxic texts is so high.
 MARK_TEXTS, MARK_SHARE, MARK_Z = 5, 0.5, 2.58
 HASH_BITS = 18
@@ -261,7 +261,7 @@ def train_on(texts: DataFrame, marks: set[str], rounds: int = TRAIN_ROUNDS) -> F
 
         # TRAIN_TASKS sums of 2 ** HASH_BITS numbers at most
         sums = [np.frombuffer(r["g"]) for r in staged.select(*_BLOCK_TYPES).coalesce(TRAIN_TASKS).mapInArrow(run, "g binary").collect()]
-        with_field.unpersist()
+        with_field.destroy()  # also the blocks that the driver holds
         return np.sum(sums, axis=0)
 
     f = ascend(total, staged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], rounds)
