@@ -62,38 +62,55 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, depth: int = DEPTH, pages: i
 
     ``seeds`` is (seed, url), ``edges`` is (from_url, to_url, position). ``depth`` joins, each over the frontier
     only; what is visited is staged after each, so that no join is computed twice. With ``pages``, each seed visits so
-    many pages at most, in that order; without, ``parent_order`` counts the pages of one depth only, so that no window
-    sees all that was visited. If seeds have a ``domain``, only links are followed whose ``to_host`` contains it.
+    many pages at most, in that order, and one that has them is left alone from there on; without, ``parent_order``
+    counts the pages of one depth only, so that no window sees all that was visited. If seeds have a ``domain``, only
+    links are followed whose ``to_host`` contains it.
     """
     domain = [c for c in ("domain",) if c in seeds.columns]
     links = edges.select("from_url", F.col("to_url").alias("url"), "position", *["to_host" for _ in domain])
+    own = ["seed", "url", *domain, "depth", "parent_order", "position"]
     visited = seeds.select("seed", "url", *domain, F.lit(0).alias("depth"), F.lit(0).cast("long").alias("parent_order"), F.lit(0).alias("position"))
-    frontier = visited.withColumn("_nth", F.lit(1).cast("long"))
+    frontier, full = visited.withColumn("_nth", F.lit(1).cast("long")), []
     for d in range(1, depth + 1):
-        out = _inside(frontier.select("seed", *domain, F.col("url").alias("from_url"), F.col("_nth").alias("parent_order")).join(links, "from_url"))
-        out = out.join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
-        first = out.groupBy("seed", "url", *domain).agg(F.min(F.struct("parent_order", "position")).alias("m")).select("seed", "url", *domain, F.lit(d).alias("depth"), F.col("m.parent_order").alias("parent_order"), F.col("m.position").alias("position"))
-        before, visited = visited, visited.unionByName(first)
-        w = Window.partitionBy("seed").orderBy("depth", "parent_order", "position", "url")
-        nth = F.row_number().over(w).cast("long").alias("_nth")
+        out = _inside(_few(frontier.select("seed", *domain, F.col("url").alias("from_url"), F.col("_nth").alias("parent_order")), pages).join(links, "from_url"))
+        rows = visited.unionByName(out.select("seed", "url", *domain, F.lit(d).alias("depth"), "parent_order", "position"))
+        if pages is not None:
+            rows = rows.repartition("seed")  # serves the window, too
+        first = F.min(F.struct("depth", "parent_order", "position", *domain)).alias("m")
+        rows = rows.groupBy("seed", "url").agg(first).select("seed", "url", "m.*").select(own)
         if pages is None:
-            ordered = before.withColumn("_nth", F.lit(None).cast("long")).unionByName(first.select("*", nth))
+            w = Window.partitionBy("seed", "depth").orderBy("parent_order", "position", "url")
+            ordered = rows.select("*", F.row_number().over(w).cast("long").alias("_nth"), F.lit(False).alias("_full"))
         else:
-            ordered = visited.select("*", nth).where(F.col("_nth") <= pages)
+            w = Window.partitionBy("seed")
+            nth = F.row_number().over(w.orderBy("depth", "parent_order", "position", "url")).cast("long")
+            ordered = rows.select("*", nth.alias("_nth"), (F.count(F.lit(1)).over(w) >= pages).alias("_full")).where(F.col("_nth") <= pages)
         ordered = staged(ordered, f"crawled-{d}")
-        visited, frontier = ordered.drop("_nth"), ordered.where(F.col("depth") == d)
-    return visited
+        if pages is not None:
+            full.append(ordered.where("_full").select(own))
+        open_ = ordered.where("not _full")
+        visited, frontier = open_.select(own), open_.where(F.col("depth") == d)
+    return reduce(DataFrame.unionByName, full, visited)
 
 
-def candidates(edges: DataFrame, visited: DataFrame) -> DataFrame:
-    """(seed, url, anchors, titles, snippets): links seen from visited pages, and the seeds themselves, with their texts as sets."""
+def _few(visited: DataFrame, pages: int | None) -> DataFrame:
+    """Visited pages as the side of a join with links that tasks hold, as a seed has few."""
+    return visited if pages is None else visited.hint("shuffle_hash")
+
+
+def candidates(edges: DataFrame, visited: DataFrame, pages: int | None = None) -> DataFrame:
+    """(seed, url, anchors, titles, snippets): links seen from visited pages, and the seeds themselves, with their texts as sets.
+
+    With ``pages``, the most that a seed has visited, the rows come by seed.
+    """
     domain = [c for c in ("domain",) if c in visited.columns]
-    seen = _inside(visited.select("seed", *domain, F.col("url").alias("from_url")).join(edges, "from_url"))
+    seen = _inside(_few(visited.select("seed", *domain, F.col("url").alias("from_url")), pages).join(edges, "from_url")).select("seed", F.col("to_url").alias("url"), "anchor", "title", "snippet")
+    none = F.lit(None).cast("string")
+    rows = seen.unionByName(visited.where("depth = 0").select("seed", "url", none.alias("anchor"), none.alias("title"), none.alias("snippet")))
+    if pages is not None:
+        rows = rows.repartition("seed")
     sets = lambda c: F.sort_array(F.collect_set(F.nullif(F.col(c), F.lit("")))).alias(c + "s")
-    got = seen.groupBy("seed", F.col("to_url").alias("url")).agg(sets("anchor"), sets("title"), sets("snippet"))
-    none = F.array().cast("array<string>")
-    alone = visited.where("depth = 0").select("seed", "url").join(got.select("seed", "url"), ["seed", "url"], "left_anti")
-    return got.unionByName(alone.select("seed", "url", none.alias("anchors"), none.alias("titles"), none.alias("snippets")))
+    return rows.groupBy("seed", "url").agg(sets("anchor"), sets("title"), sets("snippet"))
 
 
 def concatenated(pages: DataFrame, key: str, rank: str, text: str) -> DataFrame:
@@ -102,17 +119,21 @@ def concatenated(pages: DataFrame, key: str, rank: str, text: str) -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"))
 
 
-def prioritized_crawl(seeds: DataFrame, edges: DataFrame, texts: DataFrame, pages: int = PAGES) -> DataFrame:
+def prioritized_crawl(seeds: DataFrame, edges: DataFrame, texts: DataFrame, pages: int = PAGES, key: Column | None = None) -> DataFrame:
     """(seed, text, pages_scraped, visited_urls): crawl, score, best pages, their texts in rank order.
 
-    ``texts`` is (url, text) of pages that can be fetched; the visited list has all best links, fetched or not.
+    ``texts`` is (url, text) of pages that can be fetched, or (key, text) where pages are stored by ``key``, an
+    expression over ``url``; the visited list has all best links, fetched or not.
     """
-    edges = staged(edges, "crawl-edges")  # read by each depth and by the candidates; resolving links is their costly part
+    edges = staged(edges, "crawl-edges", by="from_url")  # read by each depth and by the candidates; resolving links is their costly part
     start = seeds.select("seed", normalize_url(F.col("seed")).alias("url")).withColumn("domain", seed_domain(F.col("url")))
     visited = bounded_bfs(start, edges, pages=pages)
-    c = candidates(edges, visited)
+    c = candidates(edges, visited, pages)
     best = top_candidates_per(c.withColumn("score", score_candidate(F.col("url"), F.col("anchors"), F.col("titles"), F.col("snippets"))), "seed").select("seed", "url", "place")
-    got = best.join(texts, "url", "left")
+    if key is None:
+        got = best.join(texts, "url", "left")
+    else:
+        got = best.withColumn("_key", key).join(texts.select(F.col("key").alias("_key"), "text"), "_key", "left")
     parts = F.array_sort(F.collect_list(F.struct("place", "url", "text")))
     return got.groupBy("seed").agg(parts.alias("p")).select(
         "seed", F.array_join(F.filter(F.transform("p", lambda x: x["text"]), lambda t: t.isNotNull()), " ").alias("text"),

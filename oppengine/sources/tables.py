@@ -32,11 +32,19 @@ def qualified(spark: SparkSession, path: str) -> str:
     return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back, where several reads have to see the same rows."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back, where several reads have to see the same rows.
+
+    With ``by``, it is a table in buckets of that column, so that joins on it move only their other side.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    kept = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, by).write.bucketBy(n, by).option("path", path).format("parquet").saveAsTable(kept)
+    return spark.table(kept)
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:

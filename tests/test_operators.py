@@ -179,6 +179,33 @@ def test_crawl_follows_the_seeds_domain(spark):
     assert sorted(r.visited_urls) == ["https://a.org/grants", "https://blog.a.org/x", "https://www.a.org"] and r.pages_scraped == 0
 
 
+def test_links_of_a_crawl_are_moved_once(spark):
+    """Joins with the staged links move what was visited only, and a seed that has its pages is not followed any more."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [(f"https://s{s}.org/{p}", i, f"https://s{s}.org/{p}{i}") for s in range(5) for p in ("", "0", "1", "2", "00") for i in range(s + 1)]
+        links = spark.createDataFrame([(f.rstrip("/"), n, h, "Go", "", "") for f, n, h in rows], "from_url string, position int, href string, anchor string, title string, snippet string")
+        edges = tables.staged(crawl.link_edges(links), "edges", by="from_url")
+        seeds = spark.createDataFrame([(f"s{s}", f"https://s{s}.org", f"s{s}.org") for s in range(5)], "seed string, url string, domain string")
+        visited = crawl.bounded_bfs(seeds, edges, pages=3)
+        c = crawl.candidates(edges, visited, 3)
+        plan = c._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # visited pages by address, and what they link to by seed
+        assert {k: sorted(r.url[len(f"https://{k}.org"):] for r in visited.where(F.col("seed") == k).collect()) for k in ("s0", "s1", "s4")} == {"s0": ["", "/0", "/00"], "s1": ["", "/0", "/1"], "s4": ["", "/0", "/1"]}
+        assert {r.url for r in c.where("seed = 's0'").collect()} == {"https://s0.org", "https://s0.org/0", "https://s0.org/00", "https://s0.org/000"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_of_a_crawl_by_the_key_they_are_stored_under(spark):
+    seeds = spark.createDataFrame([("https://a.org",), ("https://b.org",)], "seed string")
+    links = spark.createDataFrame([(f"https://{s}.org", i, f"https://{s}.org/grants/p{i}", "Apply", "", "") for s in "ab" for i in range(3)], "from_url string, position int, href string, anchor string, title string, snippet string")
+    texts = spark.createDataFrame([("p0", "zero"), ("p2", "two"), ("p9", "nine")], "key string, text string")
+    got = crawl.prioritized_crawl(seeds, crawl.link_edges(links), texts, key=F.regexp_extract("url", "/grants/(p[0-9]+)$", 1)).collect()
+    assert {(r.seed, r.text, r.pages_scraped, len(r.visited_urls)) for r in got} == {(f"https://{s}.org", "two zero", 2, 4) for s in "ab"}
+
+
 def test_numbered_with_other_columns_on_many_partitions(spark):
     rows = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"), F.col("id").alias("_id"), F.lit("x").alias("_part"))
     saved = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
