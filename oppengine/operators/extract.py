@@ -6,12 +6,13 @@ import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.html import by_row
 from ..functions.url import netloc
 from ..schema import ELIGIBILITY
 
@@ -86,9 +87,9 @@ def extract(pages: DataFrame, extractor: Callable[[str], str] = rule_extractor,
 
 
 def _asker(extractor: Callable[[str], str]):
-    @F.pandas_udf("string")
-    def ask(prompt: pd.Series) -> pd.Series:
-        return prompt.map(extractor, na_action="ignore")
+    @F.arrow_udf("string")
+    def ask(prompt: pa.Array) -> pa.Array:
+        return by_row(lambda t: None if t is None else extractor(t), prompt, pa.string())
 
     return ask
 

@@ -3,8 +3,10 @@
 import json
 import re
 import time
+import weakref
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,23 @@ def test_unclosed_elements_stay_within_their_bound():
         assert time.time() - began < 30, html[:10]
 
 
+def test_few_pages_of_a_batch_are_held(monkeypatch):
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(H._Page):
+        def __init__(self):
+            super().__init__()
+            alive.add(self)
+            most.append(len(alive))
+
+    monkeypatch.setattr(H, "_Page", Counted)
+    html = pa.array(["<title>t</title><p>x", None] * 1000)
+    for got in (H._page_view.func(html), H._page_meta.func(html), H._visible_text.func(html)):
+        assert len(got) == 2000
+    assert H._page_view.func(html)[-2:].to_pylist() == [{"text": "x", "title": "t", "snippet": "x"}, {"text": "", "title": "", "snippet": ""}]
+    assert len(most) == 8000 and max(most) <= H.ROWS and len(H._page_view.func(html[:0])) == 0
+
+
 def test_links_by_sql(spark):
     H.register_page_links(spark)
     rows = [
