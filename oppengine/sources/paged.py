@@ -6,6 +6,11 @@ to the first empty page, to the first short one where ``page_size`` says how lon
 records of a search. What need not be read is not opened: searches that a filter on their keys rules out, pages behind
 the last one, and pages behind the limit.
 
+A large search has as many folders as pages, and making and listing them takes longer than their records. So pages are
+saved in blocks of ``BLOCK`` numbers, ``<key>=<value>/.../pages=<first>-<last>-<pages>-<fewest records>-<records>/``,
+each page a line with its number, its count and its document. The folder name tells whether the search goes on behind
+the block; a block is a partition, and pages of it that the search does not come to are not parsed.
+
 The counts in the folder names tell the planner where a search ends, so every page is a partition of its own. Where
 ``least`` (a field and a number, which records with that field unknown pass too) comes before a limit, nobody knows
 which page has the last record, so a search is one partition that stops when it has enough; so it is where a page has
@@ -37,6 +42,8 @@ _COMPARED = {
     "LessThan": lambda v, x: v < x, "LessThanOrEqual": lambda v, x: v <= x, "In": lambda v, x: v in x,
     "StringStartsWith": lambda v, x: v.startswith(x),
 }
+#: Pages of so many numbers are saved together.
+BLOCK = 128
 _PLAIN = (T.StringType, T.LongType, T.IntegerType, T.DoubleType, T.BooleanType)
 
 
@@ -48,6 +55,31 @@ class Page:
     path: str
 
 
+    @property
+    def next(self) -> int | None:
+        """The number of the page that follows, None if a search does not come to it."""
+        return self.number + 1
+
+    def ends(self, page_size: int | None) -> bool:
+        return bool(page_size and self.count is not None and self.count < page_size)
+
+
+@dataclass
+class Block(Page):
+    """Pages ``number`` to ``last``, if none is missing; ``count`` records in all, ``fewest`` in one."""
+
+    last: int
+    pages: int
+    fewest: int
+
+    @property
+    def next(self) -> int | None:
+        return self.last + 1 if self.pages == self.last - self.number + 1 else None
+
+    def ends(self, page_size: int | None) -> bool:
+        return self.next is None or self.fewest < max(page_size or 0, 1)
+
+
 @dataclass
 class Pages(D.InputPartition):
     """Pages of one search that a task reads in order, and the most records it takes."""
@@ -73,27 +105,29 @@ def listed(path: str) -> dict[tuple, list[Page]]:
         if f.type != fs.FileType.File or any(p[:1] in "_." for p in parts):
             continue
         named = [p.split("=", 1) for p in parts[:-1] if "=" in p]
-        keys = {k: None if v == _NO_VALUE else unquote(v) for k, v in named if k not in ("page", "count")}
-        own = dict(named)
-        if "page" in own:
-            folder = f.path.rsplit("/", 1)[0]
+        keys = {k: None if v == _NO_VALUE else unquote(v) for k, v in named if k not in ("page", "pages", "count")}
+        own, folder = dict(named), f.path.rsplit("/", 1)[0]
+        if "pages" in own:
+            first, last, many, fewest, count = map(int, own["pages"].split("-"))
+            pages[folder] = Block(keys, first, count, folder, last, many, fewest)
+        elif "page" in own:
             pages[folder] = Page(keys, int(own["page"]), int(own["count"]) if "count" in own else None, folder)
     searches: dict[tuple, list[Page]] = {}
     for p in sorted(pages.values(), key=lambda p: p.number):
         own = searches.setdefault(tuple(sorted(p.keys.items(), key=str)), [])
-        if p.number == len(own):
+        if p.number == (own[-1].next if own else 0):
             own.append(p)
     return searches
 
 
 def planned(pages: list[Page], page_size: int | None, limit: int | None, ordered: bool) -> list[Pages]:
-    """The partitions of one search. ``ordered``: the limit counts records that only reading tells."""
+    """The partitions of one search, a page or block each. ``ordered``: the limit counts records that only reading tells."""
     known = []
     for p in pages:
         if p.count == 0:
             break
         known.append(p)
-        if page_size and p.count is not None and p.count < page_size:
+        if p.ends(page_size):
             break
     if not known or limit == 0:
         return []
@@ -160,27 +194,34 @@ class SavedApiReader(D.DataSourceReader):
         return out or [Pages([], 0)]
 
     def read(self, partition: Pages) -> Iterator[tuple]:
-        from pyarrow import fs
-
         store, _ = file_system(self.path)
         taken = 0
-        for p in partition.pages:
+        for p, documents in (x for own in partition.pages for x in self.opened(store, own)):
             if partition.take is not None and taken >= partition.take:
                 return
             found = 0
-            for f in sorted(store.get_file_info(fs.FileSelector(p.path)), key=lambda f: f.path):
-                if f.type == fs.FileType.File and f.base_name[:1] not in "_.":
-                    with store.open_input_stream(f.path) as s:
-                        own = json.loads(s.read()).get(self.records) or []
-                    found += len(own)
-                    for r in own:
-                        row = self.row(r, p)
-                        if row is not None and (partition.take is None or taken < partition.take):
-                            taken += 1
-                            yield row
+            for text in documents:
+                own = json.loads(text).get(self.records) or []
+                found += len(own)
+                for r in own:
+                    row = self.row(r, p)
+                    if row is not None and (partition.take is None or taken < partition.take):
+                        taken += 1
+                        yield row
             if p.count is None and (not found or self.page_size and found < self.page_size):
                 return
 
+    def opened(self, store, p: Page) -> Iterator[tuple[Page, Iterable[bytes]]]:
+        """The pages that a search comes to, each with its documents."""
+        if not isinstance(p, Block):
+            yield p, contents(store, p.path)
+            return
+        lines = [line.split(b" ", 2) for text in contents(store, p.path) for line in text.split(b"\n") if line]
+        for i, (number, _, text) in enumerate(sorted(lines, key=lambda x: int(x[0]))):
+            if int(number) != p.number + i:
+                return
+            yield Page(p.keys, int(number), None, p.path), [text]
+
     def row(self, record: dict, page: Page) -> tuple | None:
         if self.least and record.get(self.least[0]) is not None and record[self.least[0]] < self.least[1]:
             return None
@@ -189,6 +230,15 @@ class SavedApiReader(D.DataSourceReader):
         return tuple(row.values()) if all(passes(row[name], what, x) for name, what, x in self.on_records) else None
 
 
+def contents(store, folder: str) -> Iterator[bytes]:
+    from pyarrow import fs
+
+    for f in sorted(store.get_file_info(fs.FileSelector(folder)), key=lambda f: f.path):
+        if f.type == fs.FileType.File and f.base_name[:1] not in "_.":
+            with store.open_input_stream(f.path) as s:
+                yield s.read()
+
+
 def passes(v, what: str, x) -> bool:
     """Whether a value passes a filter; null passes none."""
     return v is not None and (what == "IsNotNull" or _COMPARED[what](v, x))
@@ -224,11 +274,14 @@ def read_saved_api(
 
 
 def save_pages(df: DataFrame, path: str, records: str, keys: list[str], order: str, page_size: int, page: str | None = None) -> None:
-    """Save ``df`` as searches by ``keys``, pages of so many rows in the order of a column, or by the page that column ``page`` names."""
+    """Save ``df`` as searches by ``keys``, pages of so many rows in the order of a column, or by the page that column ``page`` names, in blocks."""
     w = Window.partitionBy(*keys).orderBy(order)
     at = F.col(page) if page else F.floor((F.row_number().over(w) - 1) / page_size)
     fields = [c for c in df.columns if c not in (*keys, page)]
     each = df.select(*keys, at.cast("int").alias("page"), F.struct(F.col(order).alias("_at"), F.struct(*fields).alias("r")).alias("x"))
     pages = each.groupBy(*keys, "page").agg(F.array_sort(F.collect_list("x")).alias("x"))
     body = F.to_json(F.struct(F.col("x.r").alias(records)))
-    pages.select(*keys, "page", F.size("x").alias("count"), body.alias("value")).write.partitionBy(*keys, "page", "count").text(path)
+    block, count = Window.partitionBy(*keys, "block"), F.size("x")
+    named = F.concat_ws("-", F.min("page").over(block), F.max("page").over(block), F.count(F.lit(1)).over(block), F.min("count").over(block), F.sum("count").over(block))
+    pages = pages.select(*keys, "page", F.floor(F.col("page") / BLOCK).alias("block"), count.alias("count"), F.concat_ws(" ", "page", count, body).alias("value"))
+    pages.select(*keys, named.alias("pages"), "value").write.partitionBy(*keys, "pages").text(path)

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oppengine.sources import paged
@@ -112,3 +113,22 @@ def test_what_is_saved_comes_back(spark, tmp_path):
     assert sorted(map(tuple, back.drop("page").collect())) == sorted(map(tuple, df.collect()))
     assert back.groupBy("state", "page").count().where("count > 7").count() == 0
     assert sorted(r.n for r in read(spark, tmp_path / "x", page_size=7, limit=10).collect()) == list(range(30))
+
+
+def test_many_pages_are_few_files_and_few_partitions(spark, tmp_path):
+    """Pages of blocks are read as pages of folders are: to a short one, a gap or an empty one, and to the limit."""
+    df = spark.range(4000).select((F.col("id") % 2).cast("string").alias("state"), F.col("id").alias("n"), F.concat(F.lit("a\n"), "id").alias("name"))
+    paged.save_pages(df, str(tmp_path / "x"), "rows", ["state"], "n", 5)  # 400 pages a search
+    assert len(list((tmp_path / "x").rglob("part-*"))) == 8
+    back = read(spark, tmp_path / "x", page_size=5)
+    assert sorted((r.state, r.n, r.name) for r in back.collect()) == sorted((str(i % 2), i, f"a\n{i}") for i in range(4000))
+    assert back.rdd.getNumPartitions() == 8 and back.where("page = 200").count() == 10
+    of = lambda n: [(s, i) for s in ("0", "1") for i in range(int(s), 2 * n, 2)]
+    for limit in (3, 640, 641, 645, 1999, 5000):
+        assert numbers(read(spark, tmp_path / "x", page_size=5, limit=limit)) == of(min(limit, 2000))
+    assert numbers(read(spark, tmp_path / "x", page_size=5, limit=400, least=("n", 1000))) == [(s, i + 1000) for s, i in of(400)]
+    rows = [(s, p, 10 * p + i) for s, sizes in {"short": {200: 2}, "gap": {130: 0}, "next": {128: 0}, "late": {0: 0}, "full": {}}.items() for p in range(300) for i in range(sizes.get(p, 3))]
+    paged.save_pages(spark.createDataFrame(rows, "state string, page int, n long"), str(tmp_path / "y"), "rows", ["state"], "n", 3, "page")
+    last = {"short": 200, "gap": 129, "next": 127, "full": 299}
+    assert numbers(read(spark, tmp_path / "y", page_size=3)) == sorted((s, n) for s, p, n in rows if p <= last.get(s, -1))
+    assert {s for s, n in numbers(read(spark, tmp_path / "y"))} == set(last) and ("short", 2010) in numbers(read(spark, tmp_path / "y"))
