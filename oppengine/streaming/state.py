@@ -84,9 +84,9 @@ class _Store(StatefulProcessor):
         held = dict(sorted(before.items(), key=lambda x: x[1][0]))  # the first of a dictionary came first
         next_ = max((number for number, _ in before.values()), default=-1) + 1
         served: dict[str, str] = {}  # bodies that were read, or fetched in this batch
-        for r in sorted(rows, key=lambda r: (r["us"], r["number"])):
-            url, body, evicted = r["url"], r["body"], None
-            hit = url in held and r["us"] - held[url][1] < self.us
+        for us, number, url, body in sorted(((r["us"], r["number"], r["url"], r["body"]) for r in rows), key=lambda r: r[:2]):
+            evicted = None
+            hit = url in held and us - held[url][1] < self.us
             if hit:
                 if url not in served:
                     (served[url],) = self.bodies.getValue((url,))
@@ -98,9 +98,9 @@ class _Store(StatefulProcessor):
                         evicted = next(iter(held))
                         del held[evicted]
                         served.pop(evicted, None)
-                    held[url], served[url] = (next_, r["us"]), body
+                    held[url], served[url] = (next_, us), body
                     next_ += 1
-            yield Row(store=key[0], number=r["number"], url=url, hit=hit, body=body, evicted=evicted)
+            yield Row(store=key[0], number=number, url=url, hit=hit, body=body, evicted=evicted)
         for url in before.keys() - held.keys():
             self.places.removeKey((url,))
             self.bodies.removeKey((url,))

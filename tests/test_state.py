@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from oppengine.plans import catalog
 from oppengine.streaming import jobs, state
 from oppengine.streaming.ingest import run_available
 
@@ -76,6 +77,18 @@ def test_page_store_by_hand(small, tmp_path):
     assert {r.hit for r in out.collect()} == {True, False} and any(x[5] for x in want)
 
 
+def test_micro_batches_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    at = lambda i: START + timedelta(seconds=i if i < 950 else 50 * i)
+    df = spark.createDataFrame([(i, at(i)) for i in range(1000)] + [(-1, None)], "i long, at timestamp").repartition(3)
+    for rows, most in ((None, 1000), (1000, 1000), (100, 110)):
+        path = tmp_path / f"of-{rows}"
+        monkeypatch.setattr(catalog, "shared_path", lambda spark, name, path=path: str(path))
+        assert catalog._in_order(spark, df, "in", "at", 3, rows).isStreaming
+        parts = [sorted(r.i for r in spark.read.parquet(str(f)).collect()) for f in sorted(path.glob("part-*"), key=lambda f: f.stat().st_mtime_ns)]
+        assert [i for p in parts for i in p] == list(range(1000)) and max(map(len, parts)) <= most
+        assert len(parts) == (10 if rows == 100 else 3)
+
+
 def test_progress_is_there_while_the_query_runs(spark, tmp_path):
     for n in (3, 5, 2):
         spark.range(n).select("id", F.when(F.col("id") == 1, "bad").alias("err")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
