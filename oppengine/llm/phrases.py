@@ -4,15 +4,21 @@ A task cuts its texts into words and collects them by language in shards of abou
 each other with an empty place between them, so no phrase passes from one to the next. Words are counted in each shard
 and summed over the shards; an infrequent word is part of no frequent phrase. Of neighbours, hashed buckets of pairs
 and of triples are summed in the same way (Park, Chen and Yu): what falls into a bucket that stays below the threshold
-is infrequent, too. A shard then builds a bitmap of places for each of its words (8-place blocks, empty ones left
-out), gets the pairs that remain as the AND of one word's bitmap with the next one's, shifted, and extends them depth-first:
-a phrase's bitmap is ANDed with the shifted bitmaps of all pairs that begin with its last word, as long as their
-triples remain, and popcounts are the shard's frequencies. Their sums over the shards are exact, and are held against
-the threshold last.
-
-No task sees more than its rows and one shard; a hot language only has more shards, and a common word or phrase is one
-row a task in every shuffle. Only a bit for each bucket comes to the driver and is broadcast. There is about a bucket
-for ``WORDS_A_BUCKET`` words, but 2 ** ``MOST_BUCKETS`` at most; in a corpus that fills them all, they spare less work.
+is infrequent, too. What remains at a place is one window: the longest phrase from there whose pairs and triples all
+may be frequent. Equal windows are summed in each task and sent to the class of their first three words, pairs to a
+class of their own, so every phrase is counted in one class, whole: shards send no counts of phrases, and only frequent
+phrases leave a class. A class lays its distinct windows one after the other, a window once for each binary digit of its
+number, and builds a bitmap of places for each of its words (8-place blocks, empty ones left out). It gets the pairs
+as the AND of one word's bitmap with the next one's, shifted, and extends them depth-first: a phrase's bitmap is ANDed with the
+shifted bitmaps of all pairs that begin with its last word, and popcounts, times the value of their digit, are exact
+frequencies, which are held against the threshold.
+
+No task sees more than its rows and one shard, or one class; a hot language only has more shards, and a common word,
+pair or window is one row or entry a task in every shuffle, until a task has ``HELD`` windows and sends them. Tasks that sum
+windows are as many as the cores, so their entries grow with the distinct windows, not with those times the shards; at
+most they send one entry for each place with a window, and one for its pair. Only a bit for each bucket comes to the
+driver and is broadcast. There is about a bucket for ``WORDS_A_BUCKET`` words, but 2 ** ``MOST_BUCKETS`` at most; in a
+corpus that fills them all, they spare less work.
 
 Defined cases: null text is empty, null lang is 'und'; texts without a word count nothing; repeated rows count each;
 a text longer than a shard is a shard of its own; empty tables give no rows; other columns are not read.
@@ -38,8 +44,10 @@ COVERED_PERCENT = 100
 SHARD_WORDS, OPEN_WORDS = 1_000_000, 2_000_000
 #: Words for each hashed bucket, of pairs and again of triples; binary logarithm of the most buckets, and of those in one row.
 WORDS_A_BUCKET, MOST_BUCKETS, BUCKETS_ROW = 4, 26, 16
-#: Bitmap blocks that are extended together.
-TOGETHER = 1 << 17
+#: Words of the corpus for each class of windows, the fewest classes, and the windows that a task holds before it sums or sends them.
+CLASS_WORDS, LEAST_CLASSES, HELD = 1 << 22, 32, 1 << 19
+#: Bitmap blocks that are extended together; windows that share bitmaps.
+TOGETHER, WINDOWS_TOGETHER = 1 << 17, 1 << 16
 #: A-Z become a-z, ends of pieces become a full stop, tabs become blanks; other bytes stay.
 _FOLD = bytes(46 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -65,8 +73,9 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 _SHARD = "lang string, words array<string>, counts array<long>, places binary"
-_SLIM = "shard long, lang string, words array<string>, ids array<long>, places binary"
-_SLIM_ARROW = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("places", pa.binary())])
+_SLIM = "shard long, ids array<long>, places binary"
+_SLIM_ARROW = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("places", pa.binary())])
+_SENT = "class long, windows binary, counts binary"
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,15 +106,14 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequent_words(shard: pa.Table, known: pa.Table) -> pa.Table:
     """The shard with frequent words only: their global ids, and places where runs of other words are one empty place."""
     at = known["at"].to_numpy()
-    row = {c: shard[c][0] for c in ("shard", "lang", "words", "places")}
-    to = np.zeros(len(row["words"]), np.int64)
+    row = {c: shard[c][0].as_py() for c in ("shard", "words", "places")}
+    to = np.zeros(row["words"], np.int64)
     to[at] = np.arange(1, len(at) + 1)
-    p = to[unpacked(row["places"].as_py())]
+    p = to[unpacked(row["places"])]
     p = p[(p > 0) | np.concatenate([[True], p[:-1] > 0])] if len(p) else p
-    words = pa.concat_arrays([pa.array([""]), row["words"].values.take(pa.array(at))])
     ids = pa.array(np.concatenate([[0], known["id"].to_numpy()]).astype(np.int64))
-    one = [pa.array([row["shard"].as_py()], pa.int64()), pa.array([row["lang"].as_py()], pa.string()), pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([packed(p)], pa.binary())]
-    return pa.Table.from_arrays(one, names=["shard", "lang", "words", "ids", "places"])
+    one = [pa.array([row["shard"]], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([packed(p)], pa.binary())]
+    return pa.Table.from_arrays(one, names=["shard", "ids", "places"])
 
 
 def bucket(buckets: int, *ids: np.ndarray) -> np.ndarray:
@@ -228,10 +236,10 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
 
 
-def frequent_phrases(places: np.ndarray, a: np.ndarray, b: np.ndarray, triples=None, most_words: int = MOST_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def frequent_phrases(places: np.ndarray, a: np.ndarray, b: np.ndarray, most_words: int = MOST_WORDS, starts: np.ndarray | None = None, values: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(phrases as rows of numbers, frequencies): the pairs (a, b), and all longer phrases whose neighbours are such pairs.
 
-    ``triples`` tells of rows of three words whether they can be frequent; phrases with others are left out.
+    With ``starts``, only phrases that begin at these places count; a place counts as ``values`` has it for its 8-place block.
     """
     if not len(a):
         return
@@ -249,17 +257,14 @@ def frequent_phrases(places: np.ndarray, a: np.ndarray, b: np.ndarray, triples=N
 
     def extend(phrases: np.ndarray, of: np.ndarray, block: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``phrases`` with their frequencies, and what they grow to; row i of the bitmap belongs to phrase of[i], in order."""
-        starts = np.searchsorted(of, np.arange(len(phrases)))
-        yield phrases, np.add.reduceat(np.bitwise_count(bits).astype(np.int64), starts)
+        ones = np.bitwise_count(bits).astype(np.int64)
+        yield phrases, np.add.reduceat(ones if values is None else ones * values[block - 1], np.searchsorted(of, np.arange(len(phrases))))
         k = phrases.shape[1]
         if k == most_words:
             return
         next_ = shifted[k - 1]
         given, here, both = next_.meet(phrases[of, -1], block, bits)
         old, new = of[given], next_.tag[here]
-        if triples is not None and len(given):
-            can = triples(phrases[old, -2], phrases[old, -1], new)
-            given, both, old, new = given[can], both[can], old[can], new[can]
         if not len(given):
             return
         order = np.lexsort((block[given], new, old))
@@ -279,26 +284,164 @@ def frequent_phrases(places: np.ndarray, a: np.ndarray, b: np.ndarray, triples=N
 
     order = np.lexsort((pairs.block, pairs.tag, pairs.item))
     u, v, block, bits = pairs.item[order], pairs.tag[order], pairs.block[order], pairs.bits[order]
+    if starts is not None:
+        first = np.zeros(blocks, np.uint8)
+        np.bitwise_or.at(first, (starts >> 3) + 1, np.uint8(1) << (starts & 7).astype(np.uint8))
+        bits = bits & first[block]
+        u, v, block, bits = (x[bits > 0] for x in (u, v, block, bits))
     if len(u):
         yield from in_groups(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]), lambda i: np.column_stack([u[i], v[i]]), block, bits)
 
 
-def _grown(heavy, buckets: int):
-    """(lang, phrase, c): the phrases of two words or more of each shard, as far as pairs and triples are in heavy buckets."""
+def summed(windows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows once, in order, with the sum of their counts."""
+    order = np.lexsort(windows.T[::-1])
+    windows = windows[order]
+    at = np.nonzero(np.concatenate([[True], (windows[1:] != windows[:-1]).any(axis=1)]))[0] if len(windows) else order
+    return windows[at], np.add.reduceat(counts[order], at) if len(at) else counts
+
+
+def windows_of(p: np.ndarray, ids: np.ndarray, pairs, triples, most_words: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(windows as rows of ids, numbers) of places: all pairs, and the longest phrase of three words or more at each place.
+
+    ``pairs`` and ``triples`` tell of ids which can be frequent. Shorter rows are filled up with -1.
+    """
+    q = np.concatenate([p, np.zeros(most_words, p.dtype)])
+    at = lambda m, n: [q[np.nonzero(m)[0] + i] for i in range(n)]
+    m2 = (q[:-1] > 0) & (q[1:] > 0)
+    m2[m2] = pairs(*(ids[x] for x in at(m2, 2)))
+    m3 = m2 & np.append(m2[1:], False)
+    m3[m3] = triples(*(ids[x] for x in at(m3, 3)))
+    a, b = at(m2, 2)
+    key, n2 = np.unique(a * len(ids) + b, return_counts=True)
+    two = np.full((len(key), most_words), -1, np.int64)
+    two[:, 0], two[:, 1] = key // len(ids), key % len(ids)
+    start = np.nonzero(m3)[0]
+    long = np.full((len(start), most_words), -1, np.int64)
+    goes_on = np.ones(len(start), bool)
+    for k in range(most_words):
+        if k > 2:
+            goes_on &= m3[np.minimum(start + k - 2, len(m3) - 1)]
+        long[goes_on, k] = q[start[goes_on] + k]
+    long, n3 = summed(long, np.ones(len(long), np.int64))
+    out = np.concatenate([two, long])
+    return np.where(out < 0, -1, ids[out]), np.concatenate([n2, n3]).astype(np.int64)
+
+
+class Held:
+    """Windows and numbers, equal ones summed now and then."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.sum_at = 0
+
+    def add(self, windows: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((windows, counts))
+        self.size += len(windows)
+        if self.size >= max(HELD, self.sum_at):
+            self.sum()
+            self.sum_at = 2 * self.size
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        self.parts = [summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.size = len(self.parts[0][0])
+        return self.parts[0]
+
+
+def _windows(heavy, buckets: int, classes: int):
+    """(class, windows, counts): what a task's shards have of each class, summed, in one row or, if much, in several."""
+
+    def rows(held: Held) -> Iterator[pa.RecordBatch]:
+        windows, counts = held.sum()
+        of = bucket(32, windows[:, 0], windows[:, 1], windows[:, 2]) % classes
+        order = np.argsort(of, kind="stable")
+        ends = np.cumsum(np.bincount(of, minlength=classes))
+        for k in np.unique(of):
+            at = order[ends[k - 1] if k else 0 : ends[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([len(at).to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True)], pa.binary()) for x in (windows[at].T, counts[at]))], names=["class", "windows", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, triples = heavy.value
+        can = [lambda *x, bits=bits: among(bits, bucket(buckets, *x)) for bits in heavy.value]
+        held = Held()
         for batch in batches:
-            for lang, words, ids, places in zip(*batch.columns, strict=True):
-                ids, p, words = np.asarray(ids.values), unpacked(places.as_py()), np.array(words.as_py(), dtype=object)
-                m = (p[:-1] > 0) & (p[1:] > 0)
-                key = np.unique(p[:-1][m] * len(ids) + p[1:][m])
-                a, b = key // len(ids), key % len(ids)
-                some = among(pairs, bucket(buckets, ids[a], ids[b]))
-                can = lambda *x, ids=ids: among(triples, bucket(buckets, *(ids[i] for i in x)))
-                for own, c in frequent_phrases(p, a[some], b[some], can):
-                    text = pa.array(map(" ".join, words[own]), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(text), pa.string()), text, pa.array(c, pa.int64())], names=["lang", "phrase", "c"])
+            for ids, places in zip(*batch.columns, strict=True):
+                held.add(*windows_of(unpacked(places.as_py()), np.asarray(ids.values), *can))
+                if held.size >= HELD:
+                    yield from rows(held)
+                    held = Held()
+        if held.size:
+            yield from rows(held)
+
+    return run
+
+
+def as_many_tasks_as_cores(shards: DataFrame) -> DataFrame:
+    """Each task sends sums of all that it has read; with a task for so many MB they would grow with tasks times what is summed."""
+    return shards.coalesce(shards.sparkSession.sparkContext.defaultParallelism)
+
+
+def laid(windows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, starts of windows, values of 8-place blocks): windows with empty places between, once for each binary digit 1 of their count."""
+    rows = np.column_stack([windows, np.zeros(len(windows), np.int64)])
+    words = (windows > 0).sum(axis=1)
+    places, starts, values, n = [], [], [], 0
+    for digit in range(int(counts.max(initial=0)).bit_length()):
+        some = (counts >> digit) & 1 > 0
+        ends = np.cumsum(words[some] + 1)
+        size = -(-int(ends[-1]) // 8) * 8 if len(ends) else 0
+        one = np.zeros(size, np.int64)
+        one[: ends[-1] if len(ends) else 0] = rows[some][np.arange(rows.shape[1]) <= words[some][:, None]]
+        places.append(one)
+        starts.append(n + ends - words[some] - 1)
+        values.append(np.full(size >> 3, 1 << digit, np.int64))
+        n += size
+    values.append(np.zeros(2, np.int64))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (places, starts, values))
+
+
+def counted(windows: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(phrases as rows of ids, f) with f >= least of distinct windows in order: of two words those of pairs, of more those of the longer windows."""
+    two = windows[:, 2] < 0
+    for some, kind in ((two, "pairs"), (~two, "longer")):
+        w, c = windows[some], counts[some]
+        new = np.nonzero(np.concatenate([[True], (w[1:, :3] != w[:-1, :3]).any(axis=1)]))[0] if len(w) else []
+        s = 0
+        while s < len(w):  # windows with the same first words stay together
+            past = new[np.searchsorted(new, s, side="right") :]
+            e = int(max([*past[past <= s + WINDOWS_TOGETHER][-1:], *past[:1]], default=len(w))) if len(w) > s + WINDOWS_TOGETHER else len(w)
+            ids, local = np.unique(w[s:e], return_inverse=True)
+            ids, local = (ids[1:], local) if ids[0] < 0 else (ids, local + 1)
+            places, starts, values = laid(local.reshape(w[s:e].shape), c[s:e])
+            both = (places[:-1] > 0) & (places[1:] > 0)
+            key = np.unique(places[:-1][both] * (len(ids) + 1) + places[1:][both])
+            for own, f in frequent_phrases(places, key // (len(ids) + 1), key % (len(ids) + 1), 2 if kind == "pairs" else w.shape[1], starts, values):
+                often = f >= least
+                if often.any() and (own.shape[1] > 2 or kind == "pairs"):
+                    yield ids[own[often] - 1], f[often]
+            s = e
+
+
+def _grown(least: int, most_words: int = MOST_WORDS):
+    """(ids, f): the frequent phrases of two words or more of each class; rows of a class follow each other."""
+
+    def rows(held: Held) -> Iterator[pa.RecordBatch]:
+        for phrases, f in counted(*held.sum(), least):
+            ids = pa.ListArray.from_arrays(np.arange(len(phrases) + 1, dtype=np.int32) * phrases.shape[1], pa.array(phrases.ravel()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(f, pa.int64())], names=["ids", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = Held(), None
+        for batch in batches:
+            for k, windows, counts in zip(*batch.columns, strict=True):
+                if now is not None and k.as_py() != now:
+                    yield from rows(held)
+                    held = Held()
+                now = k.as_py()
+                n = int.from_bytes(counts.as_py()[:8], "little")
+                data = [np.frombuffer(pa.decompress(x.as_py()[8:], 8 * n * m, "zstd", asbytes=True), np.int64) for x, m in ((windows, most_words), (counts, 1))]
+                held.add(data[0].reshape(most_words, n).T, data[1])
+        if held.parts:
+            yield from rows(held)
 
     return run
 
@@ -316,17 +459,21 @@ def frequencies(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFra
     known = own.repartition("lang", "word").withColumn("row", F.monotonically_increasing_id())
     known = known.withColumn("f", F.sum("c").over(w)).withColumn("id", F.min("row").over(w)).where(F.col("f") >= least)
     known = stage(known.select("shard", "lang", "at", "word", "f", "id", (F.col("row") == F.col("id")).alias("one")), "frequent-words")
-    slim = shards.select("shard", "lang", "words", "places").groupBy("shard").cogroup(known.select("shard", "at", "id").groupBy("shard"))
+    slim = shards.select("shard", F.size("words").alias("words"), "places").groupBy("shard").cogroup(known.select("shard", "at", "id").groupBy("shard"))
     slim = stage(slim.applyInArrow(_if_both(_frequent_words, _SLIM_ARROW), _SLIM), "frequent-places")
     unstage(shards)
 
     n = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = min(max(int(n // WORDS_A_BUCKET).bit_length(), BUCKETS_ROW), MOST_BUCKETS)
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_buckets(slim, least, buckets))  # 2 x 2 ** MOST_BUCKETS bits at most
-    grown = slim.select("lang", "words", "ids", "places").mapInArrow(_grown(heavy, buckets), "lang string, phrase string, c long")
-    grown = grown.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    out = stage(grown.union(known.where("one").select("lang", "word", "f")), "phrases")
-    unstage(slim, known)
+    classes = max(n // CLASS_WORDS, LEAST_CLASSES)
+    sent = as_many_tasks_as_cores(slim.select("ids", "places")).mapInArrow(_windows(heavy, buckets, classes), _SENT)
+    grown = stage(sent.repartition("class").sortWithinPartitions("class").mapInArrow(_grown(least), "ids array<long>, f long"), "frequent-ids")
+    words = grown.withColumn("phrase", F.monotonically_increasing_id()).select("phrase", "f", F.posexplode("ids").alias("at", "id")).join(known.where("one").select("id", "lang", "word"), "id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
+    grown_text = words.groupBy("phrase").agg(F.first("lang").alias("lang"), text.alias("text"), F.first("f").alias("f")).select("lang", F.col("text").alias("phrase"), "f")
+    out = stage(grown_text.union(known.where("one").select("lang", "word", "f")), "phrases")
+    unstage(slim, known, grown)
     return out, sizes
 
 

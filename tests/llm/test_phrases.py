@@ -117,6 +117,50 @@ def test_bitmaps_by_hand(monkeypatch, together):
     assert got == want
 
 
+def sent_and_grown(shards, ids, least, tasks, classes=4, buckets=20):
+    """(entries that each task sends, {phrase of ids: f} that leaves the classes) of shards dealt over tasks."""
+    heavy = type("Broadcast", (), {"value": [np.full(1 << (buckets - 3), 255, np.uint8)] * 2})
+    entries, rows = [], []
+    for t in range(tasks):
+        mine = [{"ids": ids.tolist(), "places": phrases.packed(p)} for p in shards[t::tasks]]
+        out = [r for b in phrases._windows(heavy, buckets, classes)(iter([pa.RecordBatch.from_pylist(mine)])) for r in b.to_pylist()]
+        entries.append(sum(int.from_bytes(r["counts"][:8], "little") for r in out))
+        rows += out
+    rows.sort(key=lambda r: r["class"])
+    out = [r for b in phrases._grown(least)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    assert len({tuple(r["ids"]) for r in out}) == len(out)  # a phrase leaves one class, once
+    return entries, {tuple(r["ids"]): r["f"] for r in out}
+
+
+def of_shards(shards, ids, least):
+    f = Counter()
+    for p in shards:
+        for k in range(2, 6):
+            f.update(t for t in zip(*(p[i:].tolist() for i in range(k)), strict=False) if all(t))
+    return {tuple(ids[list(t)].tolist()): n for t, n in f.items() if n >= least}
+
+
+@pytest.mark.parametrize("together, held", [(1, 5), (7, 100), (1 << 16, 1 << 19)])
+def test_phrases_leave_their_class_once_and_frequent(monkeypatch, together, held):
+    monkeypatch.setattr(phrases, "WINDOWS_TOGETHER", together)
+    monkeypatch.setattr(phrases, "HELD", held)
+    rng = np.random.default_rng(11)
+    ids = np.array([0, *rng.permutation(9)])  # 0 is a word's id, too
+    shards = [rng.choice(10, n, p=[0.1, *[0.1] * 9]) for n in (500, 900, 1, 0, 300, 700)]
+    for least in (1, 8, 10**6):
+        assert sent_and_grown(shards, ids, least, 2)[1] == of_shards(shards, ids, least)
+
+
+def test_shards_send_no_counts_of_their_own():
+    rng = np.random.default_rng(12)
+    ids = np.array([0, *range(50, 70)])
+    shard = rng.choice(21, 2000)
+    few, many = ([shard] * n for n in (2, 40))
+    (one, *_), got = sent_and_grown(few, ids, 4, 1)
+    (more, *_), got_many = sent_and_grown(many, ids, 80, 1)
+    assert one == more and got == of_shards(few, ids, 4) and got_many == {p: 20 * f for p, f in got.items()}
+
+
 def test_light_buckets_hold_nothing_frequent(spark, monkeypatch):
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 2**62, 9)
