@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs (operator 10).
 
 Equal vectors are one class, so copies cost nothing. Classes are dealt to shards by hash, as many as the bytes of the
-vectors need; a task builds one graph per shard (batched insertion, diversified neighbours, sampled upper layers), and
-all vectors query every shard: a shard's queries are dealt to a bounded number of streams, each of which loads the graph
-once and takes the queries batch by batch. A query whose whole beam lies above the threshold searches again with a beam twice as wide; and in every
+vectors need; a task builds one graph per shard (batched insertion, diversified neighbours, sampled upper layers) and
+writes it as one row with its vectors. All vectors query every shard: graphs and vectors of those rows meet in a cross
+product, whose tasks read both sides from the shared folder, so neither is copied or shuffled for it; a task holds one
+graph at a time and takes the queries batch by batch. A query whose whole beam lies above the threshold searches again with a beam twice as wide; and in every
 batch an audit compares a sample of queries with brute force and doubles the beam of all until its recall
 passes, both over all pairs and averaged over queries with a neighbour, without hits of vectors on themselves (a beam
 as wide as the shard is brute force, so it ends). As a sample may have no pair at all, every graph is first asked for
@@ -25,19 +26,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import components, read_table, spanning_edges, stage, unstage
 
 COSINE = 0.9
 #: Shards: as many as ``LEAST_SHARDS``, or more so that none has more than ``SHARD_ROWS`` vectors.
-#: Nor more bytes of components. BLOCK_ROWS queries make a stream of their own, up to STREAMS a shard; a stream holds one
-#: batch of queries at a time, and compares QUERY_CELLS pairs of vectors at most before it counts the links.
+#: Nor more bytes of components. BLOCK_ROWS queries make a batch, which has an audit of its own; a task compares
+#: QUERY_CELLS pairs of vectors at most before it counts the links. Up to TASKS shards, TASKS tasks ask them all.
 LEAST_SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 40_000, 20_000
-SHARD_BYTES, STREAMS, QUERY_CELLS = 96 << 20, 64, 16 << 20
+SHARD_BYTES, QUERY_CELLS, TASKS = 96 << 20, 16 << 20, 10_000
 NEIGHBOURS, BUILD_BEAM, BEAM = 16, 40, 24
 AUDIT_QUERIES, AUDIT_RECALL = 200, 0.99
 #: Planted neighbours have a cosine that much above the threshold.
 PLANTED_ABOVE = 0.005
+#: Graphs of a megabyte and more are row groups of their own, so that a reader holds one at a time.
+GRAPH_FILES = {"parquet.block.size": 1 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": False}
 _SLACK = 1e-4  # single-precision searches keep candidates this far below the threshold for the exact check
 
 
@@ -57,6 +61,23 @@ class Graph:
             if len(members) > 32 or l == 0:
                 self.layers.append(self._build(members))
 
+    @classmethod
+    def unpacked(cls, x: np.ndarray, packed: bytes | pa.Buffer) -> Graph:
+        """The graph over ``x`` that ``packed`` was made of."""
+        g = cls.__new__(cls)
+        g.x, g.layers = x, []
+        g.top, layers = pickle.loads(packed)
+        for members, near in layers:
+            adj = np.full((len(x), 2 * NEIGHBOURS), -1, np.int32)
+            adj[members] = near
+            g.layers.append(adj)
+        return g
+
+    def packed(self) -> bytes:
+        """Layers without the rows of nodes that have no neighbours in them; ``x`` is kept elsewhere."""
+        layers = [(np.flatnonzero((adj >= 0).any(1)).astype(np.int32), adj) for adj in self.layers]
+        return pickle.dumps((self.top, [(members, adj[members]) for members, adj in layers]), protocol=5)
+
     def _build(self, members: np.ndarray) -> np.ndarray:
         n, x = len(self.x), self.x
         adj = np.full((n, 2 * NEIGHBOURS), -1, np.int32)
@@ -270,14 +291,14 @@ def _places(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == own, at, -1)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(flat), -1)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
-    """Each row by the power of two that brings its largest component to 0.5 or more and under 1."""
+    """Each row in double precision, by the power of two that brings its largest component to 0.5 or more and under 1."""
+    x = x.astype(np.float64)
     return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
 
@@ -288,7 +309,10 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: int = LEAST_SHARDS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall) for every row of ``vectors`` (vec_id, embedding; other columns are ignored)."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    # Components of single precision stay so wherever they are kept; they are computed with in double precision.
+    of = vectors.schema["embedding"].dataType
+    kind = "float32" if isinstance(of, ArrayType) and of.elementType == FloatType() else "float64"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "float32" else "array<double>").alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     v = v.withColumn("k", F.when(F.coalesce(F.col("e").isNotNull() & fine, F.lit(False)), F.xxhash64("e")))
     slim = v.select("vec_id", "k")
@@ -296,26 +320,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
     classes = stage(classes.select("k", "e", "copies", "low", F.size("e").alias("dim")), "vector-classes")
     n, dim = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
     shards = max(least_shards, -(-n // max(1, min(shard_rows, SHARD_BYTES // (8 * dim)))))
-    blocks = max(1, min(STREAMS, -(-n // block_rows)))
-    dealt = classes.select("k", "e", "copies", "dim", F.pmod(F.xxhash64(F.lit("shard"), "k"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("block"), "k"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = classes.select("k", "e", "copies", "dim", F.pmod(F.xxhash64(F.lit("shard"), "k"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(table):
-        x = _scaled(_matrix(table.column("e")))  # squares of the components would underflow or overflow
-        unit, norm = _unit(x)
+        raw = _matrix(table.column("e"))
+        unit, _ = _unit(_scaled(raw))
         g = Graph(unit, seed=int(table.column("shard")[0].as_py()))
-        blob = pickle.dumps((g.layers, g.top, x, norm, table.column("k").to_numpy(), table.column("copies").to_numpy()))
-        return pa.table({"dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1), "graph": pa.array([blob], pa.binary())})
-
-    graphs = stage(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    # A stream is one (dim, shard, block): the graph (kind 0) first, then its queries.
-    for_stream = graphs.select("dim", "shard", every(blocks).alias("block"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("array<double>").alias("e"), "graph")
-    queries = dealt.select("dim", every(shards).alias("shard"), "block", F.lit(1).alias("kind"), "k", "e", F.lit(None).cast("binary").alias("graph"))
-    streams = for_stream.unionByName(queries).repartition(min(10_000, shards * blocks), "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "kind")
-    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("beam", pa.int32()), ("recall", pa.float64())])
+        beam, recall = planted_beam(g, cosine - _SLACK)
+        blobs = {"keys": table.column("k").to_numpy().tobytes(), "copies": table.column("copies").to_numpy().tobytes(), "x": raw.tobytes(), "graph": g.packed()}
+        return pa.table({"dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1), **{n: pa.array([b], pa.binary()) for n, b in blobs.items()}, "beam": pa.array([beam], pa.int32()), "recall": pa.array([recall])})
+
+    # A task for each shard: hashed to tasks, some would build several graphs, one after the other.
+    by_shard = dealt.repartitionById(shards, "shard").groupBy("dim", "shard")
+    graphs = stage(by_shard.applyInArrow(build, "dim int, shard int, keys binary, copies binary, x binary, graph binary, beam int, recall double"), "graphs", **GRAPH_FILES)
+    small = stage(classes.select("k", "copies", "low"), "vector-copies")
+    unstage(classes)
+    # The right side's rows are held by a task, as many as Spark reads in one partition; the left side's pass one by one.
+    # The condition is no equality of columns, by which Spark would shuffle all rows of a length to one task.
+    queries = graphs.select(F.col("dim").alias("of_dim"), F.col("keys").alias("own"), F.col("x").alias("y"))
+    pairs = graphs.drop("recall").coalesce(max(1, TASKS // shards)).hint("shuffle_replicate_nl").join(queries, F.col("dim") - F.col("of_dim") == 0)
+    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
     def query(graph: Graph, norm: np.ndarray, x: np.ndarray, keys: np.ndarray, copies: np.ndarray, own: np.ndarray, y: np.ndarray, beam: int) -> tuple[pa.RecordBatch, int]:
-        y = _scaled(y)
         unit, ynorm = _unit(y)
         beam = audited_beam(graph, unit, cosine - _SLACK, beam, _places(own, keys))
         links, forest = np.zeros(len(y), np.int64), (own[:0], own[:0])
@@ -334,35 +360,32 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, least_shards: in
         has = np.flatnonzero(links)
         a, b = forest
         m, e = len(has), len(a)
-        cols = [pa.array(np.concatenate([own[has], a])), pa.array([None] * m + b.tolist(), pa.int64()), pa.array(links[has].tolist() + [None] * e, pa.int64()), pa.array([beam] * (m + e), pa.int32()), pa.array([None] * (m + e), pa.float64())]
+        cols = [pa.array(np.concatenate([own[has], a])), pa.array([None] * m + b.tolist(), pa.int64()), pa.array(links[has].tolist() + [None] * e, pa.int64())]
         return pa.RecordBatch.from_arrays(cols, schema=out_schema), beam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, beam = None, BEAM
         for batch in batches:
-            names = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0)) + 1 if batch.num_rows else []
-            for a, z in zip([0, *cut], [*cut, batch.num_rows], strict=True):
-                part = batch.slice(a, z - a)
-                if not len(part):
-                    continue
-                if names[3][a] == 0:
-                    layers, top, x, norm, keys, copies = pickle.loads(part.column("graph")[0].as_py())
-                    graph = Graph.__new__(Graph)
-                    graph.x, graph.layers, graph.top = (x / norm[:, None]).astype(np.float32), layers, top
-                    held = tuple(c[a] for c in names[:3]), (graph, norm, x, keys, copies)
-                    beam, recall = planted_beam(graph, cosine - _SLACK)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, beam, recall), out_schema.types, strict=True)], schema=out_schema)
-                elif held is not None and held[0] == tuple(c[a] for c in names[:3]):  # a shard may have no vector of this length
-                    out, beam = query(*held[1], part.column("k").to_numpy(zero_copy_only=False), _matrix(part.column("e")), beam)
+            for at in range(batch.num_rows):
+                of = {n: batch.column(n)[at] for n in batch.schema.names}
+                dim, name = of["dim"].as_py(), (of["dim"].as_py(), of["shard"].as_py())
+                numbers = lambda n, t=np.int64, of=of: np.frombuffer(of[n].as_buffer(), t)
+                if held is None or held[0] != name:
+                    held = None  # the last graph goes before the next one comes
+                    x = _scaled(numbers("x", kind).reshape(-1, dim))
+                    unit, norm = _unit(x)
+                    held, beam = (name, (Graph.unpacked(unit, of["graph"].as_buffer()), norm, x, numbers("keys").copy(), numbers("copies").copy())), of["beam"].as_py()
+                own, y = numbers("own"), numbers("y", kind).reshape(-1, dim)
+                for a in range(0, len(own), block_rows):
+                    out, beam = query(*held[1], own[a : a + block_rows], _scaled(y[a : a + block_rows]), beam)
                     yield out
 
-    found = stage(streams.mapInArrow(run, "a long, b long, links long, beam int, recall double"), "vector-links")
+    found = stage(pairs.mapInArrow(run, "a long, b long, links long"), "vector-links")
+    recall = graphs.agg(F.coalesce(F.min("recall"), F.lit(1.0))).first()[0]
     unstage(graphs)
-    recall = found.agg(F.coalesce(F.min("recall"), F.lit(1.0))).first()[0]
     counts = found.where("links is not null").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
     reach = components(found.where("b is not null").select("a", "b"))
-    c = classes.select("k", "copies", "low").join(counts, "k", "left").join(reach.select(F.col("node").alias("k"), F.col("component").alias("c")), "k", "left")
+    c = small.join(counts, "k", "left").join(reach.select(F.col("node").alias("k"), F.col("component").alias("c")), "k", "left")
     c = stage(c.select("k", "low", F.coalesce("c", "k").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-found")
     least = c.groupBy("c").agg(F.min("low").alias("component_id"))
     c = stage(c.join(least, "c").select("k", "n_links", "component_id"), "vector-components")

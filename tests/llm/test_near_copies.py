@@ -307,3 +307,35 @@ def test_known_neighbours_are_asked_for_where_a_sample_has_none():
     assert beam == 96 and recall >= 0.99
     assert embeddings.planted_beam(Graph(x), 0.9)[1] >= 0.99
     assert embeddings.planted_beam(Graph(x[:1]), 0.9)[1] == 1.0
+
+
+def test_graphs_and_queries_meet_without_copies_of_either(spark, monkeypatch):
+    """A graph was copied for each stream of queries, all of them held at once, and each query for every shard."""
+    plans, real = {}, embeddings.stage
+
+    def noted(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name, **options)
+
+    monkeypatch.setattr(embeddings, "stage", noted)
+    monkeypatch.setattr(embeddings, "TASKS", 8, raising=False)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 16))
+    scale = [2.0**-130, 2.0**-60, 1.0, 2.0**60, 2.0**120]
+    x = [(centres[i % 30] + 0.15 * rng.normal(size=16)) * scale[i % 5] for i in range(300)] + [rng.normal(size=5) for _ in range(20)]
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = near_duplicates(df, least_shards=4, block_rows=20).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(vectors_by_hand(rows)) and any(r.n_links for r in got)
+    assert "Generate" not in plans["vector-links"] and "Exchange" not in plans["vector-links"] and "Coalesce 2" in plans["vector-links"]
+    assert plans["graphs"].count("Exchange") == 1
+
+
+def test_packed_graphs_are_the_same():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (1, 40, 1500):
+        g = Graph(x[:n])
+        h = Graph.unpacked(x[:n], g.packed())
+        assert len(h.layers) == len(g.layers) and (h.top == g.top).all() and all((a == b).all() and a.dtype == b.dtype for a, b in zip(g.layers, h.layers, strict=True))
